@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kotonoha.functions import fixed as fx
@@ -78,13 +78,18 @@ def expand_iteration_marks(text: Column) -> Column:
     return F.when(text.rlike("[ゝゞヽヾ]"), folded).otherwise(text)
 
 
+def _fold_single(text: Column) -> Column:
+    return F.translate(text, _FOLD_FROM, _FOLD_TO)
+
+
+def _fold_multi(text: Column) -> Column:
+    wide = _char_class("".join(a for a, _ in _FOLD_MULTI))
+    return F.when(text.rlike(wide), _replace_all(text, _FOLD_MULTI)).otherwise(text)
+
+
 def fold_variants(text: Column) -> Column:
     """Variant characters to dictionary forms, then iteration marks."""
-    single = F.translate(text, _FOLD_FROM, _FOLD_TO)
-    multi = F.when(
-        single.rlike(_char_class("".join(a for a, _ in _FOLD_MULTI))), _replace_all(single, _FOLD_MULTI)
-    ).otherwise(single)
-    return expand_iteration_marks(multi)
+    return _bound(_bound(_fold_single(text), _fold_multi), expand_iteration_marks)
 
 
 def compose_marks(text: Column) -> Column:
@@ -93,8 +98,28 @@ def compose_marks(text: Column) -> Column:
     return F.when(text.rlike(_char_class(marks)), _replace_all(text, _COMBINING)).otherwise(text)
 
 
+def _bound(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def normalise(text: Column) -> Column:
-    return compose_marks(fold_variants(convert_width(text)))
+    """All three normalisation stages as one expression.  For whole tables
+    prefer ``with_normalised``, which keeps each stage a column of its own."""
+    return _bound(_bound(convert_width(text), fold_variants), compose_marks)
+
+
+def with_normalised(df: DataFrame, source: str, out: str) -> DataFrame:
+    """Add ``out``, the normalised form of ``source``, stage by stage, so that
+    no stage's expression is repeated inside the next."""
+    return (
+        df.withColumn("_width", convert_width(F.col(source)))
+        .withColumn("_fold", _fold_single(F.col("_width")))
+        .withColumn("_fold", _fold_multi(F.col("_fold")))
+        .withColumn("_fold", expand_iteration_marks(F.col("_fold")))
+        .withColumn(out, compose_marks(F.col("_fold")))
+        .drop("_width", "_fold")
+    )
 
 
 # -- script, emphasis ----------------------------------------------------------
@@ -120,50 +145,40 @@ def collapse_emphatic(text: Column) -> Column:
 # -- older spellings -----------------------------------------------------------
 
 
-def _map_with_neighbours(text: Column, rule) -> Column:
-    """``rule(ch, prev, next)`` over the original characters; the neighbours
-    are NULL at the ends."""
-    chars = chars_of(text)
+# A single regular expression over the original text decides where a rule
+# applies, so no rule ever sees a neighbour another rule has rewritten; the
+# places are marked, and marked characters are then replaced.
+_MARK = "\u0001"
 
-    def at(ch: Column, i: Column) -> Column:
-        prev = F.when(i > 0, F.get(chars, i - 1))
-        return rule(ch, prev, F.get(chars, i + 1))
 
-    return F.array_join(F.transform(chars, at), "")
+def _rewrite_marked(text: Column, places: str, source: str, target: str) -> Column:
+    marked = F.regexp_replace(text, f"(?s)({places})", f"$1{_MARK}")
+    rewritten = _replace_all(marked, [(a + _MARK, b) for a, b in zip(source, target)])
+    return F.when(text.rlike(f"[{source}]"), rewritten).otherwise(text)
 
 
-def modernise_orthography(text: Column) -> Column:
-    """Pre-reform kana to modern spelling."""
+_ORTHO_PLACES = "|".join([
+    f"[{fx.ORTHO_WA_ROW}]",
+    f"(?<![{fx.ORTHO_DA_BLOCKED_AFTER}])[{fx.ORTHO_DA_ROW}]",
+    f"[{fx.ORTHO_SMALL_TSU}](?=[{fx.ORTHO_TSU_BEFORE}])",
+    f"(?<=[{fx.ORTHO_YA_AFTER}])[{fx.ORTHO_SMALL_YA}]",
+])
+_HA_PLACES = "|".join([
+    f"(?<=[^う])ふ(?=\\z|[^\\u3041-\\u3096\\u30A1-\\u30F6]|[{fx.SOUND_FU_PARTICLES}])",
+    f"ひ(?=[{fx.SOUND_HI_BEFORE}])",
+    f"へ(?=[{fx.SOUND_HE_BEFORE}])",
+    f"(?<=.)は(?=[{fx.SOUND_HA_BEFORE}])",
+])
 
-    def rule(ch: Column, prev: Column, nxt: Column) -> Column:
-        applies = (
-            F.when(_is_in(ch, fx.ORTHO_WA_ROW), F.lit(True))
-            .when(_is_in(ch, fx.ORTHO_DA_ROW), prev.isNull() | ~_is_in(prev, fx.ORTHO_DA_BLOCKED_AFTER))
-            .when(_is_in(ch, fx.ORTHO_SMALL_TSU), nxt.isNotNull() & _is_in(nxt, fx.ORTHO_TSU_BEFORE))
-            .when(_is_in(ch, fx.ORTHO_SMALL_YA), prev.isNotNull() & _is_in(prev, fx.ORTHO_YA_AFTER))
-            .otherwise(F.lit(False))
-        )
-        return F.when(applies, F.translate(ch, fx.ORTHO_FROM, fx.ORTHO_TO)).otherwise(ch)
 
-    return F.when(text.rlike(f"[{fx.ORTHO_FROM}]"), _map_with_neighbours(text, rule)).otherwise(text)
+def modernise_orthography(text: Column) -> Column:
+    """Pre-reform kana to modern spelling."""
+    return _rewrite_marked(text, _ORTHO_PLACES, fx.ORTHO_FROM, fx.ORTHO_TO)
 
 
 def shift_ha_row(text: Column) -> Column:
     """Word-medial and word-final ha row to wa row, by grammatical ending."""
-
-    def rule(ch: Column, prev: Column, nxt: Column) -> Column:
-        kana = nxt.rlike("^[\\u3041-\\u3096\\u30A1-\\u30F6]$")
-        fu = prev.isNotNull() & (prev != "う") & (nxt.isNull() | ~kana | _is_in(nxt, fx.SOUND_FU_PARTICLES))
-        applies = (
-            F.when(ch == "ふ", fu)
-            .when(ch == "ひ", nxt.isNotNull() & _is_in(nxt, fx.SOUND_HI_BEFORE))
-            .when(ch == "へ", nxt.isNotNull() & _is_in(nxt, fx.SOUND_HE_BEFORE))
-            .when(ch == "は", prev.isNotNull() & nxt.isNotNull() & _is_in(nxt, fx.SOUND_HA_BEFORE))
-            .otherwise(F.lit(False))
-        )
-        return F.when(applies, F.translate(ch, fx.SOUND_HA_FROM, fx.SOUND_HA_TO)).otherwise(ch)
-
-    return F.when(text.rlike(f"[{fx.SOUND_HA_FROM}]"), _map_with_neighbours(text, rule)).otherwise(text)
+    return _rewrite_marked(text, _HA_PLACES, fx.SOUND_HA_FROM, fx.SOUND_HA_TO)
 
 
 _VOWEL_PAIRS = [(a + "う", b + "う") for a, b in fx.pairs(fx.SOUND_AU) + fx.pairs(fx.SOUND_EU)]
@@ -175,7 +190,7 @@ def change_vowels(text: Column) -> Column:
 
 
 def change_sounds(text: Column) -> Column:
-    return change_vowels(shift_ha_row(text))
+    return _bound(shift_ha_row(text), change_vowels)
 
 
 # -- vertical text -------------------------------------------------------------

@@ -17,15 +17,16 @@ STAGES = (
 def with_key_stages(surfaces: DataFrame, surface: str = "surface") -> DataFrame:
     """Add ``norm``, ``modern`` and ``sound``, the three forms the rest derive from."""
     return (
-        surfaces.withColumn("norm", tx.normalise(F.col(surface)))
+        tx.with_normalised(surfaces, surface, "norm")
         .withColumn("modern", tx.modernise_orthography(F.col("norm")))
-        .withColumn("sound", tx.change_sounds(F.col("modern")))
+        .withColumn("_ha", tx.shift_ha_row(F.col("modern")))
+        .withColumn("sound", tx.change_vowels(F.col("_ha")))
+        .drop("_ha")
     )
 
 
-def key_list(surface: Column) -> Column:
-    """Ordered, de-duplicated ``array<struct<stage, key>>``; the first wins."""
-    keys = F.array(
+def _keys(surface: Column) -> Column:
+    return F.array(
         surface,
         F.col("norm"),
         tx.to_hiragana(F.col("norm")),
@@ -35,6 +36,16 @@ def key_list(surface: Column) -> Column:
         F.col("sound"),
         tx.to_hiragana(F.col("sound")),
     )
+
+
+def distinct_keys(surface: Column) -> Column:
+    """Ordered, de-duplicated search keys; the first occurrence is kept."""
+    return F.array_distinct(_keys(surface))
+
+
+def key_list(surface: Column) -> Column:
+    """As ``distinct_keys``, with the stage that produced each key first."""
+    keys = _keys(surface)
     labelled = F.transform(
         keys, lambda key, i: F.struct(F.element_at(F.array(*map(F.lit, STAGES)), i + 1).alias("stage"), key.alias("key"))
     )

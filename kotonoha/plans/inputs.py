@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kotonoha.functions.tables import small_table
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 KANA = "かきくけこさしすせそたちつてとなにぬねのはひふへほま"
 # one character of every kind the key stages treat specially
@@ -115,4 +117,21 @@ RULES_SCHEMA = (
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, RULES_SCHEMA)
+    return small_table(spark, RULES, RULES_SCHEMA)
+
+
+def benchmark_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as pages, their paragraphs as lines."""
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(
+        F.col("item_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line_idx", "raw")
+    ).select(
+        "page_id", "line_idx", F.translate(F.lower("raw"), LETTERS + " .,", KANA + "　。、").alias("text")
+    )
+
+
+def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(
+        F.col("item_id").alias("query_id"), F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")
+    ).filter("w <> ''").select("query_id", kana(F.col("w")).alias("term")).distinct()
