@@ -135,3 +135,38 @@ def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(
         F.col("item_id").alias("query_id"), F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")
     ).filter("w <> ''").select("query_id", kana(F.col("w")).alias("term")).distinct()
+
+
+def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timesteps: the events of a user in time order; class 0 is the blank."""
+    from kotonoha.operators import ordered
+
+    e = table(spark, sf_dir, "events")
+    cls = (
+        F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "view", 1)
+        .when(F.col("event_type") == "click", 2).when(F.col("event_type") == "signup", 3).otherwise(4)
+    )
+    rows = e.select(F.col("user_id").alias("line_id"), "ts", "event_id", cls.alias("cls"), F.col("value").alias("score"))
+    day = F.to_date("ts")
+    return ordered.ranked(rows, ["line_id"], day, [F.col("ts"), F.col("event_id")], "t").select("line_id", "t", "cls", "score")
+
+
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scored classes per timestep."""
+    s = event_steps(spark, sf_dir)
+    return s.select("line_id", "t", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"), "cls", "score").select(
+        "line_id", "t", ((F.col("cls") + F.col("k")) % 5).alias("cls"), (F.col("score") - F.col("k") * 2).alias("score")
+    )
+
+
+def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class tokens; one class has none."""
+    r = table(spark, sf_dir, "region")
+    return r.filter("r_regionkey <> 2").select(
+        F.col("r_regionkey").alias("idx"), F.translate(F.right("r_name", F.lit(2)), "ACESIPT", "てかきくけこ…").alias("token")
+    )
+
+
+def remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "region")
+    return r.filter("r_regionkey = 4").select(F.col("r_regionkey").alias("pruned"), F.lit(18709).alias("cls"))
