@@ -336,7 +336,7 @@ def gap_geometry(lines: DataFrame, boxes: DataFrame, columns: DataFrame, timeste
     rest = d.filter("n_boxes < n")
     by_col = rest.filter("n_cols = n").join(columns, "line_id").select("line_id", "idx", F.col("col").alias("centre"), "unit")
     bare = rest.filter("n_cols <> n").select("line_id", "n", "unit")
-    walked = walk_columns(timesteps.join(bare.select("line_id"), "line_id", "left_semi"))
+    walked = written(walk_columns(timesteps.join(bare.select("line_id"), "line_id", "left_semi")), "walked")
     fits = _counted(walked, "n_walked").join(bare, "line_id").filter("n_walked = n").select("line_id", "unit")
     by_step = walked.join(fits, "line_id").select("line_id", "idx", F.col("col").alias("centre"), "unit")
     return by_box.unionByName(by_col).unionByName(by_step)

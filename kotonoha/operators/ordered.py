@@ -154,3 +154,47 @@ def group_medians(df: DataFrame, keys: Sequence[str], value: str, slots: int = 1
         F.max(F.when((F.col("_before") <= high) & (upto > high), F.col(value))).alias("upper_median"),
     )
     return hit.select(*keys, "n", ((F.col("_low") + F.col("upper_median")) / 2).alias("median"), "upper_median")
+
+
+def prefix_max(
+    df: DataFrame, keys: Sequence[str], idx: str, value: Column, out: str, order: Sequence[Column] = (), size: int = BLOCK
+) -> DataFrame:
+    """Add the largest ``value`` of the preceding rows of ``keys`` (NULL for the first)."""
+    keys = list(keys)
+    d = in_blocks(df.withColumn("_v", value), idx, size)
+    outer = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    base = d.groupBy(*keys, _BLK).agg(F.max("_v").alias("_t")).select(*keys, _BLK, F.max("_t").over(outer).alias("_base"))
+    inner = Window.partitionBy(*keys, _BLK).orderBy(F.col(idx), *order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_r", F.max("_v").over(inner)).join(base, [*keys, _BLK])
+    return d.withColumn(out, F.greatest("_r", "_base")).drop(_BLK, "_v", "_r", "_base")
+
+
+def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], fold, schema: str) -> DataFrame:
+    """Apply ``fold(rows) -> rows`` to each group's rows in ``order``.
+
+    Groups are streamed from sorted partitions; a task holds one group's rows
+    at a time.  For folds whose every step depends on the one before.
+    """
+    import pandas as pd
+
+    keys = list(keys)
+    columns = df.columns
+
+    def run(batches):
+        names = [f.strip().split(" ")[0] for f in schema.split(",")]
+        current, held = None, []
+        for pdf in batches:
+            out = []
+            at = [pdf.columns.get_loc(k) for k in keys]
+            for row in pdf.itertuples(index=False, name=None):
+                key = tuple(row[i] for i in at)
+                if key != current and held:
+                    out += fold([dict(zip(columns, r)) for r in held])
+                    held = []
+                current = key
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(fold([dict(zip(columns, r)) for r in held]), columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

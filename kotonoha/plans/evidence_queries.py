@@ -377,8 +377,8 @@ def column_cells(spark, d):
 
 
 @query("d18_run_statistics", sql(
-    """, tops as (select line_id, t, max(case when rank = 0 then ch end) ch, max(case when rank = 0 then score end) top, max(case when rank = 1 then score end) second from steps group by all),
-runs as (select line_id, run, min(t) run_start, max(t) run_end, avg(top) confidence, avg(top - coalesce(second, 0)) margin from (
+    """, tops as (select line_id, t, max(case when rank = 0 then ch end) ch, max(case when rank = 0 then score end) top, max(case when rank = 1 then score end) sec from steps group by all),
+runs as (select line_id, run, min(t) run_start, max(t) run_end, avg(top) confidence, avg(top - coalesce(sec, 0)) margin from (
  select *, sum(case when ch <> '　' and (b is null or b <> ch) then 1 else 0 end) over (partition by line_id order by t) - 1 run from (
   select *, lag(ch) over (partition by line_id order by t) b from tops)) where ch <> '　' group by line_id, run)
 select line_id, run, run_start, run_end, round(confidence, 6) confidence, round(margin, 6) margin from (select *, count(*) over (partition by line_id) n from runs) r

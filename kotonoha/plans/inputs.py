@@ -170,3 +170,27 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region")
     return r.filter("r_regionkey = 4").select(F.col("r_regionkey").alias("pruned"), F.lit(18709).alias("cls"))
+
+
+def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a page: the items of an order."""
+    from kotonoha.operators import ordered
+
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select(
+        F.col("l_orderkey").alias("page_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"
+    )
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")]
+    rows = ordered.ranked(rows, ["page_id"], F.col("l_linenumber"), order, "box_idx")
+    q = F.floor("l_quantity")
+    return rows.select(
+        "page_id", "box_idx",
+        (F.col("l_partkey") % 900).cast("int").alias("x"),
+        ((F.col("l_suppkey") * 37 + F.col("l_partkey")) % 1300).cast("int").alias("y"),
+        F.when(q % 5 == 0, 12 + q % 30).otherwise(10 + q * 8).cast("int").alias("w"),
+        F.when(q % 7 == 0, 300 + q * 4).otherwise(10 + (F.col("l_partkey") * 7) % 60).cast("int").alias("h"),
+    )
+
+
+def page_sizes(boxes: DataFrame) -> DataFrame:
+    return boxes.select("page_id").distinct().withColumns({"img_w": F.lit(1000), "img_h": F.lit(1400)})
