@@ -91,7 +91,6 @@ def match_ctes(tag: str) -> None:
 
 
 page_ctes("lines", "conv")
-match_ctes("conv")
 page_ctes("benchmark_lines", "bench")
 match_ctes("bench")
 cte("surfaces_bw", "select distinct term surface from benchmark_words", "benchmark_words")
@@ -138,10 +137,7 @@ def prefix_expand(spark, d):
     )
 
 
-@query("l04_deinflect", sql("""
-select surface, term, depth, reasons, types rule_types, path from (
- select *, row_number() over (partition by surface, term order by depth, path) r from rec_derive_raw) where r = 1""",
-    "rec_derive_raw") if False else sql(
+@query("l04_deinflect", sql(
     """select surface, term, depth, array_to_string(reasons, '>') reasons, array_to_string(types, '>') rule_types from (
  select *, row_number() over (partition by surface, term order by depth, path) r from rec_derive_w where kind = 1) where r = 1""",
     "rec_derive_w"))
@@ -205,9 +201,9 @@ def expand_span(spark, d):
     return m.select("page_id", "gidx", "max_len", "span").distinct()
 
 
-def _conv_matches(spark, d):
+def _bench_matches(spark, d):
     return lookup.match_positions(
-        inputs.lines(spark, d), inputs.entries(spark, d), inputs.meta(spark, d), inputs.rules(spark)
+        inputs.benchmark_lines(spark, d), inputs.entries(spark, d), inputs.meta(spark, d), inputs.rules(spark)
     )
 
 
@@ -215,20 +211,20 @@ def _conv_matches(spark, d):
 select l.page_id, n_positions, coalesce(n_matched, 0) n_matched, coalesce(sum_max_len, 0) sum_max_len,
  coalesce(sum_span, 0) sum_span, coalesce(n_matches, 0) n_matches, coalesce(n_direct, 0) n_direct,
  round(sum_max_len / n_matched, 6) mean_max_len
-from (select page_id, sum(length(replace(text, '　', ''))) n_positions from lines where length(text) > 0 group by page_id) l
+from (select page_id, sum(length(replace(text, '　', ''))) n_positions from benchmark_lines where length(text) > 0 group by page_id) l
 left join (select page_id, count(*) n_matched, sum(max_len) sum_max_len, sum(span) sum_span, sum(n) n_matches, sum(direct) n_direct
  from (select page_id, gidx, max(max_len) max_len, max(span) span, count(distinct term) n,
-   count(distinct case when kind = 0 then term end) direct from matches_conv group by page_id, gidx) group by page_id) m
-on m.page_id = l.page_id""", "lines", "matches_conv"))
+   count(distinct case when kind = 0 then term end) direct from matches_bench group by page_id, gidx) group by page_id) m
+on m.page_id = l.page_id""", "benchmark_lines", "matches_bench"))
 def lookup_corpus(spark, d):
-    return lookup.page_coverage(inputs.lines(spark, d), _conv_matches(spark, d))
+    return lookup.page_coverage(inputs.benchmark_lines(spark, d), _bench_matches(spark, d))
 
 
 @query("l15_hits_by_dictionary", sql(
-    "select page_id, dictionary_id, kind, sum(n) n_entries, count(*) n_matches from matches_conv group by all",
-    "matches_conv"))
+    "select page_id, dictionary_id, kind, sum(n) n_entries, count(*) n_matches from matches_bench group by all",
+    "matches_bench"))
 def hits_by_dictionary(spark, d):
-    return lookup.hits_by_dictionary(_conv_matches(spark, d))
+    return lookup.hits_by_dictionary(_bench_matches(spark, d))
 
 
 @query("l16_matched_surface", sql("""
