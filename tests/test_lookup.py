@@ -129,7 +129,7 @@ def test_grouped_entry(spark):
     assert [r.term for r in got] == ["凡百"]
     first, second = got[0].reading_groups
     assert first.reading == "ぼんぴゃく" and first.render_senses
-    assert [(g.tags, [(s.index, s.text) for s in g.senses]) for g in first.sense_groups] == [
+    assert [(g.tags, [(s["index"], s["text"]) for s in g.senses]) for g in first.sense_groups] == [
         ([f"old{nbsp}kanji", f"priority{nbsp}form", "common"], [(1, "a hundred"), (2, "second")]), (["n"], [(3, "third")]),
     ]
     assert not second.render_senses and list(second.pitch_positions) == [0, 1]
