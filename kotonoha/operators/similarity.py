@@ -104,13 +104,22 @@ def component_idf(components: DataFrame, population: str = IDEOGRAPHS) -> DataFr
 def items_with_all(requirements: DataFrame, components: DataFrame, population: str = IDEOGRAPHS) -> DataFrame:
     """Items carrying every requested component, by request.
 
-    A request without components has no rows and so no result.
+    A request without components has no rows and so no result.  Candidates come
+    from the request's rarest component alone; the others are then checked on
+    the candidate's own, short component list.
     """
-    asked = requirements.select("request_id", "component").distinct()
-    need = asked.groupBy("request_id").agg(F.count(F.lit(1)).alias("need"))
     members = components.filter(F.col("item").rlike(population)).select("item", "component").distinct()
-    have = asked.join(members, "component").groupBy("request_id", "item").agg(F.count(F.lit(1)).alias("have"))
-    return have.join(need, "request_id").filter("have = need").select("request_id", "item")
+    df = members.groupBy("component").agg(F.count(F.lit(1)).alias("df"))
+    asked = requirements.select("request_id", "component").distinct().join(df, "component", "left")
+    wanted = asked.groupBy("request_id").agg(
+        F.collect_set("component").alias("_need"),
+        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "component")).alias("_rarest"),
+    )
+    wanted = wanted.select("request_id", "_need", F.col("_rarest.component").alias("component"))
+    have = members.groupBy("item").agg(F.collect_set("component").alias("_have"))
+    carriers = members.join(have, "item")
+    every = F.size(F.array_except("_need", "_have")) == 0
+    return wanted.join(carriers, "component").filter(every).select("request_id", "item")
 
 
 def item_profiles(components: DataFrame, idf: DataFrame) -> DataFrame:

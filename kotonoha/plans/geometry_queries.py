@@ -105,23 +105,23 @@ cte("nav_pairs", """select *, case when dir in ('N','S') then abs(px - jx) else
   case dir when 'N' then py - jy when 'S' then jy - py when 'E' then jx - px else px - jx end ahead, sqrt((px - jx)**2 + (py - jy)**2) euclid
  from (select a.page_id, a.box_idx src, b.box_idx dst, a.px, a.py, b.px jx, b.py jy, unnest(['N','S','E','W']) dir
   from points a join points b on a.page_id = b.page_id and a.box_idx <> b.box_idx)""", "points")
-_TOP = """select page_id, src, dir, rank, dst, round(cost, 9) cost from (select *, row_number() over (partition by page_id, src, dir order by cost, e, dst) rank
+_TOP = """select page_id, src, dir, rank, dst from (select *, row_number() over (partition by page_id, src, dir order by cost, e, dst) rank
  from (%s)) where rank <= 5"""
 
 
 @query("g07_local_neighbours", sql(_TOP % "select *, ahead + 10 * aside cost, euclid e from nav_pairs where ahead > 0 and aside <= ahead and euclid <= 0.05", "nav_pairs"))
 def local_neighbours(spark, d):
-    return geometry.directional_neighbours(_boxes(spark, d), geometry.LOCAL).withColumn("cost", F.round("cost", 9))
+    return geometry.directional_neighbours(_boxes(spark, d), geometry.LOCAL).drop("cost")
 
 
 @query("g07_directional_neighbours", sql(_TOP % "select *, ahead + 1.5 * aside cost, 0 e from nav_pairs where ahead > 0 and aside <= ahead", "nav_pairs"))
 def directional_neighbours(spark, d):
-    return geometry.directional_neighbours(_boxes(spark, d), geometry.FAR).withColumn("cost", F.round("cost", 9))
+    return geometry.directional_neighbours(_boxes(spark, d), geometry.FAR).drop("cost")
 
 
 @query("g07_wrapped_neighbours", sql(_TOP % "select *, ahead + 1 + 1.5 * least(aside, 1 - aside) cost, 0 e from nav_pairs where ahead < 0 and aside <= ahead + 1", "nav_pairs"))
 def wrapped_neighbours(spark, d):
-    return geometry.directional_neighbours(_boxes(spark, d), geometry.WRAP).withColumn("cost", F.round("cost", 9))
+    return geometry.directional_neighbours(_boxes(spark, d), geometry.WRAP).drop("cost")
 
 
 @query("g07_candidate_counts", sql("select page_id, src, dir, count(*) n from nav_pairs where ahead > 0 and aside <= ahead group by all", "nav_pairs"))

@@ -211,23 +211,19 @@ def component_idf(spark, d):
 
 
 @query("k03_items_with_all", sql(
-    f"""select request_id, item from (
- select r.request_id, c.item, count(*) have, any_value(need) need from (
-  select item_id request_id, component, count(*) over (partition by item_id) need from (
-   select distinct item_id, substr({oracle.translate('w', inputs.LETTERS, IDEO)}, i, 4) component from (
-     select item_id, w, unnest([1, 2]) i from (select item_id, unnest(string_split_regex(lower(text), '[^a-z]+'))  w from benchmark) where length(w) >= 8)
-     where i = 1)) r join components c on c.component = r.component group by all having true) where false
-union all
-select request_id, item from (select r.request_id, c.item, count(*) have, any_value(need) need from (
+    """select request_id, count(*) n, min(item) first_item, max(item) last_item from (select r.request_id, c.item, count(*) have, any_value(need) need from (
    select w request_id, component, count(*) over (partition by w) need from (
    select distinct w, substr(item, i, 4) component from (select w, item, unnest([1, length(item) - 3]) i from items where length(item) >= 4))) r
-  join components c on c.component = r.component group by r.request_id, c.item) where have = need""", "items", "components"))
+  join components c on c.component = r.component group by r.request_id, c.item) where have = need group by request_id""", "items", "components"))
 def items_with_all(spark, d):
     i = _items(spark, d).filter(F.length("item") >= 4)
     asked = i.select(F.col("w").alias("request_id"), F.explode(F.array_distinct(F.array(
-        F.left("item", F.lit(4)), F.right("item", F.lit(4)))
-    )).alias("component"))
-    return similarity.items_with_all(asked, _components(spark, d))
+        F.left("item", F.lit(4)), F.right("item", F.lit(4))
+    ))).alias("component"))
+    found = similarity.items_with_all(asked, _components(spark, d))
+    return found.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("item").alias("first_item"), F.max("item").alias("last_item")
+    )
 
 
 @query("k04_neighbours", sql(
