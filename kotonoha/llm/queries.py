@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotonoha.llm import id_files, packing, url_reputation
+from kotonoha.llm import id_files, language, packing, quality, url_reputation
 from kotonoha.llm.oracles import URL_ORACLE
 from kotonoha.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -42,3 +42,26 @@ def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_id_files")
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.store_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
+def learned_from(docs: DataFrame, parts: int = 3) -> DataFrame:
+    """The rows that are not held out."""
+    return docs.filter(F.coalesce(quality.remainder(F.col("doc_id"), parts), F.lit(0)) != 1)
+
+
+def held_out(parts: int = 3):
+    return F.coalesce(quality.remainder(F.col("doc_id"), parts) == 1, F.lit(False))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, learned_from(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_language")
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(learned_from(docs)))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
