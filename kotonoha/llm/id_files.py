@@ -180,7 +180,8 @@ def read_ids(listed: DataFrame) -> DataFrame:
                         rows = []
                 yield _rows(rows)
 
-    spread = listed.select("path", "before").repartition(F.col("path"))
+    # a task reads one file
+    spread = listed.select("path", "before").repartitionByRange(max(1, listed.count()), "before")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotonoha.llm import id_files, language, packing, quality, url_reputation
+from kotonoha.llm import id_files, language, language_model, packing, quality, url_reputation
 from kotonoha.llm.oracles import URL_ORACLE
 from kotonoha.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -65,3 +65,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(learned_from(docs)))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op6_kneser_ney")
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_model.train(learned_from(docs, 5))
+    return language_model.score(docs, model).withColumn("held_out", held_out(5))

@@ -17,9 +17,9 @@ import numpy as np
 
 from kotonoha.llm import words
 
-KEPT = 1_500_000
+KEPT = 1_000_000
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 12 << 20
 #: Parts encoded in one call of the tokenizer.
 _CALL = 50_000
 
