@@ -1,5 +1,7 @@
 """SQL that the queries of this subpackage are checked against."""
 
+from kotonoha.llm.license_scan import TEMPLATES
+
 URL_ORACLE = r"""
 with parsed as (
   select page_id,
@@ -57,3 +59,45 @@ from (
     from rules where (p.host = rule_host or ends_with(p.host, '.' || rule_host)) and starts_with(p.path, rule_path)) as hit
   from parsed p) join hosts using (host)
 """
+
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+
+LICENSE_ORACLE = rf"""
+with texts as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+words as materialized (select doc_id, unnest(w) as word, unnest(range(len(w))) as i from texts),
+near as (
+  select doc_id, i, word as a, lead(word) over d as b, lead(word, 2) over d as c, lead(word, 3) over d as e
+  from words window d as (partition by doc_id order by i)),
+four as materialized (select * from near where a in (select unnest(string_split(text, ' ')) from (values {_TEMPLATE_ROWS}) t(template, label, text))),
+base as (
+  select doc_id, i, case when a = 'mit' and b = 'license' then 'mit' when a = 'apache' and b = 'license' then 'apache'
+    when a = 'general' and b = 'public' and c = 'license' then 'gpl' end as label from four),
+base_docs as (
+  select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, list_sort(list(distinct label)) as labels
+  from base where label is not null group by doc_id),
+templates as (select template, label, string_split(text, ' ') as w from (values {_TEMPLATE_ROWS}) t(template, label, text)),
+grams as (
+  select template, p, w[p + 1] as a, w[p + 2] as b, w[p + 3] as c, w[p + 4] as e
+  from (select template, w, unnest(range(len(w) - 3)) as p from templates)),
+votes as (select distinct doc_id, template, i - p as diagonal, i, p from four join grams using (a, b, c, e)),
+diagonals as (select distinct doc_id, template, diagonal from votes),
+cut as (
+  select *, case when diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) <= 2 then 0 else 1 end as new_ from diagonals),
+clusters as (select *, sum(new_) over (partition by doc_id, template order by diagonal rows unbounded preceding) as cluster from cut),
+covered as (
+  select doc_id, template, cluster, min(i) as first_, max(i + 3) as last_, count(distinct q) as words_
+  from (select doc_id, template, cluster, i, unnest(range(p, p + 4)) as q from votes join clusters using (doc_id, template, diagonal))
+  group by doc_id, template, cluster),
+spans as (
+  select doc_id, label, words_ / len(w) as share from covered join templates using (template)
+  where words_ / len(w) >= 0.8 and last_ - first_ + 1 <= 1.5 * len(w)),
+found as (select doc_id, list(distinct label) as labels, max(share) as share from spans group by doc_id)
+select t.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  coalesce(array_to_string(b.labels, ','), '') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ',') as labels,
+  coalesce(share, case when n_base > 0 then 0.5 end, 0.0)::double as score
+from texts t left join base_docs b using (doc_id) left join found f using (doc_id)
+"""

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotonoha.llm import id_files, language, language_model, packing, quality, url_reputation
-from kotonoha.llm.oracles import URL_ORACLE
+from kotonoha.llm import id_files, language, language_model, license_scan, packing, quality, url_reputation
+from kotonoha.llm.oracles import LICENSE_ORACLE, URL_ORACLE
 from kotonoha.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 URL_RULES = [
@@ -72,3 +72,8 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_model.train(learned_from(docs, 5))
     return language_model.score(docs, model).withColumn("held_out", held_out(5))
+
+
+@query("op9_license_scan", LICENSE_ORACLE)
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
