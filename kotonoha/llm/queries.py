@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotonoha.llm import id_files, language, language_model, license_scan, neighbours, packing, quality, url_reputation
+from kotonoha.llm import decontaminate, id_files, language, language_model, license_scan, neighbours, packing, quality, url_reputation
 from kotonoha.llm.oracles import LICENSE_ORACLE, URL_ORACLE
 from kotonoha.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -83,3 +83,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.search(vectors.filter(F.col("vec_id") % 20 == 0), neighbours.build(vectors, 20), 20)
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -43,6 +43,9 @@ SIGNS = np.where(
     np.where((_BYTE >= 128) | ((_BYTE >= 48) & (_BYTE <= 57)) | ((LOWER >= 97) & (LOWER <= 122)), 1, 2),
 ).astype(np.uint8)
 
+#: As SIGNS, with signs as space: a word is the same with or without signs around it.
+BARE = np.where(SIGNS == 1, 1, 0).astype(np.uint8)
+
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
