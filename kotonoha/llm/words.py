@@ -121,21 +121,31 @@ def shingles(words: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray,
     count = np.diff(at)
     many = np.where(count >= k, count - k + 1, (count > 0).astype(np.int64))
     to = np.concatenate(([0], np.cumsum(many)))
-    owner = np.repeat(np.arange(len(count)), many)
-    start = at[:-1][owner] + np.arange(to[-1]) - to[:-1][owner]
-    size = np.minimum(count, k)[owner]
-    value = size.astype(np.uint64)
+    factors = mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
     padded = np.concatenate((words, np.zeros(k, np.uint64)))
-    for j in range(k):
-        value = mix(value * np.uint64(_ODD) + np.where(j < size, padded[start + j], np.uint64(j)))
-    return value, to
+    total = padded[: len(words)] * factors[0]
+    for j in range(1, k):
+        total += padded[j : j + len(words)] * factors[j]
+    start = np.repeat(at[:-1] - to[:-1], many) + np.arange(to[-1])
+    value = total[start]
+    for t in np.flatnonzero((count > 0) & (count < k)):
+        n = int(count[t])
+        value[to[t]] = (int((words[at[t] : at[t + 1]] * factors[:n]).sum(dtype=np.uint64)) + n * _ODD) & _MASK
+    return mix(value), to
 
 
 def distinct(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of each text sorted and without repeats, and where they begin."""
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
+    values = values.copy()
     keep = np.ones(len(values), bool)
-    keep[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    return values[keep], np.searchsorted(owner[keep], np.arange(len(at)))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        values[a:b].sort()
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    keep[at[:-1][at[:-1] < len(values)]] = True
+    return values[keep], np.concatenate(([0], np.cumsum(keep)))[at]
+
+
+def sets(column, k: int = 5) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(row, stop, sorted distinct shingles, begins)`` of runs of texts."""
+    for row, stop, h, at in text_rows(column):
+        yield (row, stop, *distinct(*shingles(h, at, k)))
