@@ -108,8 +108,9 @@ class Index:
 
     def __init__(self, rows: list, longest: float, project: np.ndarray):
         self.rows = [(r["path"], r["n"], r["leaves"], r["ids"]) for r in rows]
-        self.low = np.array([r["low"] for r in rows]).reshape(len(rows), -1)
-        self.high = np.array([r["high"] for r in rows]).reshape(len(rows), -1)
+        m = project.shape[1]
+        self.low = np.array([r["low"] for r in rows]).reshape(-1, m)
+        self.high = np.array([r["high"] for r in rows]).reshape(-1, m)
         self.longest, self.project = longest, project
         self._open: dict[int, tuple] = {}
 
