@@ -7,6 +7,9 @@ one cell, and the box it is tested against covers the cells its rule can reach.
 
 from __future__ import annotations
 
+from itertools import combinations
+from operator import itemgetter
+
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +22,6 @@ from kotonoha.operators import ordered
 PAGE = ["page_id"]
 PER_CELL = 256
 MAX_GRID = 256
-GROUP_LIMIT = 2000
 
 
 # -- G01 ---------------------------------------------------------------------------
@@ -210,11 +212,11 @@ def prefilter_frames(frames: DataFrame, raw: DataFrame, pages: DataFrame, ruby:
 # -- independent parts of a page ---------------------------------------------------------
 
 
-def _cut(boxes: DataFrame, start: str, length: str, margin: int) -> DataFrame:
-    """Refine ``_part`` where no box reaches across a gutter along one axis."""
+def _bands(boxes: DataFrame, start: str, length: str) -> DataFrame:
+    """Refine ``_part``: a new band begins where all earlier boxes of the part, along one axis, have ended."""
     keys = ["page_id", "_part"]
     tie = [F.col("box_idx")]
-    end = (F.col(start) + F.col(length) + margin).cast("long")
+    end = (F.col(start) + F.col(length)).cast("long")
     d = ordered.prefix_max(boxes, keys, start, end, "_far", tie)
     opens = (F.col("_far").isNotNull() & (F.col("_far") <= F.col(start))).cast("long")
     d = ordered.prefix_sums(d.withColumn("_o", opens), keys, start, {"_band": F.col("_o")}, order=tie, inclusive=True)
@@ -222,32 +224,24 @@ def _cut(boxes: DataFrame, start: str, length: str, margin: int) -> DataFrame:
     return d.withColumn("_part", part).drop("_far", "_o", "_band")
 
 
-def independent_parts(boxes: DataFrame, margin: int = 0, limit: int = GROUP_LIMIT, rounds: int = 3) -> DataFrame:
-    """Add ``_part``: boxes of different parts can never meet.
+def column_parts(boxes: DataFrame) -> DataFrame:
+    """Add ``_part``: boxes of different parts never share an x, so neither do their unions or cuts."""
+    return _bands(boxes.withColumn("_part", F.lit(0).cast("long")), "x", "w")
 
-    A part ends at an empty strip across the whole part, so any union or cut of
-    its boxes stays inside it.  Only pages with more than ``limit`` boxes are cut.
-    """
-    large = boxes.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select("page_id")
-    whole = boxes.withColumn("_part", F.lit(0).cast("long"))
-    if large.isEmpty():
-        return whole
-    d = whole.join(large, "page_id", "left_semi")
-    for _ in range(rounds):
-        d = written(_cut(_cut(d, "y", "h", margin), "x", "w", margin), "parts")
-    return whole.join(large, "page_id", "left_anti").unionByName(d.select(whole.columns))
 
+def independent_parts(boxes: DataFrame) -> DataFrame:
+    """Add ``_part``: boxes of different parts are kept apart by an empty strip, so their unions never meet."""
+    return _bands(written(column_parts(boxes), "parts"), "y", "h")
 
-# -- G05, G06 ----------------------------------------------------------------------------
 
+def crowded_parts(boxes: DataFrame) -> DataFrame:
+    """Parts in which some box begins before an earlier one has ended, from above: all others have no two boxes that overlap."""
+    keys = ["page_id", "_part"]
+    d = ordered.prefix_max(boxes, keys, "y", (F.col("y") + F.col("h")).cast("long"), "_far", [F.col("box_idx")])
+    return d.filter(F.col("_far") > F.col("y")).select(*keys).distinct()
 
-def _mergeable(a: str, b: str, threshold: float) -> Column:
-    e = F.expr
-    ix = e(f"least({a}x + {a}w, {b}x + {b}w) - greatest({a}x, {b}x)")
-    iy = e(f"least({a}y + {a}h, {b}y + {b}h) - greatest({a}y, {b}y)")
-    area = e(f"least(cast({a}w as bigint) * {a}h, cast({b}w as bigint) * {b}h)")
-    apart = e(f"abs(({a}y + {a}y + {a}h) / 2.0 - ({b}y + {b}y + {b}h) / 2.0)")
-    return (ix > 0) & (iy > 0) & (area > 0) & (ix * iy / area >= threshold) & (apart <= e(f"({a}h + {b}h) / 2.0"))
+
+# -- G05, G06 ----------------------------------------------------------------------------
 
 
 MERGED = "page_id long, x int, y int, w int, h int, confidence double, members int"
@@ -288,14 +282,11 @@ def merge_overlapping(boxes: DataFrame, threshold: float = fx.MERGE_OVERLAP) ->
     """Greedy union of overlapping boxes, largest first, with the running
     union.  ``boxes(page_id, box_idx, x, y, w, h, confidence, is_rotated)``.
 
-    Rotated frames pass through.  Only parts that hold a mergeable pair are
+    Rotated frames pass through.  Only parts where boxes can overlap are
     folded; the rest are untouched.
     """
-    straight = independent_parts(boxes.filter("not is_rotated").drop("is_rotated"))
-    side = lambda p: straight.select("page_id", "_part", *[F.col(c).alias(p + c) for c in ("box_idx", "x", "y", "w", "h")])
-    touched = side("a_").join(side("b_"), ["page_id", "_part"]).filter(
-        (F.col("a_box_idx") < F.col("b_box_idx")) & _mergeable("a_", "b_", threshold)
-    ).select("page_id", "_part").distinct()
+    straight = written(independent_parts(boxes.filter("not is_rotated").drop("is_rotated")), "parts")
+    touched = crowded_parts(straight)
     keys = ["page_id", "_part"]
     area = F.col("w").cast("long") * F.col("h")
     folded = ordered.fold_groups(
@@ -520,33 +511,32 @@ def strong_connectivity(edges: DataFrame) -> DataFrame:
 CUT_BOXES = "page_id long, box_idx long, x int, y int, w int, h int"
 
 
-def _cut_fold(rows: list[dict]) -> list[tuple]:
-    for i, a in enumerate(rows):
-        for b in rows[i + 1 :]:
-            if min(a["x"] + a["w"], b["x"] + b["w"]) <= max(a["x"], b["x"]):
-                continue
-            upper, lower = (a, b) if a["y"] <= b["y"] else (b, a)
-            top_end, low_end = upper["y"] + upper["h"], lower["y"] + lower["h"]
-            if top_end > lower["y"]:
-                middle = int((lower["y"] + min(top_end, low_end)) / 2)
-                upper["h"] = max(middle - upper["y"], 1)
-                lower["y"] = upper["y"] + upper["h"]
-                lower["h"] = max(low_end - lower["y"], 1)
-    return [tuple(r[c] for c in ("page_id", "box_idx", "x", "y", "w", "h")) for r in rows]
+def _separate(rows: list[dict]) -> list[tuple]:
+    """Boxes as vertical spans.  Of two that share an x and overlap, the end of the upper and the start of the lower
+    one become the same line, halfway through what they share; a span keeps at least one pixel."""
+    spans = [[r["y"], r["y"] + r["h"]] for r in rows]
+    for (i, a), (j, b) in combinations(enumerate(rows), 2):
+        if a["x"] >= b["x"] + b["w"] or b["x"] >= a["x"] + a["w"]:
+            continue
+        upper, lower = sorted((spans[i], spans[j]), key=itemgetter(0))
+        if lower[0] < upper[1]:
+            line = max(int((lower[0] + min(upper[1], lower[1])) / 2), upper[0] + 1)
+            upper[1] = lower[0] = line
+            lower[1] = max(lower[1], line + 1)
+    return [(r["page_id"], r["box_idx"], r["x"], top, r["w"], end - top) for r, (top, end) in zip(rows, spans)]
 
 
 def split_stacked(boxes: DataFrame) -> DataFrame:
     """Horizontal lines that overlap are cut apart, pair by pair in index
-    order on the boxes as already cut.  Parts without such a pair are untouched."""
-    flat = independent_parts(boxes.filter(~is_vertical(F.col("w"), F.col("h"))), margin=2)
+    order on the boxes as already cut.
+
+    A cut moves boxes down but never sideways, so boxes that are connected by shared x
+    are folded together and no others; a part without overlapping boxes is untouched.
+    """
+    flat = written(column_parts(boxes.filter(~is_vertical(F.col("w"), F.col("h")))), "parts")
     keys = ["page_id", "_part"]
-    side = lambda p: flat.select(*keys, *[F.col(c).alias(p + c) for c in ("box_idx", "x", "y", "w", "h")])
-    meet = F.expr(
-        "a_box_idx < b_box_idx and least(a_x + a_w, b_x + b_w) > greatest(a_x, b_x) "
-        "and least(a_y + a_h, b_y + b_h) + 2 > greatest(a_y, b_y)"
-    )
-    touched = side("a_").join(side("b_"), keys).filter(meet).select(*keys).distinct()
+    touched = crowded_parts(flat)
     cols = ["page_id", "box_idx", "x", "y", "w", "h"]
-    cut = ordered.fold_groups(flat.join(touched, keys, "left_semi"), keys, [F.col("box_idx")], _cut_fold, CUT_BOXES)
+    cut = ordered.fold_groups(flat.join(touched, keys, "left_semi"), keys, [F.col("box_idx")], _separate, CUT_BOXES)
     rest = flat.join(touched, keys, "left_anti").select(cols)
     return cut.unionByName(rest).unionByName(boxes.filter(is_vertical(F.col("w"), F.col("h"))).select(cols))

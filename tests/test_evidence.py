@@ -80,25 +80,45 @@ def box(page, i, x, y, w, h):
 BOX = "page_id long, box_idx long, x int, y int, w int, h int, confidence double, is_rotated boolean"
 
 
-def test_merge_with_running_union_and_parts(spark):
-    rng = random.Random(11)
-    rows = [box(1, i, rng.randint(0, 900), rng.randint(0, 900), rng.randint(5, 60), rng.randint(5, 30)) for i in range(300)]
-    df = spark.createDataFrame(rows, BOX)
-    plain = geometry._merge_fold(0.4)([dict(zip(["page_id", "box_idx", "x", "y", "w", "h", "confidence"], r)) for r in sorted(rows, key=lambda r: (-r[4] * r[5], r[1]))])
-    want = sorted((x, y, w, h) for _, x, y, w, h, _, _ in plain)
-    whole = geometry.independent_parts
-    try:
-        for limit in (10_000, 20):
-            geometry.independent_parts = lambda b, margin=0, limit=limit: whole(b, margin, limit)
-            got = sorted((r.x, r.y, r.w, r.h) for r in geometry.merge_overlapping(df).collect())
-            assert got == want
-    finally:
-        geometry.independent_parts = whole
+def merged(spark, rows):
+    return sorted((r.x, r.y, r.w, r.h, r.members) for r in geometry.merge_overlapping(spark.createDataFrame(rows, BOX)).collect())
+
+
+def test_merge_with_running_union(spark):
+    # the union of the first two reaches the third, which neither reaches alone; the fourth overlaps too little
+    rows = [box(1, 0, 0, 0, 100, 20), box(1, 1, 60, 0, 80, 20), box(1, 2, 130, 0, 20, 20), box(1, 3, 148, 0, 40, 20), box(1, 4, 0, 500, 10, 10)]
+    assert merged(spark, rows) == [(0, 0, 150, 20, 3), (0, 500, 10, 10, 1), (148, 0, 40, 20, 1)]
+    # boxes on either side of an empty strip are never one
+    rows = [box(2, i, 40 * i, 0, 30, 10) for i in range(50)]
+    assert len(merged(spark, rows)) == 50
+
+
+def cut_apart(spark, rows):
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "page_id long, box_idx long, x int, y int, w int, h int")
+    return {r.box_idx: (r.y, r.h) for r in geometry.split_stacked(df).collect()}
 
 
 def test_split_stacked(spark):
-    df = spark.createDataFrame([(1, 0, 0, 0, 100, 30), (1, 1, 0, 20, 100, 30), (1, 2, 200, 0, 100, 30)], "page_id long, box_idx long, x int, y int, w int, h int")
-    assert {(r.box_idx, r.y, r.h) for r in geometry.split_stacked(df).collect()} == {(0, 0, 25), (1, 25, 25), (2, 0, 30)}
+    assert cut_apart(spark, [(0, 0, 100, 30), (0, 20, 100, 30), (200, 0, 100, 30)]) == {0: (0, 25), 1: (25, 25), 2: (0, 30)}
+    # a box inside another, and equal tops: the earlier one stays above
+    assert cut_apart(spark, [(0, 0, 100, 40), (0, 10, 100, 10)]) == {0: (0, 15), 1: (15, 5)}
+    assert cut_apart(spark, [(0, 0, 100, 10), (0, 0, 100, 10)]) == {0: (0, 5), 1: (5, 5)}
+
+
+def test_stacked_boxes_push_the_next_ones_down(spark):
+    # twelve boxes in one place take a pixel each, and so reach one that lies below the first eleven
+    got = cut_apart(spark, [(0, 0, 10, 1)] * 12 + [(0, 5, 10, 3)])
+    assert got[12] == (12, 1)
+
+
+def test_large_pages_are_cut_like_small_ones(spark):
+    rng = random.Random(4)
+    rows = [(200 * (i % 50) + rng.randint(0, 60), rng.randint(0, 500), 100, rng.randint(5, 20)) for i in range(2500)]
+    whole = cut_apart(spark, rows)
+    for column in (0, 7):
+        mine = [i for i in range(2500) if i % 50 == column]
+        alone = cut_apart(spark, [rows[i] for i in mine])
+        assert {i: whole[i] for i in mine} == {i: alone[n] for n, i in enumerate(mine)}
 
 
 def test_ruby_overlap_boundary(spark):
