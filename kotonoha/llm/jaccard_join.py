@@ -32,12 +32,13 @@ from pyspark.sql import Window
 from kotonoha.functions.tables import written
 from kotonoha.llm import words
 from kotonoha.llm.components import components
+from kotonoha.llm.counts import counted, even, gathered, shard_rows
 
 WORDS = 5
 #: Links have ``100 * shared >= PERCENT * united``.
 PERCENT = 75
 #: Shingles in a shard.
-SHARD_ENTRIES = 6_000_000
+SHARD_ENTRIES = 3_000_000
 #: Sets of a region that a task joins.
 REGION_SETS = 4096
 #: Frequent shingles moved to the end of the order: at most so many, each in more than so many sets.  They change the time only.
@@ -94,7 +95,7 @@ def _unpress(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.uint64), owners[np.frombuffer(content, f"<u{width}", n, 24 + 8 * m + 8 * n)]
 
 
-def _postings(texts: DataFrame, pick: Callable, shards: int, part: float = 1.0, held_entries: int = 2_000_000) -> DataFrame:
+def _postings(texts: DataFrame, pick: Callable, shards: int, part: float = 1.0, held_entries: int = 1_000_000) -> DataFrame:
     """``(shard, data)``: shingles of ``texts(text)`` with their sets' hashes, cut by ranges of shingles in the first ``part`` of all.
 
     ``pick(values, at, names)`` gives shingles and the rows they are of.
@@ -144,9 +145,12 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return token, owner, begin, np.diff(np.append(begin, len(token)))
 
 
-def alone(texts: DataFrame, shards: int, part: float) -> DataFrame:
-    """For each set (``kind`` 0): how many of its shingles in the first ``part`` of all no other set has; and (``kind`` 1)
-    frequent shingles with their number of sets."""
+def alone(texts: DataFrame, shards: int, part: float) -> tuple[DataFrame, DataFrame]:
+    """``(set, single)``: how many of a set's shingles in the first ``part`` of all no other set has; and ``(shingle, n)``:
+    frequent shingles with their number of sets.
+
+    A shard's numbers go back to the sets as sorted arrays, cut by ranges of sets, and are added up there.
+    """
     top = _top(part)
 
     def pick(values, at, names):
@@ -159,14 +163,26 @@ def alone(texts: DataFrame, shards: int, part: float) -> DataFrame:
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         token, owner, begin, n = _merged(table)
-        single, times = np.unique(owner[begin[n == 1]], return_counts=True)
+        single = shard_rows(*counted(np.sort(owner[begin[n == 1]].view(np.uint64))), bounds)
         often = n > FREQUENT
-        names = np.concatenate((single, token[begin[often]].view(np.int64)))
-        kinds = np.concatenate((np.zeros(len(single), np.int32), np.ones(int(often.sum()), np.int32)))
-        return pa.table({"kind": kinds, "name": names, "n": np.concatenate((times, n[often])).astype(np.int64)})
-
-    blobs = _postings(texts, pick, max(1, math.ceil(shards * part)), part)
-    return blobs.groupBy("shard").applyInArrow(count, "kind int, name long, n long")
+        return pa.concat_tables([
+            pa.table({"range": single.column(0), "data": single.column(1), "shingle": pa.nulls(single.num_rows, pa.int64()), "n": pa.nulls(single.num_rows, pa.int64())}),
+            pa.table({
+                "range": pa.nulls(int(often.sum()), pa.int32()), "data": pa.nulls(int(often.sum()), pa.binary()),
+                "shingle": token[begin[often]].view(np.int64), "n": n[often].astype(np.int64),
+            }),
+        ])
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        names, single = gathered(table["data"].to_pylist())
+        return pa.table({"set": names.view(np.int64), "single": single.astype(np.int64)})
+
+    shards = max(1, math.ceil(shards * part))
+    bounds = np.array(even(shards, 1 << 64), np.uint64)
+    blobs = _postings(texts, pick, shards, part)
+    found = written(blobs.groupBy("shard").applyInArrow(count, "range int, data binary, shingle long, n long"), "alone")
+    single = found.filter("data is not null").select("range", "data").groupBy("range").applyInArrow(add, "set long, single long")
+    return single, found.filter("data is null").select("shingle", "n")
 
 
 def _top(part: float) -> np.uint64:
@@ -358,15 +374,14 @@ def join(docs: DataFrame, part: float = 0.5, shard_entries: int = SHARD_ENTRIES,
     valid = sets.filter("n_shingles > 0 and doc_id is not null")
     classes = written(valid.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min("n_shingles").alias("n")), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    counted = written(alone(rows, max(1, math.ceil(total[0] / shard_entries)), part), "alone")
+    single, often = alone(rows, max(1, math.ceil(total[0] / shard_entries)), part)
     # bounded by MOST_FREQUENT, whatever the input
-    frequent = counted.filter("kind = 1").orderBy(F.desc("n"), "name").limit(MOST_FREQUENT).select("name").collect()
-    single = counted.filter("kind = 0").groupBy(F.col("name").alias("set")).agg(F.sum("n").alias("single"))
+    frequent = often.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).select("shingle").collect()
     spare = F.expr(f"n - (n * {PERCENT} + 99) div 100")
     left = classes.join(single, "set", "left").filter(F.coalesce("single", F.lit(0)) <= spare)
     texts = written(_texts_of(rows, left.select(F.col("set").alias("node"), F.col("class_id").alias("doc_id"))), "texts")
     shards = max(1, math.ceil(texts.count() * total[0] / max(1, total[1]) / 3 / shard_entries))
-    met = meetings(texts, np.array([r["name"] for r in frequent], np.int64).view(np.uint64), shards, part)
+    met = meetings(texts, np.array([r["shingle"] for r in frequent], np.int64).view(np.uint64), shards, part)
     members = met.select(F.col("pivot").cast("string").alias("region"), "node")
     # rows of one id with different sets
     several = valid.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("b")).filter("a <> b")

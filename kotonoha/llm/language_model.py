@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions.tables import written
 from kotonoha.llm import files, words
+from kotonoha.llm.counts import counted, even, gathered, press, shard_rows, unpress
 from kotonoha.session import scratch_dir
 
 END = np.uint64(0xE7037ED1A0B428DB)
@@ -50,73 +51,15 @@ def tokens(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield row, stop, out, to
 
 
-def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts (1 each by default)."""
-    if counts is None:
-        keys = np.sort(keys)
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        return keys[first], np.diff(np.append(first, len(keys))).astype(np.uint64)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def _press(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte planes together, then counts."""
-    import zstandard
-
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(keys)).tobytes() + np.ascontiguousarray(gaps).tobytes() + counts.astype("<u4").tobytes())
-
-
-def _unpress(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    import zstandard
-
-    content = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(content, "<i8", 1)[0])
-    gaps = np.ascontiguousarray(np.frombuffer(content, np.uint8, 8 * n, 8).reshape(8, n).T).view("<u8").ravel()
-    return np.cumsum(gaps, dtype=np.uint64), np.frombuffer(content, "<u4", n, 8 + 8 * n).astype(np.uint64)
-
-
-def _shard_rows(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-    """One row per shard with entries; ``bounds`` are the first keys of the shards."""
-    cut = np.append(np.searchsorted(keys, bounds), len(keys))
-    full = [s for s in range(len(bounds)) if cut[s] < cut[s + 1]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(full, pa.int32()), pa.array([_press(keys[cut[s] : cut[s + 1]], counts[cut[s] : cut[s + 1]]) for s in full], pa.binary())],
-        names=["shard", "data"],
-    )
-
-
-def _even(shards: int, top: int) -> list[int]:
-    return [i * top // shards for i in range(shards)]
-
-
 def pair_bounds(shards: int, n_words: int, n_tokens: int, hot: list[tuple[int, int]]) -> list[int]:
     """First keys of the shards of pairs: even ranges of contexts, with ``hot`` ones ``(number, count)`` cut by their second word."""
-    bounds = {i << 32 for i in _even(shards, n_words + 1)} | {_START << 32}
+    bounds = {i << 32 for i in even(shards, n_words + 1)} | {_START << 32}
     for number, count in hot:
         parts = -(-count * shards // n_tokens)
-        bounds |= {(number << 32) + x for x in _even(parts, n_words)} | {(number + 1) << 32}
+        bounds |= {(number << 32) + x for x in even(parts, n_words)} | {(number + 1) << 32}
     return sorted(bounds)
 
 
-def _gathered(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of counted arrays, two at a time so that memory stays near that of the result."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for blob in blobs:
-        keys, counts = _unpress(blob)
-        while held and len(held[-1][0]) <= 2 * len(keys):
-            k, c = held.pop()
-            keys, counts = counted(np.concatenate((k, keys)), np.concatenate((c, counts)))
-        held.append((keys, counts))
-    while len(held) > 1:
-        (k1, c1), (k2, c2) = held.pop(), held.pop()
-        held.append(counted(np.concatenate((k1, k2)), np.concatenate((c1, c2))))
-    return held[0]
-
-
 class Sorted:
     """Shards of one sorted table, mapped when first asked."""
 
@@ -200,10 +143,10 @@ def _count(docs: DataFrame, keys_of, first_keys: list[int]) -> DataFrame:
                 held.append(keys)
                 size += len(keys)
                 if size >= HELD:
-                    yield _shard_rows(*counted(np.concatenate(held)), bounds)
+                    yield shard_rows(*counted(np.concatenate(held)), bounds)
                     held, size = [], 0
         if size:
-            yield _shard_rows(*counted(np.concatenate(held)), bounds)
+            yield shard_rows(*counted(np.concatenate(held)), bounds)
 
     return docs.select("text").mapInArrow(run, "shard int, data binary")
 
@@ -243,7 +186,7 @@ def train(docs: DataFrame, folder: str | None = None, shard_entries: int = SHARD
         return (h for _, _, h, _ in tokens(column))
 
     def add_words(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, counts = _gathered(table["data"].to_pylist())
+        keys, counts = gathered(table["data"].to_pylist())
         hot = np.flatnonzero(counts > size[0] // 6 // (4 * pair_shards) + 1000)
         return pa.table({
             "shard": pa.array([key[0].as_py()], pa.int32()), "first": [_signed(int(keys[0]))], "n": [len(keys)],
@@ -252,7 +195,7 @@ def train(docs: DataFrame, folder: str | None = None, shard_entries: int = SHARD
         })
 
     listed = "shard int, first long, n long, path string, total long"
-    found = _count(docs, word_keys, _even(word_shards, 1 << 64)).groupBy("shard").applyInArrow(add_words, listed + ", hot array<long>, hot_counts array<long>")
+    found = _count(docs, word_keys, even(word_shards, 1 << 64)).groupBy("shard").applyInArrow(add_words, listed + ", hot array<long>, hot_counts array<long>")
     found = sorted(written(found, "words").collect(), key=lambda r: r["shard"])
     vocabulary = Sorted(_listed(found))
     n_words, n_tokens = sum(r["n"] for r in found), sum(r["total"] for r in found)
@@ -267,7 +210,7 @@ def train(docs: DataFrame, folder: str | None = None, shard_entries: int = SHARD
             yield pairs_of(vocabulary, h, at)[1]
 
     def add_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, counts = _gathered(table["data"].to_pylist())
+        keys, counts = gathered(table["data"].to_pylist())
         first = keys >> np.uint64(32)
         begin = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
         stats = np.stack([np.add.reduceat(x.astype(np.uint64), begin) for x in (counts, counts == 1, counts == 2, counts > 2)])
@@ -277,7 +220,7 @@ def train(docs: DataFrame, folder: str | None = None, shard_entries: int = SHARD
             "shard": pa.array([key[0].as_py()], pa.int32()), "first": [_signed(int(keys[0]))], "n": [len(keys)],
             "path": [_write(folder, "pairs", keys, counts)], "total": [int(counts.sum())], "of_count": _one(_totals(counts)),
             "contexts_path": [_write(folder, "contexts", first[begin], *stats)], "contexts_n": [len(begin)], "contexts_first": [int(first[0])],
-            "hot": _one([[int(first[begin[i]]), *stats[:, i].astype(np.int64).tolist()] for i in cut], pa.list_(pa.int64())), "before": [_press(seconds, before)],
+            "hot": _one([[int(first[begin[i]]), *stats[:, i].astype(np.int64).tolist()] for i in cut], pa.list_(pa.int64())), "before": [press(seconds, before)],
         })
 
     kinds = ", of_count array<long>, contexts_path string, contexts_n long, contexts_first long, hot array<array<long>>, before binary"
@@ -294,12 +237,12 @@ def train(docs: DataFrame, folder: str | None = None, shard_entries: int = SHARD
         bounds = vocabulary.before[:-1].astype(np.uint64)
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                yield _shard_rows(*_unpress(data), bounds)
+                yield shard_rows(*unpress(data), bounds)
 
     def add_before(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """A word's number of different words before it, beside its count."""
         s = key[0].as_py()
-        numbers, before = _gathered(table["data"].to_pylist())
+        numbers, before = gathered(table["data"].to_pylist())
         keys, (counts, *_) = vocabulary._shard(s)
         full = np.zeros(len(keys), np.uint64)
         full[(numbers - np.uint64(vocabulary.before[s])).astype(np.int64)] = before
