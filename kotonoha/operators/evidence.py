@@ -8,9 +8,6 @@ many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,125 +186,81 @@ def merge_alternatives(a: Column, b: Column, k: int = fx.TOP_K) -> Column:
     return F.transform(F.slice(F.array_sort(both, by_score), 1, k), lambda x: F.struct(x["ch"], x["score"]))
 
 
-STITCHED = "line_id long, char_idx long, ch string, col double, centre double, alts array<struct<ch:string,score:double>>"
-
-
-class _Stitch:
-    """The accumulated line: what the next chunk is aligned to."""
-
-    def __init__(self, line_id: int):
-        self.line_id = line_id
-        self.rows: list[tuple] | None = None  # (ch, col, centre, alts)
-
-    def add(self, ch: str, col: float, centre: float, alts: list) -> bool:
-        if self.rows and self.rows[-1][0] == " " and ch == " ":
-            return False
-        self.rows.append((ch, col, centre, alts))
-        return True
-
-    def best_pair(self, chunk: list[tuple]) -> tuple[int, int] | None:
-        best, pair = -1.0, None
-        first = max(0, len(self.rows) - fx.STITCH_WINDOW)
-        for p in range(len(self.rows) - 1, first - 1, -1):
-            for c, item in enumerate(chunk[: fx.STITCH_WINDOW]):
-                dist = abs(self.rows[p][2] - item[2])
-                if dist > fx.STITCH_MAX_DIST:
-                    continue
-                pred = _agree(self.rows[p][3], item[3])
-                if pred < fx.STITCH_MIN_AGREEMENT:
-                    continue
-                score = (1.0 - dist / fx.STITCH_MAX_DIST) * 0.3 + pred * 0.7
-                if score > best:
-                    best, pair = score, (p, c)
-        return pair
-
-    def take(self, chunk: list[tuple], offset_t: float, step_px: float) -> None:
-        if self.rows is None:
-            self.rows = list(chunk)
-            return
-        pair = self.best_pair(chunk) if chunk and self.rows else None
-        if pair:
-            p, c = pair
-            kept = self.rows[p]
-            self.rows[p] = (kept[0], kept[1], kept[2], _merge(kept[3], chunk[c][3]))
-            del self.rows[p + 1 :]
-            self.append(chunk[c + 1 :], kept[1] - chunk[c][1], kept[2] - chunk[c][2])
-            return
-        last = self.rows[-1][2] if self.rows else -100.0
-        lone = bool(self.rows) and len(chunk) == 1
-        added = 0
-        for ch, t, px, alts in chunk:
-            if px > last + fx.STITCH_APPEND_GAP or (lone and added == 0):
-                added += self.add(ch, offset_t + t, px, alts)
-        if added == 0 and chunk and self.rows:
-            self.append(chunk, self.rows[-1][1] + 1.0 - chunk[0][1], self.rows[-1][2] + step_px - chunk[0][2])
-
-    def append(self, items: list[tuple], shift_t: float, shift_px: float) -> None:
-        for ch, t, px, alts in items:
-            self.add(ch, t + shift_t, px + shift_px, alts)
-
-    def output(self) -> list[tuple]:
-        out: list[tuple] = []
-        for row in self.rows or []:
-            if not (out and out[-1][0] == " " and row[0] == " "):
-                out.append(row)
-        return [(self.line_id, i, *row) for i, row in enumerate(out)]
-
-
-def _agree(a: list, b: list) -> float:
-    if not a or not b:
-        return 0.0
-    if a[0][0] == b[0][0]:
-        right = {c for c, _ in b[:5]}
-        return 0.6 + sum(c in right for c, _ in a[:5]) / 5.0 * 0.4
-    near = any(c == a[0][0] for c, _ in b[:3]) or any(c == b[0][0] for c, _ in a[:3])
-    return 0.5 if near else 0.0
-
-
-def _merge(a: list, b: list) -> list:
-    merged = dict(a)
-    for ch, score in b:
-        old = merged.get(ch)
-        merged[ch] = (old + score) * 0.8 if old is not None and old > 0 else score * 0.6
-    return sorted(merged.items(), key=lambda kv: -kv[1])[: fx.TOP_K]
+_ITEM = "array<struct<ch:string,col:double,centre:double,alts:array<struct<ch:string,score:double>>>>"
+
+
+def _without_double_spaces(items: Column, before: Column) -> Column:
+    """Items without those spaces that follow a space; ``before`` is the character ahead of the first."""
+    follows = lambda i: F.when(i == 0, before).otherwise(F.get(items, i - 1)["ch"])
+    return F.filter(items, lambda x, i: ~((x["ch"] == " ") & F.coalesce(follows(i) == " ", F.lit(False))))
+
+
+def _moved(items: Column, col: Column, centre: Column) -> Column:
+    return F.transform(items, lambda x: F.struct(
+        x["ch"].alias("ch"), (x["col"] + col).alias("col"), (x["centre"] + centre).alias("centre"), x["alts"].alias("alts")
+    ))
+
+
+def _join_of(rows: Column, items: Column) -> Column:
+    """The best pair (D06's rule) of the last ten characters so far and a chunk's first ten: ``(score, place so far, -place in the chunk)``."""
+    n = F.size(rows)
+    head = F.slice(items, 1, fx.STITCH_WINDOW)
+
+    def pairs_at(p: Column) -> Column:
+        def pair(x: Column, c: Column) -> Column:
+            kept = F.get(rows, p)
+            dist, agree = F.abs(kept["centre"] - x["centre"]), agreement(kept["alts"], x["alts"])
+            score = (1.0 - dist / fx.STITCH_MAX_DIST) * 0.3 + agree * 0.7
+            fits = (dist <= fx.STITCH_MAX_DIST) & (agree >= fx.STITCH_MIN_AGREEMENT)
+            return F.when(fits, F.struct(score.alias("score"), p.cast("int").alias("place"), (-c).cast("int").alias("back")))
+
+        return F.transform(head, pair)
+
+    places = F.sequence(F.greatest(n - fx.STITCH_WINDOW, F.lit(0)), n - 1)
+    return F.when((n > 0) & (F.size(items) > 0), F.array_max(F.flatten(F.transform(places, pairs_at))))
+
+
+def _with_chunk(rows: Column, chunk: Column) -> Column:
+    """The characters so far and those a chunk adds."""
+    items, n = chunk["items"], F.size(rows)
+    last = F.get(rows, n - 1)
+
+    def joined(best: Column) -> Column:
+        kept, met = F.get(rows, best["place"]), F.get(items, -best["back"])
+        both = F.struct(kept["ch"].alias("ch"), kept["col"].alias("col"), kept["centre"].alias("centre"), merge_alternatives(kept["alts"], met["alts"]).alias("alts"))
+        rest = _moved(F.slice(items, 2 - best["back"], F.size(items)), kept["col"] - met["col"], kept["centre"] - met["centre"])
+        return F.concat(F.slice(rows, 1, best["place"]), F.array(both).cast(_ITEM), _without_double_spaces(rest, kept["ch"]).cast(_ITEM))
+
+    # without a pair: what lies beyond the last centre, a single character in any case, else the chunk one step on
+    edge = F.coalesce(last["centre"], F.lit(-100.0)) + fx.STITCH_APPEND_GAP
+    lone = (n > 0) & (F.size(items) == 1)
+    beyond = F.filter(items, lambda x: lone | (x["centre"] > edge))
+    beyond = _without_double_spaces(_moved(beyond, chunk["offset_px"] / chunk["step_px"], F.lit(0.0)), last["ch"])
+    first = F.get(items, F.lit(0))
+    next_ = _without_double_spaces(_moved(items, last["col"] + 1.0 - first["col"], last["centre"] + chunk["step_px"] - first["centre"]), last["ch"])
+    added = F.when((F.size(beyond) > 0) | (n == 0), beyond).otherwise(next_).cast(_ITEM)
+    # the pair is found once and then used
+    found = F.transform(F.filter(F.array(_join_of(rows, items)), lambda b: b.isNotNull()), joined)
+    return F.coalesce(F.get(found, F.lit(0)), F.concat(rows, added))
 
 
 def stitch_lines(chunks: DataFrame) -> DataFrame:
     """Fold the overlapping chunks of each line into one line.
 
     ``chunks(line_id, chunk, offset_px, step_px, items)`` with ``items`` an array of
-    ``(ch, col, centre, alts)``.  The state is the text so far, so a line is folded
-    in order; lines are folded in parallel, and a task streams through its
-    sorted chunks instead of holding a group.
+    ``(ch, col, centre, alts)``.  What a chunk adds depends on the text so far, so a line's chunks are
+    folded in order as one array; lines are folded in parallel.
     """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: _Stitch | None = None
-        names = ["line_id", "char_idx", "ch", "col", "centre", "alts"]
-        for pdf in batches:
-            done: list[tuple] = []
-            for r in pdf.itertuples(index=False):
-                if state is None or state.line_id != r.line_id:
-                    if state is not None:
-                        done += state.output()
-                    state = _Stitch(r.line_id)
-                items = [
-                    (i["ch"], float(i["col"]), float(i["centre"]), [(x["ch"], float(x["score"])) for x in i["alts"]])
-                    for i in r.items
-                ]
-                state.take(items, r.offset_px / r.step_px, r.step_px)
-            yield _stitched(done, names)
-        if state is not None:
-            yield _stitched(state.output(), names)
-
-    in_order = chunks.select("line_id", "chunk", "offset_px", "step_px", "items").repartition("line_id")
-    return in_order.sortWithinPartitions("line_id", "chunk").mapInPandas(fold, STITCHED)
-
-
-def _stitched(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    out["alts"] = [[{"ch": c, "score": s} for c, s in alts] for alts in out["alts"]]
-    return out
+    rows = chunks.select("line_id", F.struct(
+        "chunk", F.col("offset_px").cast("double").alias("offset_px"), F.col("step_px").cast("double").alias("step_px"), F.col("items").cast(_ITEM).alias("items")
+    ).alias("c"))
+    lines = rows.groupBy("line_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    start = F.get("c", F.lit(0))["items"]
+    text = F.aggregate(F.slice("c", 2, F.size("c")), start, _with_chunk)
+    done = lines.select("line_id", text.alias("_text")).select("line_id", _without_double_spaces(F.col("_text"), F.lit("")).alias("_text"))
+    return done.select("line_id", F.posexplode("_text").alias("_i", "x")).select(
+        "line_id", F.col("_i").cast("long").alias("char_idx"), "x.ch", "x.col", "x.centre", "x.alts"
+    )
 
 
 # -- D09 - D12: gaps -------------------------------------------------------------

@@ -7,38 +7,47 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions import fixed as fx
 from kotonoha.functions import text as tx
+from kotonoha.functions.tables import written
 
 SUPPLEMENTARY = "[\\x{10000}-\\x{10FFFF}]"
 
 
-def _windows(text: Column, before: int, after: int) -> Column:
+def _with_windows(texts: DataFrame, text: str, before: int, after: int, out: str) -> DataFrame:
     """Per character the string from ``before`` places before it to ``after``
     places after it, cut at the ends.  Linear in the length of the text."""
-    chars = tx.chars_of(text)
-
-    def at(i: Column) -> Column:
-        first = F.greatest(i - before, F.lit(1))
-        return F.array_join(F.slice("_chars", first, i + after - first + 1), "")
 
-    return chars, F.transform(F.sequence(F.lit(1), F.size("_chars")), at)
+    def at(_: Column, i: Column) -> Column:
+        return F.concat(*[F.coalesce(F.get("_chars", i + k), F.lit("")) for k in range(-before, after + 1)])
 
-
-def _with_windows(texts: DataFrame, text: str, before: int, after: int, out: str) -> DataFrame:
-    chars, windows = _windows(F.col(text), before, after)
     return (
         texts.filter(F.length(text) > 0)
-        .withColumn("_chars", chars)
-        .withColumn(out, F.explode(windows))
+        .withColumn("_chars", tx.chars_of(F.col(text)))
+        .withColumn(out, F.explode(F.transform("_chars", at)))
         .drop("_chars")
     )
 
 
+def document_windows(texts: DataFrame, key: str, text: str = "text", max_order: int = fx.MAX_ORDER) -> DataFrame:
+    """``(key, window, n)``: each document's characters with up to ``max_order - 1`` before them, counted.
+
+    Model counts, distinct windows and the mass all follow from this table; write it if more than one is needed.
+    """
+    return _with_windows(texts.select(key, text), text, max_order - 1, 0, "window").groupBy(key, "window").agg(F.count(F.lit(1)).alias("n"))
+
+
+def counts_of_windows(windows: DataFrame) -> DataFrame:
+    """Counts of all n-grams from ``(window, n)``: an n-gram ends at some character, and is an end of its window.
+
+    Windows are added up first, so the second step has the size of the vocabulary.
+    """
+    distinct = windows.groupBy("window").agg(F.sum("n").alias("n"))
+    ends = F.transform(F.sequence(F.lit(1), F.length("window")), lambda n: F.right(F.col("window"), n))
+    return distinct.select(F.explode(ends).alias("ngram"), "n").groupBy("ngram").agg(F.sum("n").alias("cnt"))
+
+
 def raw_ngram_counts(texts: DataFrame, text: str = "text", max_order: int = fx.MAX_ORDER) -> DataFrame:
     """Counts of all 1..max_order-grams; combined map-side before the shuffle."""
-    w = _with_windows(texts.select(text), text, 0, max_order - 1, "_w")
-    orders = F.sequence(F.lit(1), F.length("_w"))
-    grams = w.select(F.explode(F.transform(orders, lambda n: F.left(F.col("_w"), n))).alias("ngram"))
-    return grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("cnt"))
+    return counts_of_windows(_with_windows(texts.select(text), text, max_order - 1, 0, "window").select("window", F.lit(1).alias("n")))
 
 
 def publish_ngrams(counts: DataFrame, max_order: int = fx.MAX_ORDER, min_count_top: int = fx.MIN_COUNT_TOP) -> DataFrame:
@@ -108,9 +117,11 @@ def score_text(texts: DataFrame, key: str, ngrams: DataFrame, mass: DataFrame, t
 
     Windows are counted per document and scored once each.
     """
-    per_doc = _with_windows(texts.select(key, text), text, fx.MAX_ORDER - 1, 0, "window").groupBy(key, "window").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return score_windows(written(document_windows(texts, key, text), "windows"), key, ngrams, mass)
+
+
+def score_windows(per_doc: DataFrame, key: str, ngrams: DataFrame, mass: DataFrame) -> DataFrame:
+    """M03 from the counted windows of documents."""
     scored = per_doc.join(log_probs(per_doc, ngrams, mass), "window")
     return scored.groupBy(key).agg(
         F.sum("n").alias("n_chars"), (F.sum(F.col("log_prob") * F.col("n")) / F.sum("n")).alias("mean_log_prob")

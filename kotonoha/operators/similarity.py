@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kotonoha.functions import fixed as fx
+from kotonoha.functions.tables import written
 
 IDEOGRAPHS = f"^[{fx.IDEOGRAPH_CLASS}]+$"
 HOT_COMPONENT = 100_000
@@ -69,24 +70,29 @@ def obsolete_forms(variants: DataFrame) -> DataFrame:
     return variants.groupBy("canonical").agg(F.array_sort(F.collect_set("variant")).alias("variants"))
 
 
-def variant_chains(variants: DataFrame, hops: int = 8) -> DataFrame:
+def variant_chains(variants: DataFrame) -> DataFrame:
     """Follow variant -> canonical to the last form.
 
-    ``cycle`` flags genuine cycles, which are kept; a chain longer than
-    ``hops`` fails the job rather than being cut.
+    ``cycle`` flags genuine cycles, which are kept: the chain ends before its first repeat.  Every round appends to a
+    chain the chain of its last form, so that the rounds grow with the logarithm of the longest.
     """
-    step = variant_tables(variants).select(F.col("variant").alias("_from"), F.col("canonical").alias("_to"))
-    d = step.select(F.col("_from").alias("variant"), F.array("_from", "_to").alias("chain"), F.lit(False).alias("cycle"))
-    for _ in range(hops):
-        d = d.withColumn("_from", F.when(~F.col("cycle"), F.element_at("chain", -1))).join(step, "_from", "left")
-        again = F.array_contains("chain", F.col("_to"))
-        d = d.withColumns({
-            "cycle": F.col("cycle") | F.coalesce(again, F.lit(False)),
-            "chain": F.when(F.col("_to").isNotNull() & ~again, F.concat("chain", F.array("_to"))).otherwise(F.col("chain")),
-        }).drop("_from", "_to")
-    long = F.raise_error(F.lit(f"a variant chain needs more than {hops} hops")).cast("string")
-    end = F.when(~F.col("cycle") & (F.size("chain") > hops + 1), long).otherwise(F.element_at("chain", -1))
-    return d.select("variant", end.alias("last_form"), (F.size("chain") - 1).alias("hops"), "cycle")
+    d = variant_tables(variants).select("variant", F.array("variant", "canonical").alias("chain"), F.lit(False).alias("cycle"))
+    while True:
+        d = written(d, "chains")
+        more = d.select(F.col("variant").alias("_from"), F.col("chain").alias("_more"), F.col("cycle").alias("_cycle"))
+        open_ = F.when(~F.col("cycle"), F.element_at("chain", -1))
+        # the old chain needs a name of its own: a lambda would otherwise see the new one
+        met = d.select("variant", F.col("chain").alias("_old"), F.col("cycle").alias("_was"), open_.alias("_from")).join(more, "_from", "left")
+        if met.filter("_more is not null").isEmpty():
+            break
+        rest = F.slice("_more", 2, F.size("_more"))
+        first = F.array_position(F.transform(rest, lambda x: F.array_contains("_old", x)), True)
+        new = F.when(first > 0, F.slice(rest, 1, (first - 1).cast("int"))).otherwise(rest)
+        d = met.select(
+            "variant", F.when(F.col("_more").isNull(), F.col("_old")).otherwise(F.concat("_old", new)).alias("chain"),
+            (F.col("_was") | F.coalesce((first > 0) | F.col("_cycle"), F.lit(False))).alias("cycle"),
+        )
+    return d.select("variant", F.element_at("chain", -1).alias("last_form"), (F.size("chain") - 1).alias("hops"), "cycle")
 
 
 # -- K02 - K05: components ------------------------------------------------------
@@ -148,7 +154,7 @@ def neighbours(
     ``min_fraction=0`` every shared component counts.  A component carried by
     very many items is spread over salts on both sides.
     """
-    profiles = item_profiles(components, idf)
+    profiles = written(item_profiles(components, idf), "profiles")
     source = profiles if sources is None else profiles.join(sources.select("item").distinct(), "item", "left_semi")
     source = source.filter("mass > 0")
     # mass left over after the first i components, rarest first

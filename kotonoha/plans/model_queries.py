@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kotonoha.functions import fixed as fx
+from kotonoha.functions.tables import written
 from kotonoha.operators import evaluate, ngram, similarity
 from kotonoha.plans import inputs, oracle
 from kotonoha.plans.oracle import cte, sql
@@ -49,7 +50,7 @@ def _docs(spark, d):
 
 def _model(spark, d):
     docs = _docs(spark, d)
-    return ngram.build_ngrams(docs), ngram.corpus_mass(docs)
+    return written(ngram.build_ngrams(docs), "ngrams"), ngram.corpus_mass(docs)
 
 
 @query("m01_build_ngrams", sql("select ngram, n, cnt from ngrams", "ngrams"))
@@ -58,10 +59,15 @@ def build_ngrams(spark, d):
 
 
 @query("m02_ngram_counts", sql(
-    "select q.w as word, q.ngram, coalesce(g.cnt, 0) cnt from (select w, left(surface, 5) ngram from kana_surfaces) q "
-    "left join ngrams g on g.ngram = q.ngram", "ngrams", "kana_surfaces"))
+    "select q.w as word, q.ngram, coalesce(g.cnt, 0) cnt from (select w, surface ngram from kana_surfaces union "
+    "select w, substr(surface, i, n) from (select w, surface, n, unnest(range(1, length(surface) - n + 2)) i from "
+    "(select w, surface, unnest([1, 2, 3, 4, 5]) n from kana_surfaces))) q left join ngrams g on g.ngram = q.ngram", "ngrams", "kana_surfaces"))
 def ngram_counts(spark, d):
-    asked = inputs.kana_surfaces(spark, d).select(F.col("w").alias("word"), F.left("surface", F.lit(5)).alias("ngram"))
+    # every n-gram of each surface up to one order more than the model has, and the whole surface
+    length = F.length("surface")
+    sizes = F.filter(F.sequence(F.lit(1), F.lit(fx.MAX_ORDER + 1)), lambda n: n <= length)
+    grams = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), length - n + 1), lambda i: F.substr("surface", i, n))))
+    asked = inputs.kana_surfaces(spark, d).select(F.col("w").alias("word"), F.explode(F.array_distinct(F.concat(grams, F.array("surface")))).alias("ngram"))
     return ngram.ngram_counts(asked, _model(spark, d)[0])
 
 
@@ -70,8 +76,10 @@ def ngram_counts(spark, d):
  select doc_id, win, count(*) n from doc_chars group by all) d join (""" + lp_sql("select win from doc_chars")
     + ") s on s.win = d.win group by doc_id", "ngrams", "mass", "doc_chars"))
 def score_text(spark, d):
-    grams, mass = _model(spark, d)
-    out = ngram.score_text(_docs(spark, d), "doc_id", grams, mass)
+    # the corpus is read once: everything follows from the counted windows
+    per_doc = written(ngram.document_windows(_docs(spark, d), "doc_id"), "windows")
+    grams = written(ngram.publish_ngrams(ngram.counts_of_windows(per_doc)), "ngrams")
+    out = ngram.score_windows(per_doc, "doc_id", grams, per_doc.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("mass")))
     return out.withColumn("mean_log_prob", F.round("mean_log_prob", 6))
 
 
@@ -180,9 +188,15 @@ def _items(spark, d):
 
 
 def _components(spark, d):
-    i = _items(spark, d).filter(F.length("item") >= 4)
+    """Four-letter parts of every item; a shorter item has none.  Written, since each query reads it several times."""
+    i = _items(spark, d)
     parts = F.transform(F.sequence(F.lit(1), F.length("item") - 3), lambda p: F.substr("item", p, F.lit(4)))
-    return i.select("item", F.explode(F.array_distinct(parts)).alias("component"))
+    parts = F.when(F.length("item") >= 4, F.array_distinct(parts))
+    return written(i.select("item", F.explode(parts).alias("component")), "components")
+
+
+def _near(c):
+    return similarity.neighbours(c, written(similarity.component_idf(c), "idf"))
 
 
 def _component_lines(spark, d):
@@ -231,7 +245,7 @@ def items_with_all(spark, d):
  min_by(dst, {'a': -fraction, 'b': dst}) best from near group by src""", "near"))
 def neighbours(spark, d):
     c = _components(spark, d)
-    near = similarity.neighbours(c, similarity.component_idf(c))
+    near = _near(c)
     return near.groupBy("src").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("shares_all").alias("n_all"), F.max("fraction").alias("top"),
         F.min_by("dst", F.struct((-F.col("fraction")).alias("a"), F.col("dst").alias("b"))).alias("best"),
@@ -239,7 +253,7 @@ def neighbours(spark, d):
 
 
 @query("k05_majority_components", sql(
-    f"""with_groups as (select doc_id group_id, {oracle.translate('w', inputs.LETTERS, IDEO)} member from words where length(w) >= 6),
+    f"""with_groups as (select doc_id group_id, {oracle.translate('w', inputs.LETTERS, IDEO)} member from words),
 votes as (select group_id, component, count(*) votes from with_groups g join components c on c.item = g.member group by all),
 sized as (select v.*, greatest(1, cast(floor(n * 0.1 + 0.9999) as bigint)) need,
   row_number() over (partition by v.group_id order by votes desc, component) r,
@@ -247,7 +261,7 @@ sized as (select v.*, greatest(1, cast(floor(n * 0.1 + 0.9999) as bigint)) need,
 select group_id, component, votes from sized where votes >= need or (top < need and r = 1)""", "words", "components").replace(
         "\nwith_groups as", ",\nwith_groups as", 1))
 def majority_components(spark, d):
-    g = inputs.words(spark, d).filter(F.length("w") >= 6).select(
+    g = inputs.words(spark, d).select(
         F.col("doc_id").alias("group_id"), F.translate("w", inputs.LETTERS, IDEO).alias("member")
     )
     return similarity.majority_components(g, _components(spark, d), need=0.1)
@@ -255,12 +269,11 @@ def majority_components(spark, d):
 
 # variant pairs: first and second letter of each word, as ideographs
 cte("variants", f"""select cast('0x' || substr(md5(w),1,15) as bigint) line_no, left(item, 1) variant, substr(item, 2, 1) canonical
- from items where length(w) = 6 and left(item, 1) <> substr(item, 2, 1)""", "items")
+ from items where length(item) >= 2 and left(item, 1) <> substr(item, 2, 1)""", "items")
 
 
 def _variant_lines(spark, d):
-    i = _items(spark, d).filter(F.length("w") == 6)
-    return i.select(
+    return _items(spark, d).select(
         inputs.word_id(F.col("w")).alias("line_no"),
         F.concat(F.left("item", F.lit(1)), F.lit("\t"), F.substr("item", F.lit(2), F.lit(1))).alias("line"),
     )
@@ -284,8 +297,7 @@ cte("rec_chain", """select variant, [variant, canonical] chain, false cycle from
     "select variant, last_form, hops, cycle from (select variant, chain[len(chain)] last_form, len(chain) - 1 hops, cycle, "
     "row_number() over (partition by variant order by cycle desc, len(chain) desc) r from rec_chain) where r = 1", "rec_chain"))
 def variant_chains(spark, d):
-    # 26 letters: no chain can be longer than the alphabet
-    return similarity.variant_chains(similarity.parse_variants(_variant_lines(spark, d)), hops=26)
+    return similarity.variant_chains(similarity.parse_variants(_variant_lines(spark, d)))
 
 
 @query("k07_suggest", sql(
@@ -308,7 +320,7 @@ def suggest(spark, d):
     forms = i.filter(F.length("w") > 4).select(
         F.col("item").alias("canonical"), F.array(F.substr("item", F.lit(1), F.length("item") - 1)).alias("variants")
     )
-    near = similarity.neighbours(c, similarity.component_idf(c))
+    near = written(_near(c), "near")
     return similarity.suggest(
         i.select(F.col("w").alias("char_id"), F.col("item").alias("ch")), head, near, forms, similarity.has_discriminating(c)
     )
