@@ -111,13 +111,15 @@ def char_stream(spark, d):
 @query("l01_coordinates", sql(
     """select page_id, gidx, line_idx, cast(gidx - o as integer) char_idx from (
  select page_id, gidx, max(line_idx) line_idx, max(o) o from (
-  select n.page_id, n.gidx, l.line_idx, l.o from (select page_id, unnest(range(0, 1200, 7)) gidx from (select distinct page_id from lines)) n
+  select n.page_id, n.gidx, l.line_idx, l.o from (select page_id, unnest(range(0, cast(sum(length(text)) as bigint) + 1)) gidx from lines group by page_id) n
   join (select page_id, line_idx, length(text) len, coalesce(sum(length(text)) over (partition by page_id order by line_idx
     rows between unbounded preceding and 1 preceding), 0) o from lines where length(text) > 0) l
   on l.page_id = n.page_id and n.gidx >= l.o and n.gidx < l.o + l.len) group by page_id, gidx)""", "lines"))
 def coordinates(spark, d):
     lines = inputs.lines(spark, d)
-    asked = lines.select("page_id").distinct().withColumn("gidx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1199).cast("long"), F.lit(7).cast("long"))))
+    # every position of a page, and the one behind its end
+    length = lines.groupBy("page_id").agg(F.sum(F.length("text")).cast("long").alias("n"))
+    asked = length.select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("gidx"))
     return lookup.coordinates(lines, asked)
 
 
@@ -230,9 +232,9 @@ def hits_by_dictionary(spark, d):
 @query("l16_matched_surface", sql("""
 select page_id, gidx, term_len, left(replace(substr(t, cast(gidx + 1 as bigint)), '　', ''), cast(term_len as bigint)) matched from (
  select page_id, t, gidx, 1 + gidx % 24 term_len from (
-  select page_id, t, unnest(range(0, length(t), 5)) gidx from text_conv))""", "text_conv"))
+  select page_id, t, unnest(range(0, length(t))) gidx from text_conv))""", "text_conv"))
 def matched_surface(spark, d):
     lines = inputs.lines(spark, d)
     stream = lines.groupBy("page_id").agg(F.sum(F.length("text")).alias("n"))
-    asked = stream.select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(5).cast("long"))).alias("gidx"))
+    asked = stream.select("page_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("gidx"))
     return lookup.matched_surface(lines, asked.withColumn("term_len", (1 + F.col("gidx") % 24).cast("int")), 24)

@@ -98,7 +98,7 @@ def publish_dictionary(spark, d):
     path = scratch_dir(spark, "store")
     terms, kanji = banks.ingest_term_banks(_documents(spark, d, "term")), banks.ingest_kanji_banks(_documents(spark, d, "kanji"))
     tags = banks.ingest_tag_banks(_documents(spark, d, "tag"))
-    store.publish_dictionary(spark, path, "first", terms.limit(0), tags)
+    store.publish_dictionary(spark, path, "first", kanji, tags)
     store.publish_dictionary(spark, path, "second", kanji, tags, "cat-2", True)
     # publishing the first title again replaces it and moves it to the end
     first = store.publish_dictionary(spark, path, "first", terms, tags)
@@ -167,9 +167,9 @@ def match_installed(spark, d):
 
 
 @query("s10_bundled_install", sql("""select s.id, not coalesce(bool_or(i.built_in), false) and not coalesce(bool_or(i.id is not null and i.catalog_id is distinct from s.id), false) needed
- from (select distinct id, title from catalog where file_order < 90) s left join installed i on split_part(trim(i."name"), ' [', 1) = s.title group by s.id""", "installed", "catalog"))
+ from (select distinct id, title from catalog) s left join installed i on split_part(trim(i."name"), ' [', 1) = s.title group by s.id""", "installed", "catalog"))
 def bundled_install(spark, d):
-    specs = _catalog(spark, d).filter("file_order < 90").select("id", F.col("title").alias("family")).distinct()
+    specs = _catalog(spark, d).select("id", F.col("title").alias("family")).distinct()
     return catalog.bundled_install_needed(_installed(spark, d), specs)
 
 
