@@ -276,10 +276,11 @@ def find_by_texts(queries: DataFrame, entries: DataFrame, meta: DataFrame) -> Da
     """Entries whose headword or reading is among the terms of a query.
 
     ``queries`` is ``(query_id, term)``.  An entry reached by both sides comes
-    once.  Order within a query: priority, popularity descending, id.
+    once.  ``ordinal`` is its place in the query: priority, popularity descending, id.
     """
-    hit = queries.join(entry_keys(entries, meta), "term").drop("term")
-    return hit.dropDuplicates(["query_id", "id"])
+    hit = queries.join(entry_keys(entries, meta), "term").drop("term").dropDuplicates(["query_id", "id"])
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("priority", F.desc("popularity"), "id"))
+    return hit.withColumn("ordinal", place - 1)
 
 
 def rule_filter(required: Column, rules: Column, is_kanji: Column, kanji: Column, norm: Column) -> Column:
@@ -301,9 +302,10 @@ def filter_matches(candidates: DataFrame, keyed: DataFrame) -> DataFrame:
 def surface_hits(surfaces: DataFrame, entries: DataFrame, meta: DataFrame, rules: DataFrame) -> DataFrame:
     """Candidates of distinct surfaces that reach at least one entry, with the
     entry count per dictionary (bounded by the number of dictionaries)."""
-    keyed = entry_keys(entries, meta).select(
+    # read for the terms, in the derivation and for the matches
+    keyed = written(entry_keys(entries, meta).select(
         "term", "id", "kanji", "rules", "onyomi", "kunyomi", "dictionary_id"
-    )
+    ), "entry-keys")
     terms = keyed.select("term").distinct()
     hits = filter_matches(candidate_rows(surfaces, rules, terms), keyed)
     per_dict = hits.groupBy("surface", "term", "kind", "rank", "reasons", "dictionary_id").agg(

@@ -306,11 +306,12 @@ def size_pair_features(spark, d):
 
 cte("size_scores", """select page_id, line_idx, idx, cast((idx * 37 + pair * 11 + line_idx) % 21 as double) - 10.25 logit from size_feats
  where not (page_id % 5 = 0 and line_idx = 0 and idx < 40)""", "size_feats")
+cte("size_scored", """select * from (select f.*, logit, count(*) over (partition by page_id) - count(logit) over (partition by page_id) missing
+ from size_feats f left join size_scores s using (page_id, line_idx, idx)) where missing = 0""", "size_feats", "size_scores")
 cte("size_decisions", f"""select *, case when flips then translate(ch, '{fx.SIZE_SMALL}{fx.SIZE_BIG}', '{fx.SIZE_BIG}{fx.SIZE_SMALL}') else ch end to_ch,
  case when not flips then case when is_small then 1 - p else p end end confidence from (
  select f.*, 1 / (1 + exp(-logit)) p, case when is_small then 1 / (1 + exp(-logit)) > 0.99 else 1 / (1 + exp(-logit)) < 0.01 end flips
- from size_feats f join size_scores s using (page_id, line_idx, idx)
- where f.page_id not in (select page_id from size_feats f left join size_scores s using (page_id, line_idx, idx) where s.logit is null))""", "size_feats", "size_scores")
+ from size_scored f)""", "size_scored")
 
 
 def _decisions(spark, d):

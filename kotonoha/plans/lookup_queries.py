@@ -164,11 +164,12 @@ def candidate_table(spark, d):
 
 
 @query("l06_find_by_texts", sql(
+    "select *, row_number() over (partition by query_id order by priority, popularity desc, id) - 1 ordinal from ("
     "select distinct b.query_id, e.id, e.kanji, e.reading, e.priority, e.popularity from benchmark_words b "
-    "join entry_keys e on e.term = b.term", "benchmark_words", "entry_keys"))
+    "join entry_keys e on e.term = b.term)", "benchmark_words", "entry_keys"))
 def find_by_texts(spark, d):
     out = lookup.find_by_texts(inputs.benchmark_words(spark, d), inputs.entries(spark, d), inputs.meta(spark, d))
-    return out.select("query_id", "id", "kanji", "reading", "priority", "popularity")
+    return out.select("query_id", "id", "kanji", "reading", "priority", "popularity", "ordinal")
 
 
 @query("l07_filter_matches", sql(

@@ -50,7 +50,9 @@ def sql(body: str, *needs: str, recursive: bool = False) -> str:
     if not order:
         return body
     head = "with recursive " if recursive else "with "
-    return head + ",\n".join(f"{n} as ({CTES[n][1]})" for n in order) + "\n" + body
+    # each common table is computed once, however often it is read
+    kind = lambda n: "as" if n.startswith("rec_") else "as materialized"
+    return head + ",\n".join(f"{n} {kind(n)} ({CTES[n][1]})" for n in order) + "\n" + body
 
 
 cte("words", "select doc_id, w from (select doc_id, unnest(string_split_regex(lower(text),'[^a-z]+')) w "
