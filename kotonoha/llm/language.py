@@ -94,7 +94,8 @@ def train(docs: DataFrame, per_language: int = 400, dictionary_bytes: int = 65_5
             content = [coded(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.binary())], names=["lang", "place", "content"])
 
-    sample = rows.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "place", "text")
+    # at most ``per_language`` rows for each of the languages, whose number is bounded above
+    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "place", "text")
     # bounded: languages times documents, each cut to four times its share
     got = sample.mapInArrow(run, "lang string, place int, content binary").withColumn("content", F.substring("content", 1, 4 * share)).collect()
     parts = defaultdict(list)

@@ -105,7 +105,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
         labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
         .withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(most)
     )
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("place", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    # at most ``most`` rows of three numbers
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
 
 
 def train(
