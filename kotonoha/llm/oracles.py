@@ -101,3 +101,30 @@ select t.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_bas
   coalesce(share, case when n_base > 0 then 0.5 end, 0.0)::double as score
 from texts t left join base_docs b using (doc_id) left join found f using (doc_id)
 """
+
+JACCARD_ORACLE = r"""
+with recursive texts as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+shingles as materialized (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 4), chr(1)) as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from texts where len(w) > 0)),
+sizes as materialized (select doc_id, count(*) as n, md5(string_agg(s, chr(2) order by s)) as content from shingles group by doc_id),
+classes as materialized (select content, any_value(n) as n, min(doc_id) as class_id, count(*) as class_size from sizes group by content),
+members as materialized (select s.doc_id, s.s, n from shingles s join classes on class_id = doc_id),
+counts as materialized (select s, count(*) as c from members group by s having count(*) > 1),
+-- pairs share a shingle that is among the rarest quarter of either set
+ranked as materialized (
+  select doc_id, s, n, row_number() over (partition by doc_id order by coalesce(c, 1), s) as r from members left join counts using (s)),
+firsts as materialized (select doc_id, s from ranked where r <= n - (n * 75 + 99) // 100 + 1 and s in (select s from counts)),
+pairs as materialized (select distinct a.doc_id as a, b.doc_id as b from firsts a join firsts b on a.s = b.s and a.doc_id < b.doc_id),
+links as materialized (
+  select a, b from (select a, b, count(*) as both_ from pairs join members x on x.doc_id = a join members y on y.doc_id = b and y.s = x.s group by a, b)
+  join classes x on x.class_id = a join classes y on y.class_id = b where 100 * both_ >= 75 * (x.n + y.n - both_)),
+edges as materialized (select a, b from links union all select b, a from links),
+reach(a, b) as (select class_id, class_id from classes union select r.a, e.b from reach r join edges e on e.a = r.b),
+named as (select a, min(b) as component_id from reach group by a)
+select t.doc_id, coalesce(sizes.n, 0)::bigint as n_shingles, coalesce(component_id, t.doc_id) as component_id,
+  coalesce(class_id, t.doc_id) as class_id, coalesce(class_size, 1)::bigint as class_size
+from texts t left join sizes using (doc_id) left join classes using (content) left join named on a = class_id
+"""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotonoha.llm import decontaminate, id_files, jaccard_join, language, language_model, license_scan, neighbours, packing, quality, url_reputation
-from kotonoha.llm.oracles import LICENSE_ORACLE, URL_ORACLE
+from kotonoha.llm.oracles import JACCARD_ORACLE, LICENSE_ORACLE, URL_ORACLE
 from kotonoha.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 URL_RULES = [
@@ -90,6 +90,6 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op3_jaccard_join")
+@query("op3_jaccard_join", JACCARD_ORACLE)
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
