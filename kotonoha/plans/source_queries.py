@@ -250,22 +250,25 @@ def placement_metrics(spark, d):
 # -- streams ----------------------------------------------------------------------------
 
 
-def _stream(spark, d, name):
-    schema = inputs.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+def _stream(rows, path, *keys):
+    """``rows`` landed in five files and streamed one file per batch."""
+    rows.repartition(5, *keys).write.parquet(f"{path}/landing")
+    spark = rows.sparkSession
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/landing")
 
 
 @query("t01_stream_lines", sql("""select page_id, count(*) n_chars, max(gidx) last_gidx from (
  select page_id, unnest(range(0, length(t))) gidx from (select page_id, string_agg(text || 'き', '' order by line_idx) t from lines group by page_id)) group by page_id""", "lines"))
 def stream_lines(spark, d):
     path = scratch_dir(spark, "line-stream")
-    conv = _stream(spark, d, "conversations")
+    conv = inputs.table(spark, d, "conversations")
     kana = F.translate(F.lower("text"), inputs.LETTERS + " .,", inputs.KANA + "　。、")
     rows = conv.select(
         F.col("conv_id").alias("page_id"), F.col("turn").alias("line_idx"), F.explode(F.array(F.lit(2), F.lit(1))).alias("version"), kana.alias("k"),
         (F.col("turn") % 2 == 1).alias("is_vertical"),
     ).withColumn("text", F.concat("k", F.when(F.col("version") == 2, "き").otherwise("ああ"))).drop("k")
-    jobs.stream_line_results(rows, f"{path}/store", f"{path}/checkpoint")
+    # a line's two versions arrive in different batches, the older one often later
+    jobs.stream_line_results(_stream(rows, path, "page_id", "line_idx", "version"), f"{path}/store", f"{path}/checkpoint")
     chars = jobs.current_chars(spark, f"{path}/store")
     return chars.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_chars"), F.max("gidx").alias("last_gidx"))
 
@@ -284,8 +287,8 @@ def stream_banks(spark, d):
 @query("t03_stream_ngrams", sql("select ngram, n, cnt from ngrams", "ngrams"))
 def stream_ngrams(spark, d):
     path = scratch_dir(spark, "ngram-stream")
-    docs = _stream(spark, d, "documents").select(F.translate(F.lower("text"), inputs.LETTERS, inputs.KANA).alias("text"))
-    jobs.stream_ngrams(docs, f"{path}/store", f"{path}/checkpoint")
+    docs = inputs.table(spark, d, "documents").select("doc_id", F.translate(F.lower("text"), inputs.LETTERS, inputs.KANA).alias("text"))
+    jobs.stream_ngrams(_stream(docs, path, "doc_id").select("text"), f"{path}/store", f"{path}/checkpoint")
     return jobs.published_ngrams(spark, f"{path}/store")
 
 

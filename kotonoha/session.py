@@ -1,4 +1,4 @@
-"""Session settings and lineage cutting."""
+"""Session settings and shared folders."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Nothing here names a machine: sizes are per partition, so they hold at any
 # cluster width.  Shuffle parallelism is left to AQE, which starts high and
@@ -51,15 +51,6 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -120,7 +120,10 @@ def _flat(i: int) -> Column:
 
 
 def _integer(i: int) -> Column:
-    return F.when(_is(i, "BIGINT"), _item(i).try_cast("bigint").cast("int")).otherwise(0)
+    """A whole number; one that does not fit 32 bits wraps, as it does in the format's own readers."""
+    value = F.coalesce(_item(i).try_cast("bigint"), F.lit(0))
+    wrapped = F.pmod(F.pmod(value, F.lit(1 << 32)) + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+    return F.when(_is(i, "BIGINT"), wrapped.cast("int")).otherwise(0)
 
 
 def _text(i: int) -> Column:

@@ -6,7 +6,7 @@ batch overwrites its own output and nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotonoha.operators import lookup, ngram
@@ -21,6 +21,14 @@ def _run(stream: DataFrame, each, checkpoint: str, once: bool):
     return query
 
 
+#: Parts of the line store.  A batch reads the parts of the pages it touches.
+PAGE_BUCKETS = 16
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("page_id"), F.lit(PAGE_BUCKETS)).cast("int")
+
+
 def current_lines(spark: SparkSession, store: str) -> DataFrame:
     """The newest version of every line seen so far."""
     d = spark.read.parquet(f"{store}/lines")
@@ -40,11 +48,12 @@ def stream_line_results(stream: DataFrame, store: str, checkpoint: str, once: bo
         spark = batch.sparkSession
         newest = F.max_by(F.struct("version", "text", "is_vertical"), F.col("version")).alias("l")
         last = batch.groupBy("page_id", "line_idx").agg(newest).select("page_id", "line_idx", "l.*")
-        last.write.mode("overwrite").parquet(f"{store}/lines/batch_id={batch_id}")
-        touched = spark.read.parquet(f"{store}/lines/batch_id={batch_id}").select("page_id").distinct()
+        last.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/lines/batch_id={batch_id}")
+        touched = spark.read.parquet(f"{store}/lines/batch_id={batch_id}").select("page_id", "bucket").distinct()
+        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
         # batches are applied in order: a replay must not see later ones
-        seen = spark.read.parquet(f"{store}/lines").filter(F.col("batch_id") <= batch_id)
-        pages = seen.join(touched, "page_id", "left_semi")
+        seen = spark.read.parquet(f"{store}/lines").filter((F.col("batch_id") <= batch_id) & F.col("bucket").isin(buckets))
+        pages = seen.join(touched, ["page_id", "bucket"], "left_semi")
         now = pages.groupBy("page_id", "line_idx").agg(F.max_by("text", F.struct("version", "batch_id")).alias("text"))
         lookup.char_stream(now).write.mode("overwrite").parquet(f"{store}/chars/batch_id={batch_id}")
 
@@ -67,8 +76,10 @@ def stream_banks(stream: DataFrame, store: str, checkpoint: str, once: bool = Tr
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        docs = batch.filter("kind is not null")
         part = f"batch_id={batch_id}"
+        # the stream's source is read once; what follows reads this copy
+        batch.filter("kind is not null").write.mode("overwrite").parquet(f"{store}/documents/{part}")
+        docs = spark.read.schema(batch.schema).parquet(f"{store}/documents/{part}")
         bad = banks.malformed_documents(docs)
         bad.write.mode("overwrite").parquet(f"{store}/quarantine/{part}")
         good = docs.join(bad.select("archive", "bank_ord", "kind"), ["archive", "bank_ord", "kind"], "left_anti")
