@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kotonoha.functions import fixed as fx
 from kotonoha.operators import geometry
 from kotonoha.plans import inputs
 from kotonoha.plans.oracle import cte, sql
@@ -86,7 +87,23 @@ def prefilter_frames(spark, d):
     return out.select("page_id", "idx", F.round("w", 6).alias("w"), "h")
 
 
-@query("g05_merge_overlapping")
+# boxes of a page in order of area: the first waiting one meets the running union, is taken in or waits for the next round
+cte("rec_merge", f"""select page_id, s[1] cur, s[2:] waiting, s[1:0] rest, s[1:0] done, false ended from (
+  select page_id, list({{'x': x, 'y': y, 'w': w, 'h': h, 'members': 1}} order by -cast(w as bigint) * h, box_idx) s from boxes where box_idx % 6 <> 5 group by page_id)
+ union all select page_id,
+  case when len(waiting) = 0 then rest[1] when meets then {{'x': least(cur.x, b.x), 'y': least(cur.y, b.y),
+   'w': greatest(cur.x + cur.w, b.x + b.w) - least(cur.x, b.x), 'h': greatest(cur.y + cur.h, b.y + b.h) - least(cur.y, b.y), 'members': cur.members + 1}} else cur end,
+  case when len(waiting) = 0 then rest[2:] else waiting[2:] end,
+  case when len(waiting) = 0 then rest[1:0] when meets then rest else list_append(rest, b) end,
+  case when len(waiting) = 0 then list_append(done, cur) else done end,
+  len(waiting) = 0 and len(rest) = 0
+ from (select *, coalesce(ix > 0 and iy > 0 and area > 0 and ix * iy / area >= {fx.MERGE_OVERLAP} and abs(cur.y + cur.h / 2.0 - b.y - b.h / 2.0) <= (cur.h + b.h) / 2.0, false) meets from (
+  select *, least(cur.x + cur.w, b.x + b.w) - greatest(cur.x, b.x) ix, least(cur.y + cur.h, b.y + b.h) - greatest(cur.y, b.y) iy,
+   least(cast(cur.w as bigint) * cur.h, cast(b.w as bigint) * b.h) area from (select *, waiting[1] b from rec_merge where not ended)))""", "boxes")
+
+
+@query("g05_merge_overlapping", sql("""select page_id, m.x, m.y, m.w, m.h, 1.0::double confidence, m.members from (select page_id, unnest(done) m from rec_merge where ended)
+ union all select page_id, x, y, w, h, 1.0, 1 from boxes where box_idx % 6 = 5""", "rec_merge", "boxes"))
 def merge_overlapping(spark, d):
     b = _boxes(spark, d).withColumn("confidence", F.lit(1.0)).withColumn("is_rotated", F.col("box_idx") % 6 == 5)
     return geometry.merge_overlapping(b)
@@ -148,6 +165,19 @@ def strong_connectivity(spark, d):
     return geometry.strong_connectivity(edges.distinct())
 
 
-@query("g09_split_stacked")
+# spans of a page's horizontal boxes, one pair (i, j) cut apart per step
+cte("rec_cuts", """select page_id, s, 1 i, 2 j from (
+  select page_id, list({'n': box_idx, 'x': x, 'w': w, 'top': y, 'low': y + h} order by box_idx) s from boxes where not (h >= w * 1.25) group by page_id)
+ union all select page_id,
+  case when cuts then list_transform(s, lambda b, k: case when k = u then {'n': b.n, 'x': b.x, 'w': b.w, 'top': b.top, 'low': line}
+    when k = l then {'n': b.n, 'x': b.x, 'w': b.w, 'top': line, 'low': greatest(b.low, line + 1)} else b end) else s end,
+  case when j < len(s) then i else i + 1 end, case when j < len(s) then j + 1 else i + 2 end
+ from (select *, s[i].x < s[j].x + s[j].w and s[j].x < s[i].x + s[i].w and s[l].top < s[u].low cuts,
+   greatest(cast(trunc((s[l].top + least(s[u].low, s[l].low)) / 2) as integer), s[u].top + 1) line from (
+   select *, case when s[i].top <= s[j].top then i else j end u, case when s[i].top <= s[j].top then j else i end l from rec_cuts where j <= len(s)))""", "boxes")
+
+
+@query("g09_split_stacked", sql("""select page_id, b.n box_idx, b.x, b.top y, b.w, b.low - b.top h from (select page_id, unnest(s) b from rec_cuts where j > len(s))
+ union all select page_id, box_idx, x, y, w, h from boxes where h >= w * 1.25""", "rec_cuts", "boxes"))
 def split_stacked(spark, d):
     return geometry.split_stacked(_boxes(spark, d))
