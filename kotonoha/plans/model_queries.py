@@ -119,14 +119,8 @@ cte("pool2", """select line_id, ch, min({'t': t, 'rank': rank}) as first from st
 
 
 def _steps2(spark, d):
-    e = inputs.table(spark, d, "events")
-    from pyspark.sql import Window
-
-    cls = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "view", 1).when(
-        F.col("event_type") == "click", 2).when(F.col("event_type") == "signup", 3).otherwise(4)
-    t = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     chars = F.array(*map(F.lit, "　かこ◌の"))
-    rows = e.select(F.col("user_id").alias("line_id"), t.alias("t"), cls.alias("cls"))
+    rows = inputs.event_steps(spark, d).select("line_id", "t", "cls")
     rows = rows.withColumn("rank", F.explode(F.array(F.lit(0), F.lit(1))))
     ch = F.get(chars, (F.col("cls") + F.col("rank")) % 5)
     return rows.select("line_id", "t", "rank", F.when(F.col("line_id") % 7 == 0, "　").otherwise(ch).alias("ch"))
@@ -225,31 +219,21 @@ def component_idf(spark, d):
 
 
 @query("k03_items_with_all", sql(
-    """select request_id, count(*) n, min(item) first_item, max(item) last_item from (select r.request_id, c.item, count(*) have, any_value(need) need from (
+    """select request_id, item from (select r.request_id, c.item, count(*) have, any_value(need) need from (
    select w request_id, component, count(*) over (partition by w) need from (
    select distinct w, substr(item, i, 4) component from (select w, item, unnest([1, length(item) - 3]) i from items where length(item) >= 4))) r
-  join components c on c.component = r.component group by r.request_id, c.item) where have = need group by request_id""", "items", "components"))
+  join components c on c.component = r.component group by r.request_id, c.item) where have = need""", "items", "components"))
 def items_with_all(spark, d):
     i = _items(spark, d).filter(F.length("item") >= 4)
     asked = i.select(F.col("w").alias("request_id"), F.explode(F.array_distinct(F.array(
         F.left("item", F.lit(4)), F.right("item", F.lit(4))
     ))).alias("component"))
-    found = similarity.items_with_all(asked, _components(spark, d))
-    return found.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("item").alias("first_item"), F.max("item").alias("last_item")
-    )
+    return similarity.items_with_all(asked, _components(spark, d))
 
 
-@query("k04_neighbours", sql(
-    """select src, count(*) n, count(case when shares_all then 1 end) n_all, max(fraction) top,
- min_by(dst, {'a': -fraction, 'b': dst}) best from near group by src""", "near"))
+@query("k04_neighbours", sql("select src, dst, fraction, shares_all from near", "near"))
 def neighbours(spark, d):
-    c = _components(spark, d)
-    near = _near(c)
-    return near.groupBy("src").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("shares_all").alias("n_all"), F.max("fraction").alias("top"),
-        F.min_by("dst", F.struct((-F.col("fraction")).alias("a"), F.col("dst").alias("b"))).alias("best"),
-    )
+    return _near(_components(spark, d))
 
 
 @query("k05_majority_components", sql(
