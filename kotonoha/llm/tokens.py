@@ -17,11 +17,11 @@ import numpy as np
 
 from kotonoha.llm import words
 
-KEPT = 1_000_000
+KEPT = 600_000
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 2 << 20
 #: Parts encoded in one call of the tokenizer.
-_CALL = 50_000
+_CALL = 5_000
 
 _B = np.arange(256)
 _ALNUM = ((_B >= 48) & (_B <= 57)) | ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122))

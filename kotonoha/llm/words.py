@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are hashed in slices of about this many bytes, so that memory does not depend on Spark's batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
