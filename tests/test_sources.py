@@ -56,3 +56,19 @@ def test_moves_and_old_meta(spark):
     assert up == {1: 5, 2: 0, 3: 9}
     assert {r.id: r.priority for r in store.move_dictionary(meta, 1, True).collect()} == {1: 0, 2: 5, 3: 9}
     assert store.evolve_schema(meta).filter("built_in or catalog_id is not null").count() == 0
+
+
+def test_rule_files(spark, tmp_path):
+    import json
+
+    from kotonoha.functions.tables import small_table
+    from kotonoha.plans import inputs
+    from kotonoha.sources import rules
+
+    rule = lambda a, b, out, **more: {"kanaIn": a, "kanaOut": b, "rulesIn": [], "rulesOut": out, **more}
+    (tmp_path / "keyed.json").write_text(json.dumps({"past": [rule("た", "る", ["v1"]), rule("んだ", "む", ["v5"])], "adv": [rule("く", "い", ["adj-i"], reason="other")]}, ensure_ascii=False))
+    (tmp_path / "plain.json").write_text(json.dumps([rule("ます", "る", ["v1"], reason="polite"), rule("た", "る", [])], ensure_ascii=False))
+    get = lambda name: [(r.group_ord, r.rule_ord, r.suffix_in, r.suffix_out, r.reason, list(r.types)) for r in rules.load_rules(spark, str(tmp_path / name)).orderBy("group_ord", "rule_ord").collect()]
+    assert get("keyed.json") == [(0, 0, "た", "る", "past", ["v1"]), (0, 1, "んだ", "む", "past", ["v5"]), (1, 0, "く", "い", "adv", ["adj-i"])]
+    assert rules.load_rules(spark, str(tmp_path / "plain.json")).dtypes == small_table(spark, inputs.RULES, inputs.RULES_SCHEMA).dtypes
+    assert get("plain.json") == [(0, 0, "ます", "る", "polite", ["v1"]), (0, 1, "た", "る", "", [])]
