@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kotonoha.operators import evaluate, lookup
+from kotonoha.functions.tables import small_table
 from kotonoha.plans import archives, inputs, lookup_queries, model_queries  # noqa: F401
 from kotonoha.plans.oracle import cte, sql
 from kotonoha.plans.registry import query
@@ -197,6 +198,25 @@ def move_dictionary(spark, d):
     return store.move_dictionary(_installed(spark, d), 7, up=True).select("id", "priority")
 
 
+@query("s11_store_changes", sql("""select 'renamed' "name", 0 place, false enabled, count(*) n_entries from bank_rows where length(w) % 6 in (2, 3, 4)
+ union all select 'kept', 1, true, count(*) from bank_rows where length(w) % 4 < 3""", "bank_rows"))
+def store_changes(spark, d):
+    path = scratch_dir(spark, "store")
+    terms, kanji = banks.ingest_term_banks(_documents(spark, d, "term")), banks.ingest_kanji_banks(_documents(spark, d, "kanji"))
+    tags = banks.ingest_tag_banks(_documents(spark, d, "tag"))
+    gone = store.publish_dictionary(spark, path, "gone", kanji, tags)
+    kept = store.publish_dictionary(spark, path, "kept", kanji, tags, "cat-2", True)
+    named = store.publish_dictionary(spark, path, "named", terms, tags)
+    # a built-in dictionary is not deleted; the last rename wins
+    feed = [(1, gone, "delete", ""), (2, kept, "delete", ""), (3, named, "rename", "first"), (4, named, "rename", "renamed"), (5, named, "enable", "false")]
+    changes = small_table(spark, feed, "seq int, id bigint, op string, value string")
+    meta = store.change_dictionaries(spark, path, changes, [(named, True)])
+    assert store.remove_unused(spark, path) == [gone]
+    low = meta.agg(F.min("priority")).first()[0]
+    listing = store.dictionary_listing(meta, store.read_entries(spark, path))
+    return listing.select("name", (F.col("priority") - low).alias("place"), "enabled", "n_entries")
+
+
 @query("s12_evolve_schema", sql("""select id, "name", built_in and catalog_id = 'kanjium-pitch-accents' is true built_in, catalog_id from (
  select id, "name", built_in, case when id % 10 = 0 then 'kanjium-pitch-accents' else catalog_id end catalog_id from installed)""", "installed"))
 def evolve_schema(spark, d):

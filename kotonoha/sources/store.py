@@ -7,7 +7,7 @@ appears, changes or disappears in one step, after its rows are in place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotonoha.functions import fixed as fx
@@ -92,25 +92,48 @@ def apply_dictionary_changes(meta: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def cascade_delete(rows: DataFrame, meta: DataFrame) -> DataFrame:
-    """Entries or tags whose dictionary is still there."""
-    return rows.join(meta.select(F.col("id").alias("dictionary_id")), "dictionary_id", "left_semi")
-
-
 def move_dictionary(meta: DataFrame, dictionary_id: int, up: bool) -> DataFrame:
-    """Swap priorities with the neighbour in priority order.
-
-    The dictionary dimension is small; its order is one window.
+    """Swap priorities with the neighbour in priority order; at the end of the order nothing moves."""
+    place = F.struct("priority", "id")
+    own = meta.filter(F.col("id") == dictionary_id).select("priority", "id").first()
+    if own is None:
+        return meta
+    here = F.struct(F.lit(own["priority"]).cast("int").alias("priority"), F.lit(own["id"]).cast("bigint").alias("id"))
+    side = meta.filter(place < here).agg(F.max(place).alias("p")) if up else meta.filter(place > here).agg(F.min(place).alias("p"))
+    other = side.first()["p"]
+    if other is None:
+        return meta
+    swapped = F.when(F.col("id") == own["id"], F.lit(other["priority"])).when(F.col("id") == other["id"], F.lit(own["priority"]))
+    return meta.withColumn("priority", F.coalesce(swapped.cast("int"), "priority"))
+
+
+def change_dictionaries(spark: SparkSession, store: str, changes: DataFrame, moves: list[tuple[int, bool]] = ()) -> DataFrame:
+    """S11 on the store: apply a change feed, then moves ``(id, up)``, as one new meta version.
+
+    A deleted dictionary's entries and tags are gone with its row; ``remove_unused`` frees their files.
     """
-    w = Window.orderBy("priority", "id")
-    step = F.lag if up else F.lead
-    d = meta.withColumns({"_other": step("id").over(w), "_their": step("priority").over(w)})
-    moved = d.filter((F.col("id") == dictionary_id) & F.col("_other").isNotNull()).select(
-        F.array(
-            F.struct(F.col("id"), F.col("_their").alias("p")), F.struct(F.col("_other").alias("id"), F.col("priority").alias("p"))
-        ).alias("swap")
-    ).select(F.inline("swap"))
-    return meta.join(moved, "id", "left").withColumn("priority", F.coalesce("p", "priority")).drop("p")
+    version = _meta_version(spark, store)
+    meta = apply_dictionary_changes(read_meta(spark, store), changes)
+    for dictionary_id, up in moves:
+        meta = move_dictionary(meta, dictionary_id, up)
+    # one row per dictionary
+    _write_meta(spark, store, small_table(spark, [tuple(r) for r in meta.collect()], META), version + 1)
+    return read_meta(spark, store)
+
+
+def remove_unused(spark: SparkSession, store: str) -> list[int]:
+    """Delete the files of dictionaries that the newest meta table no longer names; returns their ids."""
+    named = {r["id"] for r in read_meta(spark, store).select("id").collect()}
+    gone = set()
+    for name in ("entries", "tags"):
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{name}")
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(root) if fs.exists(root) else []:
+            folder = status.getPath().getName()
+            if folder.startswith("dictionary_id=") and int(folder.partition("=")[2]) not in named:
+                fs.delete(status.getPath(), True)
+                gone.add(int(folder.partition("=")[2]))
+    return sorted(gone)
 
 
 def dictionary_listing(meta: DataFrame, entries: DataFrame) -> DataFrame:
