@@ -65,11 +65,6 @@ def variant_tables(variants: DataFrame) -> DataFrame:
     )
 
 
-def obsolete_forms(variants: DataFrame) -> DataFrame:
-    """Per canonical the variants that fold to it, sorted."""
-    return variants.groupBy("canonical").agg(F.array_sort(F.collect_set("variant")).alias("variants"))
-
-
 def variant_chains(variants: DataFrame) -> DataFrame:
     """Follow variant -> canonical to the last form.
 

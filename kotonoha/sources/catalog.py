@@ -61,11 +61,6 @@ def match_installed(meta: DataFrame, catalog: DataFrame) -> DataFrame:
     return d.select("id", "name", F.coalesce("_exact", "_by_title").alias("matched_id"))
 
 
-def installed_ids(meta: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Distinct matched ids with the first installed dictionary of each."""
-    return match_installed(meta, catalog).filter("matched_id is not null").groupBy("matched_id").agg(F.min("id").alias("first_id"))
-
-
 def bundled_install_needed(meta: DataFrame, specs: DataFrame) -> DataFrame:
     """Per bundled ``(id, family)`` whether it has to be installed: nothing
     of its family is there, or only own rows that were never completed."""
