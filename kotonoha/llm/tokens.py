@@ -17,9 +17,9 @@ import numpy as np
 
 from kotonoha.llm import words
 
-KEPT = 600_000
+KEPT = 1_200_000
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 #: Parts encoded in one call of the tokenizer.
 _CALL = 5_000
 
@@ -106,11 +106,11 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
         at = len(self._ids) + np.cumsum(sizes) - sizes
-        self._keys = np.concatenate((self._keys, keys))
-        order = np.argsort(self._keys, kind="stable")
-        self._keys = self._keys[order]
-        self._at = np.concatenate((self._at, at))[order]
-        self._sizes = np.concatenate((self._sizes, sizes))[order]
+        # both are in order
+        spot = np.searchsorted(self._keys, keys)
+        self._keys = np.insert(self._keys, spot, keys)
+        self._at = np.insert(self._at, spot, at)
+        self._sizes = np.insert(self._sizes, spot, sizes)
         self._ids = np.concatenate((self._ids, ids))
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
