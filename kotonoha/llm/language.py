@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kotonoha.functions.tables import small_table
+from kotonoha.llm.rows import below
+
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -85,8 +88,11 @@ def train(docs: DataFrame, per_language: int = 400, dictionary_bytes: int = 65_5
     languages = [(r["lang"], r["n"]) for r in counts.limit(most_bytes // dictionary_bytes + 1).collect()]
     if len(languages) * dictionary_bytes > most_bytes:
         raise ValueError(f"more than {most_bytes // dictionary_bytes} languages; raise most_bytes or lower dictionary_bytes")
+    # a language's smallest hashes only: what is ranked does not grow with the language
+    totals = small_table(docs.sparkSession, languages, "lang string, total long")
+    near = rows.select("lang", "doc_id").join(F.broadcast(totals), "lang").filter(below(F.xxhash64("doc_id"), per_language, F.col("total")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("lang", "doc_id").distinct().withColumn("place", place).filter(F.col("place") <= per_language)
+    chosen = near.select("lang", "doc_id").distinct().withColumn("place", place).filter(F.col("place") <= per_language)
     share = max(1, dictionary_bytes // per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

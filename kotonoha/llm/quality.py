@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kotonoha.llm import words
+from kotonoha.llm.rows import below
 
 _REPEAT = np.uint64(0xA24BAED4963EE407)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
@@ -101,10 +102,10 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
     A document labelled twice has its lower label.  Ids are chosen from ``labels`` alone; only their texts leave the scan.
     """
-    chosen = (
-        labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
-        .withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(most)
-    )
+    place = F.xxhash64("doc_id")
+    valid = labels.filter("doc_id is not null and quality in (0, 1)")
+    near = valid.filter(below(place, most, max(1, valid.count())))
+    chosen = near.groupBy("doc_id").agg(F.min("quality").alias("label")).withColumn("place", place).orderBy("place", "doc_id").limit(most)
     # at most ``most`` rows of three numbers
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
 
