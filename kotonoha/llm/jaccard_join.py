@@ -344,11 +344,12 @@ def region_links(members: DataFrame, texts: DataFrame, most: int = REGION_SETS)
         links.append(apart.filter("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
         labels = components(_all(links))
         named = apart.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = named.withColumn("region", F.concat_ws("/", "region", F.coalesce(F.col("pivot").cast("string"), F.lit("rest"))))
-        # a pivot has met its whole region; a cell that is connected with its boundary is done
+        named = named.withColumnRenamed("region", "parent")
+        named = named.withColumn("region", F.concat_ws("/", "parent", F.coalesce(F.col("pivot").cast("string"), F.lit("rest"))))
+        # a pivot has met its whole region, and leaves that one only; a cell that is connected with its boundary is done
         open_ = named.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region")
-        pivots = apart.filter("pivot is not null").select(F.col("pivot").alias("node")).distinct()
-        members = written(named.join(open_, "region").join(pivots, "node", "left_anti").select("region", "node").distinct(), "members")
+        pivots = apart.filter("pivot is not null").select(F.col("region").alias("parent"), F.col("pivot").alias("node")).distinct()
+        members = written(named.join(open_, "region").join(pivots, ["parent", "node"], "left_anti").select("region", "node").distinct(), "members")
         round_ += 1
 
 

@@ -56,6 +56,16 @@ def test_links_at_the_bound(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def test_links_in_one_of_two_large_regions(spark):
+    texts = [(i, " ".join(f"t{i % 20}w{j}" for j in range(30)) + (" z" if i >= 20 else "")) for i in range(40)]
+    # of the pairs (i, i + 20), the first are in both regions, the second in one
+    members = [("p", i) for i in range(20)] + [("q", i) for i in range(40)]
+    members, texts = spark.createDataFrame(members, "region string, node long"), spark.createDataFrame(texts, "node long, text string")
+    links = jaccard_join.region_links(members, texts, most=10)
+    got = {r["node"]: r["component"] for r in components(jaccard_join._all(links)).collect()}
+    assert got == {i: i % 20 for i in range(40)}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
