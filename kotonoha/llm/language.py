@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kotonoha.functions.tables import small_table
+from kotonoha.functions.tables import small_table, written
 from kotonoha.llm.rows import below
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: Bytes of a dictionary's entries; a longer word, as in scripts without spaces, makes several.
+LONGEST = 256
 
 
 def coded(text: str) -> bytes:
@@ -30,6 +32,10 @@ def coded(text: str) -> bytes:
     return " ".join(dict.fromkeys(_WORD.findall(text.lower()))).encode("utf-8", "replace")
 
 
+def pieces(word: bytes, most: int) -> list[bytes]:
+    return [word[i : i + most] for i in range(0, len(word), most)]
+
+
 @dataclass
 class LanguageModel:
     """Dictionaries by language, those of most training documents first."""
@@ -79,39 +85,62 @@ class LanguageModel:
 def train(docs: DataFrame, per_language: int = 400, dictionary_bytes: int = 65_536, most_bytes: int = 64 << 20, **settings) -> LanguageModel:
     """Learn from ``docs(doc_id, text, lang)``; the caller leaves out the rows not to be learned from.
 
-    At most ``per_language`` documents of each language, those whose id's hash is smallest, share its dictionary evenly.
-    They are chosen without their texts.  The dictionaries go to every task: ``most_bytes`` bounds them in sum, and
+    A language's dictionary holds the words that are in most of at most ``per_language`` of its documents, those whose id's
+    hash is smallest, the most frequent last; words of equally many documents go by hash.  Whole texts are counted.
+    The documents are chosen without their texts.  The dictionaries go to every task: ``most_bytes`` bounds them in sum, and
     more languages than fit are an error, never left out.  Rows with a null text or language are not learned from.
     """
+    spark = docs.sparkSession
     rows = docs.filter("lang is not null and text is not null")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     languages = [(r["lang"], r["n"]) for r in counts.limit(most_bytes // dictionary_bytes + 1).collect()]
     if len(languages) * dictionary_bytes > most_bytes:
         raise ValueError(f"more than {most_bytes // dictionary_bytes} languages; raise most_bytes or lower dictionary_bytes")
     # a language's smallest hashes only: what is ranked does not grow with the language
-    totals = small_table(docs.sparkSession, languages, "lang string, total long")
+    totals = small_table(spark, languages, "lang string, total long")
     near = rows.select("lang", "doc_id").join(F.broadcast(totals), "lang").filter(below(F.xxhash64("doc_id"), per_language, F.col("total")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = near.select("lang", "doc_id").distinct().withColumn("place", place).filter(F.col("place") <= per_language)
-    share = max(1, dictionary_bytes // per_language)
+    longest = max(1, min(LONGEST, dictionary_bytes - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content = [coded(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.binary())], names=["lang", "place", "content"])
-
-    # at most ``per_language`` rows for each of the languages, whose number is bounded above
-    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "place", "text")
-    # bounded: languages times documents, each cut to four times its share
-    got = sample.mapInArrow(run, "lang string, place int, content binary").withColumn("content", F.substring("content", 1, 4 * share)).collect()
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = list(dict.fromkeys(p for w in coded(text).split(b" ") for p in pieces(w, longest)))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.binary())], names=["lang", "word"])
+
+    # at most ``per_language`` ids for each of the languages, whose number is bounded above
+    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
+    found = sample.mapInArrow(run, "lang string, word binary").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    found = written(found.withColumn("bytes", F.octet_length("word") + 1), "language-words")
+    # one row for each number of documents
+    levels = defaultdict(list)
+    for r in found.groupBy("lang", "n").agg(F.sum("bytes").alias("bytes")).collect():
+        levels[r["lang"]].append((r["n"], r["bytes"]))
+    least = []
+    for name, of in levels.items():
+        room = dictionary_bytes
+        for n, size in sorted(of, reverse=True):
+            if size >= room:
+                break
+            room -= size
+        # of the last number's words so many that those of smallest hash fill the room
+        least.append((name, n, min(1.0, (4 * room + 64 * longest) / size)))
+    least = small_table(spark, least, "lang string, least long, share double")
+    picked = found.join(F.broadcast(least), "lang").withColumn("place", F.xxhash64("word"))
+    picked = picked.filter((F.col("n") > F.col("least")) | (F.col("n") == F.col("least")) & (F.col("place").cast("double") <= -(2.0**63) + F.col("share") * 2.0**64))
+    # bounded: a few times the dictionaries
     parts = defaultdict(list)
-    for row in sorted(got, key=lambda r: (r["place"], r["content"])):
-        parts[row["lang"]].append(bytes(row["content"]))
+    for r in picked.select("lang", "word", "n", "place").collect():
+        parts[r["lang"]].append((-r["n"], r["place"], bytes(r["word"])))
     made = {}
     for name, _ in sorted(languages, key=lambda x: (-x[1], x[0])):
-        each = max(share, dictionary_bytes // max(1, len(parts[name])))
-        words = b" ".join(p[:each] for p in parts[name]) + b" "
-        made[name] = words[:dictionary_bytes]
+        room, held = dictionary_bytes, []
+        for *_, word in sorted(parts[name]):
+            if len(word) < room:
+                held.append(word)
+                room -= len(word) + 1
+        made[name] = b"".join(w + b" " for w in reversed(held))
     return LanguageModel({n: w for n, w in made.items() if len(w) >= 8}, **settings)
 
 

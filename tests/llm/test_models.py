@@ -66,6 +66,22 @@ def test_language_of_odd_rows(spark):
         language.train(docs, dictionary_bytes=1024, most_bytes=1024)
 
 
+def test_whole_texts_are_learned_from(spark):
+    letters = "abcdefghij"
+    word = lambda head, i: head + "".join(letters[int(d)] for d in f"{i:04}")
+    header = [word("head", i) for i in range(200)]
+    rows = [(d, " ".join(header + [word(f"own{letters[d]}", i) for i in range(300)] + ["last"]), "aa") for d in range(5)]
+    rows += [(9, "z" * 70_000 + " bb", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = language.train(docs).dictionaries
+    # all words of all texts fit, each once
+    assert sorted(known["aa"].split()) == sorted({w.encode() for _, t, n in rows if n == "aa" for w in t.split()})
+    assert sorted(known["bb"].split()) == [b"bb", b"z" * (70_000 % 256), b"z" * 256]
+    few = language.train(docs, dictionary_bytes=4096).dictionaries
+    # what most documents have comes first, and the room is filled
+    assert {w.encode() for w in [*header, "last"]} <= set(few["aa"].split()) and 4080 < len(few["aa"]) <= 4096
+
+
 def test_a_mixed_text_is_rejected():
     a, b = " ".join(f"aka{i}" for i in "bcdefghijklmnopqrstuvwxyz"), " ".join(f"oko{i}" for i in "bcdefghijklmnopqrstuvwxyz")
     model = language.LanguageModel({"x": (a + " ").encode() * 4, "y": (b + " ").encode() * 4}, least_bytes=40)
