@@ -90,6 +90,16 @@ def test_a_mixed_text_is_rejected():
     assert not model.judge("0".join(["zzq", "wwq"]) + " qqv ppv rrw uuw ttx ssx kkz jjz mmz nnz iiz")[2]
 
 
+def test_a_short_tie_is_rejected():
+    a, b = " ".join(f"aka{i}" for i in "bcdefghijklmnopqrstuvwxyz"), " ".join(f"oko{i}" for i in "bcdefghijklmnopqrstuvwxyz")
+    model = language.LanguageModel({"x": (a + " ").encode() * 4, "y": (b + " ").encode() * 4})
+    # as used: nothing known of either, short or long by repeats
+    for text in ("qqv", "zzq wwq ppv", "zzq wwq ppv " * 200):
+        assert len({s for s, _ in model.sizes(language.coded(text))}) == 1 and not model.judge(text)[2]
+    for text, name in (("akac akad akae", "x"), (b, "y"), ("okom okon okop zzq", "y")):
+        assert model.judge(text)[0] == name and model.judge(text)[2]
+
+
 @pytest.mark.parametrize("entries", [40, 4_000_000])
 def test_kneser_ney_against_plain_counts(spark, entries):
     docs = odd_docs(spark, [(20 + i, " ".join(f"w{(i * j) % 7} the" for j in range(i)), "en", "a") for i in range(12)])
