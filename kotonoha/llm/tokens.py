@@ -4,6 +4,8 @@ The vocabularies used here cut a text into pieces before anything else, and a
 piece's ids do not depend on its neighbours.  A batch is therefore cut at
 bytes where a piece surely begins, each distinct part is encoded once with the
 tokenizer, and the ids of the texts are gathered from those of their parts.
+The literal of an added token (``<|endoftext|>``) is one part, and what stands
+before and after it is cut like texts of their own, as the tokenizer does.
 A worker keeps the ids of the parts it has met, up to ``KEPT`` of them: that
 changes the time only.
 """
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
@@ -58,19 +61,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            # this vocabulary's normalizer lower-cases and its cutting drops white space
-            self.folds = json.load(f).get("normalizer") is not None
+            given = json.load(f)
+        # this vocabulary's normalizer lower-cases and its cutting drops white space
+        self.folds = given.get("normalizer") is not None
+        added = given.get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] and self.folds for t in added):
+            raise ValueError("added tokens that take white space, stand as whole words or are found in normalized text are not supported")
+        # of those that begin at one place the longest
+        self.added = sorted((t["content"].encode() for t in added if t["content"]), key=len, reverse=True)
+        self._added = re.compile(b"|".join(map(re.escape, self.added)))
         self._keys = np.zeros(0, np.uint64)
         self._at = np.zeros(0, np.int64)
         self._sizes = np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.uint32)
 
-    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _literals(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Begins and ends of the literals of added tokens, none of which reaches over the end of its text."""
+        content, at, found = data.tobytes(), 0, []
+        if any(t in content for t in self.added):
+            while m := self._added.search(content, at):
+                stop = int(offsets[np.searchsorted(offsets, m.start(), "right")])
+                at = m.start() + 1
+                # at the end of its text a shorter one may fit, or none
+                if m := self._added.match(content, m.start(), stop):
+                    found.append(m.span())
+                    at = m.end()
+        return np.array(found, np.int64).reshape(-1, 2)
+
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray, literals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begins and ends of the parts."""
         n = len(data)
-        starts = offsets[:-1][offsets[:-1] < n]
+        starts = np.unique(np.concatenate((offsets[:-1], literals.ravel())))
+        starts = starts[starts < n]
         cut = np.zeros(n, bool)
         alnum, sign = _ALNUM[data], _SIGN[data]
         cut[1:] |= alnum[:-1] & sign[1:]
@@ -82,9 +105,11 @@ class Encoder:
             solid, line = _SOLID[data], _LINE[data]
             before = (line[:-1] | (data[:-1] == 32)) & solid[1:]
             # the next text's first byte says nothing about this one's last
-            before[starts[1:] - 1] = False
+            before[starts[starts > 0] - 1] = False
             cut[:-1] |= before
             cut[1:] |= line[:-1] & solid[1:]
+        for begin, end in literals.tolist():
+            cut[begin:end] = False
         cut[starts] = True
         at = np.flatnonzero(cut)
         ends = np.append(at[1:], n)
@@ -121,7 +146,12 @@ class Encoder:
                 counts.append(np.zeros(stop - row, np.int64))
                 continue
             low = words.LOWER[data] if self.folds else data
-            at, ends = self._cuts(low, offsets)
+            literals = self._literals(data, offsets)
+            if self.folds:
+                for begin, end in literals.tolist():
+                    # found in the text as it is
+                    low[begin:end] = data[begin:end]
+            at, ends = self._cuts(low, offsets, literals)
             keys.append(words.spans(low, at, ends) if len(at) else np.zeros(0, np.uint64))
             counts.append(np.diff(np.searchsorted(at, offsets)))
             where.append((low, at, ends))

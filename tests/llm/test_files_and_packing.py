@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from helpers import DOCS, odd_docs
-from kotonoha.llm import id_files, packing
+from kotonoha.llm import id_files, packing, tokens
 from tokenizers import Tokenizer
 
 
@@ -42,6 +42,21 @@ def test_pieces_hold_each_id_once(spark):
         assert at == 1024 or at & (at - 1) == 0 and at < 1024
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_the_unchanged_tokenizer(name):
+    import pyarrow as pa
+
+    end, begin = "<|endoftext|>", "<|startoftext|>"
+    texts = [
+        f"end of file {end} next", end, end + end, f"a  {end}  b", f"a\n\n{end}\n b", f"x.{end}'s", f"it'{end}s", f"é{end}\u0338é",
+        "<|endof", "text|> cut by rows", f"<|{end}|>", end.upper(), f"{begin} One {end}", f"<|endoftext{end}", "", None, " ", "no literal", f"  {end}",
+    ]
+    ids, at = tokens.Encoder(public_tokenizers.path(name)).encode(pa.array(texts))
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
+
+
 def test_costs_are_balanced():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 400, 2000)
