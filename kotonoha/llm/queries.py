@@ -6,8 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotonoha.llm import decontaminate, id_files, jaccard_join, language, language_model, license_scan, neighbours, packing, quality, url_reputation
-from kotonoha.llm.oracles import JACCARD_ORACLE, LICENSE_ORACLE, URL_ORACLE
+from kotonoha.llm import (
+    conversation_repair,
+    decontaminate,
+    id_files,
+    jaccard_join,
+    language,
+    language_model,
+    license_scan,
+    merkle,
+    neighbours,
+    packing,
+    quality,
+    url_reputation,
+    warc,
+)
+from kotonoha.llm.oracles import CONVERSATION_ORACLE, JACCARD_ORACLE, LICENSE_ORACLE, MERKLE_ORACLE, URL_ORACLE, WARC_ORACLE
 from kotonoha.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 URL_RULES = [
@@ -93,3 +107,38 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_jaccard_join", JACCARD_ORACLE)
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+@query("op11_warc", WARC_ORACLE)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(table(spark, sf_dir, "pages"))
+    return found.select(
+        F.col("page_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").cast("long").alias("refers_to")
+    )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows dropped (``kept`` is false), emptied, cut, repeated or given another role, by a hash of conversation and turn."""
+    value = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.crc32(F.concat(value["conv_id"], F.lit(":"), value["turn"]).cast("binary")) % 20
+    rows = conversations.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(value["role"]).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(value["text"], "[.!?]", "")).when(kind > 0, value["text"]).alias("text"),
+        (kind > 0).alias("kept"), F.when(kind == 3, 2).otherwise(1).alias("copies"),
+    )
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies")
+
+
+@query("op12_conversation_repair", CONVERSATION_ORACLE)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(damaged(table(spark, sf_dir, "conversations")), F.col("kept"))
+
+
+@query("op13_merkle_manifest", MERKLE_ORACLE)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in columns]
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), columns, "lang", "doc_id", {"tampered": F.when(touched, merkle.leaf(changed))})
+    found = merkle.verified(found.withColumn("start", F.coalesce("tampered", "leaf")), "start")
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
