@@ -242,3 +242,10 @@ def is_half_width(ch: Column) -> Column:
     """ASCII and halfwidth kana advance half an em."""
     code = F.ascii(ch)
     return (code <= 0x7E) | code.between(0xFF61, 0xFFDC)
+
+
+#: Every character that a key stage reads or changes, kana and halfwidth forms as a whole.
+CHANGED = "".join(sorted({
+    *_WIDTH_FROM, *_FOLD_FROM, *(c for a, _ in (*_HALF_PAIRS, *_FOLD_MULTI, *_COMBINING, *_VOWEL_PAIRS) for c in a),
+    *fx.EMPHATIC, *fx.ORTHO_FROM, *fx.SOUND_HA_FROM, *map(chr, range(0x3041, 0x3100)), *map(chr, range(0xFF01, 0xFFF0)),
+}))

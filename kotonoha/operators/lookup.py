@@ -88,6 +88,23 @@ def query_windows(lines: DataFrame, width: int = fx.QUERY_WIDTH) -> DataFrame:
     )
 
 
+def live_characters(keyed: DataFrame, rules: DataFrame) -> str:
+    """Characters that a surface with a match can have: those of lookup keys and rule suffixes, and any that a key stage changes.
+
+    Any other stays in every key and in every derivation, so no term is reached.  There are no more than there are characters.
+    """
+    texts = keyed.select("term").union(rules.select("suffix_in"))
+    found = texts.select(F.explode(tx.chars_of(F.col("term"))).alias("c")).distinct()
+    return "".join(sorted({r["c"] for r in found.collect()} | set(tx.CHANGED)))
+
+
+def live_windows(windows: DataFrame, keyed: DataFrame, rules: DataFrame) -> DataFrame:
+    """Query texts up to the first character that no match can have; positions that begin with one are left out."""
+    live = live_characters(keyed, rules)
+    at = F.length(F.regexp_extract(F.translate("query", live, "\u0001" * len(live)), "^\u0001*", 0))
+    return windows.filter(~F.col("cells").startswith(fx.FULL_SPACE)).withColumn("query", F.left("query", at)).filter("query <> ''")
+
+
 def prefix_expand(windows: DataFrame, query: str = "query") -> DataFrame:
     """Every prefix of the query text, longest first."""
     q = F.col(query)
@@ -299,6 +316,13 @@ def filter_matches(candidates: DataFrame, keyed: DataFrame) -> DataFrame:
     )
 
 
+def candidate_hits(surfaces: DataFrame, keyed: DataFrame, rules: DataFrame) -> DataFrame:
+    """Candidates of distinct surfaces that reach at least one entry of ``keyed``."""
+    narrow = keyed.select("term", "kanji", "rules", "onyomi", "kunyomi")
+    hits = filter_matches(candidate_rows(surfaces, rules, narrow.select("term").distinct()), narrow)
+    return hits.select("surface", "term", "kind", "rank", "reasons", "required", "norm").distinct()
+
+
 def surface_hits(surfaces: DataFrame, entries: DataFrame, meta: DataFrame, rules: DataFrame) -> DataFrame:
     """Candidates of distinct surfaces that reach at least one entry, with the
     entry count per dictionary (bounded by the number of dictionaries)."""
@@ -362,7 +386,7 @@ def match_positions(
     size of the dictionary rather than of the corpus, are written once so that
     the final join is planned by their true size.
     """
-    windows = query_windows(lines, width).filter(~F.col("cells").startswith(fx.FULL_SPACE))
+    windows = live_windows(query_windows(lines, width), entry_keys(entries, meta), rules)
     prefixes = prefix_expand(windows)
     hits = written(surface_hits(prefixes.select("surface"), entries, meta, rules), "surface-hits")
     left = prefixes.withColumn("_salt", _salt(F.col("surface"), F.col("gidx")))

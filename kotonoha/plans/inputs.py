@@ -130,6 +130,21 @@ def benchmark_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages, their paragraphs as lines; words are set off by commas, as running Japanese has no spaces."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line_idx", "raw")
+    ).select("page_id", "line_idx", F.translate(F.lower("raw"), LETTERS + " .,", KANA + "、。、").alias("text"))
+
+
+def talk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines; words are set off by commas, and a comma of the text is a space that a match may run across."""
+    conv = table(spark, sf_dir, "conversations")
+    text = F.translate(F.replace(F.lower("text"), F.lit(", "), F.lit("　")), LETTERS + " .", KANA + "、。")
+    return conv.select(F.col("conv_id").alias("page_id"), F.col("turn").alias("line_idx"), text.alias("text"))
+
+
 def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     return b.select(
