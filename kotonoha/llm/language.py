@@ -46,10 +46,8 @@ class LanguageModel:
     #: A text of any length is rejected if the best total is not so many bytes smaller than the second: of 2,000 held-out texts
     #: and their beginnings, of those below 256 bytes, 51 of 173 equal totals were wrong, 1 of 8 one byte apart, 3 of 4,033 further apart.
     least_apart: int = 2
-    #: It is also rejected if the best total is not this share smaller, which is more from 1,000 compressed bytes on;
+    #: It is also rejected if the best total is not this share smaller, which is more from 1,000 compressed bytes on.
     least_margin: float = 0.002
-    #: texts whose distinct words have fewer bytes can be exempted from the share.
-    least_bytes: int = 0
     _made: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -81,7 +79,7 @@ class LanguageModel:
         best, name = min(sizes, key=lambda s: s[0])
         second = min((s for s, n in sizes if n != name), default=2 * best + 1)
         confidence = 1.0 / sum(2.0 ** -min(s - best, 1000) for s, _ in sizes)
-        narrow = second - best < max(self.least_apart, self.least_margin * second if len(content) >= self.least_bytes else 0)
+        narrow = second - best < max(self.least_apart, self.least_margin * second)
         return name, confidence, not narrow
 
 
