@@ -12,8 +12,10 @@ Jaccard distance is a metric.  Sets link within ``r`` (0.25 of distance).
    each set has a cell.  Two linked sets of different cells are, by the triangle inequality, each within ``2r``
    of the other's pivot: those are a cell's boundary, and are compared with the
    region if their cell and that one are not yet connected.
-5. A region too large for a task is cut by some of its pivots first, into cells with
-   their boundaries and the rest, and these are regions again, until all fit.
+5. A region too large for a task is cut by some of its sets first.  A set within ``r`` of a pivot has the nearest as its home; the
+   others are the rest.  A cell is its home sets and, as its boundary, what is within ``2r`` of its pivot: the rest, and
+   sets whose home is a later pivot, so a pair of two homes meets in one cell.  Cells and the rest are regions again as long
+   as they shrink to half; one that does not is compared by pairs of blocks, which is the most that is ever written.
 
 Shingles travel as sorted arrays per task and shard, texts to their regions.
 """
@@ -33,14 +35,17 @@ from kotonoha.functions.tables import written
 from kotonoha.llm import words
 from kotonoha.llm.components import components
 from kotonoha.llm.counts import counted, even, gathered, shard_rows
+from kotonoha.llm.rows import below
 
 WORDS = 5
 #: Links have ``100 * shared >= PERCENT * united``.
 PERCENT = 75
 #: Shingles in a shard.
 SHARD_ENTRIES = 3_000_000
-#: Sets of a region that a task joins.
-REGION_SETS = 4096
+#: Size of a region that a task joins, in sets of up to so many bytes of text; longer ones count as several.
+REGION_SETS, SET_BYTES = 4096, 6000
+#: Pivots by which a large region is cut.
+PIVOTS = 8
 #: Frequent shingles moved to the end of the order: at most so many, each in more than so many sets.  They change the time only.
 MOST_FREQUENT, FREQUENT = 1 << 18, 48
 
@@ -291,12 +296,18 @@ def _join_regions(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
-def _cut_regions(members: DataFrame, texts: DataFrame, round_: int, pivots: int = 8) -> DataFrame:
-    """Distances of the sets of large regions ``members(region, node)`` to some of their sets: ``region, node, pivot, near``
-    for pivots within twice the distance (``near``: within it), and a null pivot for a set near none."""
+def _cut_regions(members: DataFrame, texts: DataFrame, round_: int, pivots: int = PIVOTS) -> DataFrame:
+    """How the sets of large regions ``members(region, node)`` lie to some of their sets: ``region, node, cell, pivot, home, near``.
+
+    One row per set with its home (``cell`` is the pivot's place, or -1 for the rest), one for each cell whose boundary it
+    is in, and ``near`` ones for every pivot that it links with.
+    """
     place = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(round_)), "node"))
-    chosen = members.withColumn("place", place).filter(F.col("place") <= pivots).join(texts, "node")
-    chosen = chosen.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("place", "node", "text"))).alias("pivots"))
+    # a few sets of smallest hash: what is ranked is cut by hash first
+    counts = members.groupBy("region").agg(F.count("*").alias("total"))
+    few = members.join(counts, "region").filter(below(F.xxhash64("node", F.lit(round_)), pivots, F.col("total"), 16))
+    chosen = few.select("region", "node", place.alias("place")).filter(F.col("place") <= pivots).join(texts, "node")
+    chosen = written(chosen.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("place", "node", "text"))).alias("pivots")), "pivots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,47 +320,88 @@ def _cut_regions(members: DataFrame, texts: DataFrame, round_: int, pivots: int
                 sets = [s for _, _, v, at in words.sets(pa.array([g["text"] for g in given])) for s in np.split(v, at[1:-1])]
                 for row, stop, values, at in words.sets(rows.column(2)):
                     size, nodes = np.diff(at), rows.column(1).slice(row, stop - row).to_pylist()
-                    lonely = np.ones(len(size), bool)
-                    for g, s in zip(given, sets):
-                        both = np.diff(np.concatenate(([0], np.cumsum(np.isin(values, s))))[at])
-                        united = size + len(s) - both
-                        near = 100 * both >= PERCENT * united
-                        lonely &= ~near
-                        wide = (100 * both >= (2 * PERCENT - 100) * united) & (both > 0)
-                        out += [(region, nodes[i], g["node"], bool(near[i])) for i in np.flatnonzero(wide)]
-                    out += [(region, nodes[i], None, False) for i in np.flatnonzero(lonely)]
-            columns = zip(*out) if out else [[]] * 4
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["region", "node", "pivot", "near"])
+                    both = np.array([np.diff(np.concatenate(([0], np.cumsum(np.isin(values, s))))[at]) for s in sets])
+                    united = size + np.array([[len(s)] for s in sets]) - both
+                    near, wide = 100 * both >= PERCENT * united, (100 * both >= (2 * PERCENT - 100) * united) & (both > 0)
+                    home = np.where(near.any(0), np.argmax(np.where(near, both / united, -1), 0), -1)
+                    for i, node in enumerate(nodes):
+                        out.append((region, node, int(home[i]), given[home[i]]["node"] if home[i] >= 0 else None, True, False))
+                        out += [(region, node, int(p), given[p]["node"], False, True) for p in np.flatnonzero(near[:, i]) if given[p]["node"] != node]
+                        bound = np.flatnonzero(wide[:, i] & ((home[i] < 0) | (np.arange(len(given)) < home[i])))
+                        out += [(region, node, int(p), given[p]["node"], False, False) for p in bound]
+            columns = zip(*out) if out else [[]] * 6
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["region", "node", "cell", "pivot", "home", "near"])
 
     rows = members.select("region", "node").join(texts, "node").join(chosen, "region").select("region", "node", "text", "pivots")
-    return rows.mapInArrow(run, "region string, node long, pivot long, near boolean")
+    return rows.mapInArrow(run, "region string, node long, cell long, pivot long, home boolean, near boolean")
+
+
+def _open(members: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """The rows of ``members`` in regions that are not connected yet."""
+    labels = components(_all(links))
+    named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = named.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region")
+    return members.join(written(open_, "open"), "region", "left_semi")
+
+
+def _block_pairs(members: DataFrame, most: int) -> DataFrame:
+    """``members(region, node, home, n, home_n, rows, homes)`` dealt to pairs of blocks of at most about ``most / 2``.
+
+    Sets at home meet all others of the region; sets of the boundary meet those at home only.
+    """
+    count = lambda n: F.greatest(F.lit(2), F.ceil(F.col(n) * 2.5 / most)).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), F.col(n)).cast("int")
+    dealt = members.withColumns({"blocks": count("n"), "home_blocks": F.greatest(F.lit(1), F.ceil(F.col("home_n") * 2.5 / most)).cast("int")})
+    dealt = dealt.withColumns({"own": place("blocks"), "own_home": place("home_blocks")})
+    name = lambda a, b, sign: F.concat_ws("/", "region", F.concat_ws(sign, a.cast("string"), b.cast("string")))
+    whole = dealt.filter("homes = rows").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> own")
+    whole = whole.select(name(F.least("own", "other"), F.greatest("own", "other"), "-").alias("region"), "node")
+    cells = dealt.filter("homes < rows")
+    guests = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("home_blocks") - 1)))
+    hosts = cells.filter("home").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    guests, hosts = guests.select(name(F.col("other"), F.col("own"), "+").alias("region"), "node"), hosts.select(name(F.col("own_home"), F.col("other"), "+").alias("region"), "node")
+    return whole.union(guests.union(hosts).distinct())
 
 
 def region_links(members: DataFrame, texts: DataFrame, most: int = REGION_SETS) -> list[DataFrame]:
     """Tables of links ``(a, b)`` that connect what is connected in any region of ``members(region, node)``."""
+    weights = texts.select("node", F.greatest(F.lit(1.0), F.octet_length("text") / SET_BYTES).alias("weight"))
     links, round_ = [], 0
+    members = members.withColumn("last", F.lit(False))
     while True:
-        sizes = members.groupBy("region").agg(F.count("*").alias("n"))
-        sized = written(members.join(sizes, "region"), "members")
-        fit = sized.filter((F.col("n") <= most) & (F.col("n") > 1)).select("region", "node").join(texts, "node")
+        heavy = members.join(weights, "node")
+        sizes = heavy.groupBy("region").agg(F.count("*").alias("rows"), F.sum("weight").alias("n"))
+        sized = written(heavy.drop("weight").join(sizes, "region"), "members")
+        fits = (F.col("rows") > 1) & (F.col("last") | (F.col("n") <= most) | (F.col("rows") == 2))
+        fit = sized.filter(fits)
         # small regions share a task: about ``most`` sets beside one region's
-        tasks = max(1, math.ceil(sized.filter(F.col("n") <= most).count() / most))
-        fit = fit.groupBy(F.pmod(F.xxhash64("region"), F.lit(tasks)).alias("task"))
+        tasks = max(1, math.ceil((fit.agg(F.sum(F.col("n") / F.col("rows"))).first()[0] or 0) / most))
+        small = F.concat(F.lit("#"), F.pmod(F.xxhash64("region"), F.lit(tasks)).cast("string"))
+        task = F.when(F.col("n") * 8 > most, F.col("region")).otherwise(small)
+        fit = fit.select("region", "node", task.alias("task")).join(texts, "node").groupBy("task")
         links.append(written(fit.applyInArrow(_join_regions, "a long, b long"), "links"))
-        large = sized.filter(F.col("n") > most).select("region", "node")
+        large = written(sized.filter(~fits & (F.col("rows") > 1)).select("region", "node", "n"), "large")
         if large.isEmpty():
             return links
-        apart = written(_cut_regions(large, texts, round_), "apart")
-        links.append(apart.filter("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        labels = components(_all(links))
-        named = apart.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = named.withColumnRenamed("region", "parent")
-        named = named.withColumn("region", F.concat_ws("/", "parent", F.coalesce(F.col("pivot").cast("string"), F.lit("rest"))))
-        # a pivot has met its whole region, and leaves that one only; a cell that is connected with its boundary is done
-        open_ = named.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region")
-        pivots = apart.filter("pivot is not null").select(F.col("region").alias("parent"), F.col("pivot").alias("node")).distinct()
-        members = written(named.join(open_, "region").join(pivots, ["parent", "node"], "left_anti").select("region", "node").distinct(), "members")
+        apart = written(_cut_regions(large.select("region", "node"), texts, round_), "apart")
+        links.append(apart.filter("near").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        # a pivot has met its whole region, and leaves that one only
+        pivots = apart.filter("pivot is not null").select("region", F.col("pivot").alias("node")).distinct()
+        cells = apart.filter("not near").select("region", "node", "cell", "home").join(pivots, ["region", "node"], "left_anti")
+        cells = cells.join(weights, "node").join(large.select("region", "n").distinct(), "region")
+        cells = written(cells.withColumn("part", F.concat_ws("/", "region", "cell")), "cells")
+        # a cell without home sets has nothing left to compare; in the rest all are at home
+        at_home = F.coalesce(F.sum(F.when(F.col("home"), F.col("weight"))), F.lit(0.0))
+        parts = cells.groupBy("part").agg(
+            F.sum("weight").alias("size"), at_home.alias("home_n"), F.count_if("home").alias("homes"), F.count("*").alias("rows"), F.max("n").alias("of"))
+        parts = written(parts.filter("homes > 0"), "parts")
+        fits = F.col("size") <= F.greatest(F.col("of") / 2, F.lit(float(most)))
+        kept = cells.join(parts, "part").select(F.col("part").alias("region"), "node", "home", F.col("size").alias("n"), "home_n", "homes", "rows", fits.alias("shrinks"))
+        kept = written(_open(kept, links), "kept")
+        cut = kept.filter("shrinks").select("region", "node", F.lit(False).alias("last"))
+        pairs = written(_block_pairs(kept.filter("not shrinks"), most).withColumn("last", F.lit(True)), "blocks")
+        members = written(cut.union(_open(pairs, links).select("region", "node", "last")), "members")
         round_ += 1
 
 
@@ -390,7 +442,8 @@ def join(docs: DataFrame, part: float = 0.5, shard_entries: int = SHARD_ENTRIES,
     labels = components(_all([*region_links(members, texts, most), several])).withColumnRenamed("node", "set")
     named = valid.join(labels, "set", "left").withColumn("component", F.coalesce("component", "set"))
     named = named.select("doc_id", "n_shingles", "set", "component")
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the rows of a large component can be split between tasks
+    smallest = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
     linked = named.join(smallest, "component").join(classes.drop("n"), "set")
     out = ["doc_id", "n_shingles", "component_id", "class_id", "class_size"]
     lonely = sets.filter("n_shingles = 0 or doc_id is null").select(
