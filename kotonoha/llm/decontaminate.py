@@ -1,17 +1,18 @@
 """Benchmark passages in documents, by edit distance over words.
 
-The CGK walk copies words to an output three times as long as the input and
-after each copy moves on, or not, by a random bit of the word and the step.
-Two texts that walk with the same bits fall into step again after an edit, so a small edit
-distance becomes a small Hamming distance, and sampled positions of the outputs
-agree often.  Windows of the items' sizes are cut from all documents, embedded
-by several independent walks, and looked up in tables of sampled positions;
-the number of tables follows from the wanted recall.  A looked-up pair is then aligned exactly.
-
+The CGK walk copies words to an output longer than the input and after each copy moves on, or not, by a random bit of the
+word and the step.  Two texts that walk with the same bits fall into step again after an edit, so a small edit distance
+becomes a small Hamming distance, and sampled positions of the outputs agree often.  The share that agrees falls with the
+number of edits, though, so an item is embedded in pieces of at most ``PIECE`` words: of pieces of about one size, one has no more
+than its share of the edits, whatever the item's length.  Windows of the pieces' sizes are cut from all
+documents, embedded by several independent walks, and looked up in tables of sampled positions; the number of tables
+follows from the wanted recall of a piece.  A looked-up pair is then aligned exactly, as a whole item.
+
+A walk takes ``STEPS`` steps a word and moves on half a word a step, so positions come from the first four fifths of what a
+window and a piece surely share.
 A window is embedded only if enough of its words occur in the benchmark at all, which
-every window within the allowed edits does.  Items are taken in blocks of
-bounded size, so that what each task holds is bounded; nothing is shuffled before the
-hits, and no bucket is shared between documents.
+every window within the allowed edits does.  Items are taken in blocks of bounded size, so that what
+each task holds is bounded; nothing is shuffled before the hits, and no bucket is shared between documents.
 """
 
 from __future__ import annotations
@@ -26,11 +27,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kotonoha.functions.tables import written
 from kotonoha.llm import words
 
 _PAD = np.uint64(0x94D049BB133111EB)
-#: Items held by a task at once.
-BLOCK_ITEMS = 20_000
+#: Words of a piece, at most.
+PIECE = 11
+#: Steps of a walk a word that window and piece surely share.  More steps reach a piece's end but agree less: measured, fewer are found.
+STEPS = 1.6
+#: Bytes of items' text that a task holds at once: their tables take about 12 times as much.
+BLOCK_BYTES = 16 << 20
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, first_word long, last_word long"
 
 
@@ -45,29 +51,29 @@ def tables_for(recall: float, agree: float, sampled: int) -> int:
 
 
 class SizeClass:
-    """Items of about one size, their walks and tables."""
+    """Pieces of about one size, their walks and tables."""
 
-    def __init__(self, low: int, high: int, items: list[int], share: float, walks: int, tables: int, sampled: int, symbols, starts, sizes):
-        self.low, self.high = low, high
-        #: Windows begin at every so many words; items are in the tables from each of their first ``stride`` words on,
+    def __init__(self, pieces: list[int], start, size, limit, edits: int, walks: int, tables: int, sampled: int, symbols):
+        self.low = int(size[pieces].min())
+        #: Windows begin at every so many words; pieces are in the tables from each of their first ``stride`` words on,
         #: so that some window and some entry begin at the same word.
-        self.stride = max(1, low // 5)
-        self.edits = allowed(high, share)
-        #: Words that a window and its item surely share the place of.
-        self.sure = low - self.stride + 1
-        rng = np.random.default_rng([low, high, 11])
-        steps = max(2, int(1.6 * self.sure))
+        self.stride = max(1, self.low // 5)
+        self.edits = edits
+        #: Words that a window and its piece surely share the place of.
+        self.sure = self.low - self.stride + 1
+        rng = np.random.default_rng([self.low, int(size[pieces].max()), 11])
+        steps = max(2, int(STEPS * self.sure))
         self.coefficients = [rng.integers(0, 1 << 63, steps, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(walks)]
         per = -(-tables // walks)
         self.samples = [[np.sort(rng.choice(steps, min(sampled, steps), replace=False)) for _ in range(per)] for _ in range(walks)]
         self.weights = rng.integers(0, 1 << 63, sampled, np.uint64) * np.uint64(2) + np.uint64(1)
-        shift, items = np.repeat(np.arange(self.stride), len(items)), np.tile(np.array(items), self.stride)
+        shift, pieces = np.repeat(np.arange(self.stride), len(pieces)), np.tile(np.array(pieces), self.stride)
         self.keys = []
-        for keys in self.tables(symbols, starts[items] + shift, sizes[items] - shift):
+        for keys in self.tables(symbols, start[pieces] + shift, limit[pieces] - shift):
             order = np.argsort(keys, kind="stable")
             present = np.zeros(1 << 16, bool)
             present[keys >> np.uint64(48)] = True
-            self.keys.append((keys[order], items[order], present))
+            self.keys.append((keys[order], pieces[order].astype(np.int32), present))
 
     def tables(self, symbols: np.ndarray, start: np.ndarray, limit: np.ndarray) -> Iterator[np.ndarray]:
         """The keys of each table for texts ``symbols[start : start + limit]``."""
@@ -86,7 +92,7 @@ class SizeClass:
                 yield words.mix(total)
 
     def look_up(self, symbols: np.ndarray, start: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(window, item)`` pairs that share a key in some table."""
+        """``(window, piece)`` pairs that share a key in some table."""
         windows, items = [], []
         for keys, (held, of, present) in zip(self.tables(symbols, start, limit), self.keys):
             maybe = np.flatnonzero(present[keys >> np.uint64(48)])
@@ -123,13 +129,22 @@ class Items:
         self.names, self.sizes, self.starts = names, sizes, starts
         self.present = np.zeros(1 << 24, bool)
         self.present[self.symbols >> np.uint64(40)] = True
+        # near equal pieces; one of them has at most its share of an item's edits
+        count = np.maximum(1, -(-sizes // PIECE))
+        self.owner = np.repeat(np.arange(len(sizes)), count)
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        self.offset = nth * sizes[self.owner] // np.maximum(1, count[self.owner])
+        size = (nth + 1) * sizes[self.owner] // np.maximum(1, count[self.owner]) - self.offset
+        start = starts[self.owner] + self.offset
+        limit = sizes[self.owner] - self.offset
+        edits = np.array([allowed(n, share) for n in sizes.tolist()], np.int64) // count
         self.classes, low = [], 1
-        while len(sizes) and low <= sizes.max():
+        while len(size) and low <= size.max():
             high = max(low, int(low * 1.25))
-            items = np.flatnonzero((sizes >= low) & (sizes <= high))
-            if len(items):
-                at = int(sizes[items].min())
-                self.classes.append(SizeClass(at, int(sizes[items].max()), items.tolist(), share, walks, tables_for(recall, agree, sampled), sampled, self.symbols, starts, sizes))
+            pieces = np.flatnonzero((size >= low) & (size <= high))
+            if len(pieces):
+                most = int(edits[self.owner[pieces]].max())
+                self.classes.append(SizeClass(pieces.tolist(), start, size, limit, most, walks, tables_for(recall, agree, sampled), sampled, self.symbols))
             low = high + 1
 
     def find(self, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -149,11 +164,12 @@ class Items:
             start = start[seen >= c.low - c.edits - c.stride + 1]
             for i in range(0, len(start), 100_000):
                 some = start[i : i + 100_000]
-                window, item = c.look_up(h, some, to_end[some])
-                for w, k in zip(some[window].tolist(), item.tolist()):
-                    t = int(text[w])
-                    pad = c.edits + c.stride
-                    regions.setdefault((t, k), []).append((max(int(at[t]), w - pad), min(int(at[t + 1]), w + int(self.sizes[k]) + pad)))
+                window, piece = c.look_up(h, some, to_end[some])
+                item, offset = self.owner[piece], self.offset[piece]
+                for w, k, o in zip(some[window].tolist(), item.tolist(), offset.tolist()):
+                    t, n = int(text[w]), int(self.sizes[k])
+                    pad = allowed(n, self.share) + c.stride
+                    regions.setdefault((t, k), []).append((max(int(at[t]), w - o - pad), min(int(at[t + 1]), w - o + n + pad)))
         return [hit for (t, k), found in regions.items() if (hit := self._verify(t, k, found, h, at))]
 
     def _verify(self, t: int, k: int, found: list, h: np.ndarray, at: np.ndarray):
@@ -174,11 +190,11 @@ class Items:
         return best
 
 
-def blocks(benchmark: DataFrame, size: int = BLOCK_ITEMS) -> Iterator[tuple[list, list[str]]]:
-    """The distinct rows of ``benchmark(item_id, text)`` in blocks of about ``size`` rows; a null text is left out."""
+def blocks(benchmark: DataFrame, size: int = BLOCK_BYTES) -> Iterator[tuple[list, list[str]]]:
+    """The distinct rows of ``benchmark(item_id, text)`` in blocks of about ``size`` bytes; a null text is left out."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
-    count = rows.count()
-    parts = max(1, -(-count // size))
+    count, total = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    parts = max(1, min(count, -(-(total or 0) // size)))
     for part in range(parts if count else 0):
         got = sorted(rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
         yield [r["item_id"] for r in got], [r["text"] for r in got]
@@ -194,7 +210,7 @@ def _hits(items: Items, column) -> Iterator[tuple[int, list]]:
         yield row, items.find(h, at)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS, **settings) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_BYTES, **settings) -> DataFrame:
     """One row for each document and item whose passage it holds: ``distance`` in words, and the passage's first and last word.
 
     Words are lower-cased runs of letters and digits, signs do not count.  A passage is a run of the document's words
@@ -227,10 +243,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS, **settings) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no passage of the benchmark."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_BYTES, **settings) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no passage of the benchmark.
+
+    Several blocks are taken one after the other over written rows, so that a task holds one at a time.
+    """
     spark = docs.sparkSession
-    for names, texts in blocks(benchmark, block):
+    for i, (names, texts) in enumerate(blocks(benchmark, block)):
+        if i:
+            docs = written(docs, "clean")
         sent, at = spark.sparkContext.broadcast(Items(names, texts, **settings)), docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, at=at) -> Iterator[pa.RecordBatch]:

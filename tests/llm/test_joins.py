@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import DOCS, odd_docs, plain_components, plain_words
+from helpers import DOCS, odd_docs, plain_components, plain_sets, plain_words
 from kotonoha.llm import decontaminate, jaccard_join, neighbours, queries
 from kotonoha.llm.components import components
 
@@ -66,6 +66,98 @@ def test_links_in_one_of_two_large_regions(spark):
     assert got == {i: i % 20 for i in range(40)}
 
 
+@pytest.mark.parametrize("n,most", [(40, 8), (400, 40), (2000, 100)])
+def test_sets_that_share_a_body_do_not_multiply(spark, monkeypatch, n, most):
+    """All within twice the distance of each other and few linked: cutting does not help, and pairs of blocks are the most that is read."""
+    body = " ".join(f"b{i}" for i in range(44))
+    texts = [(i, f"{body} " + " ".join(f"o{i // 2 * 2 if i % 10 < 2 else i}x{k}" for k in range(10)) + (" end" if i % 2 else "")) for i in range(n)]
+    sizes = []
+    block_pairs = jaccard_join._block_pairs
+
+    def counted(members, most):
+        pairs = block_pairs(members, most)
+        sizes.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "_block_pairs", counted)
+    members = spark.createDataFrame([("p", i) for i in range(n)], "region string, node long")
+    links = jaccard_join.region_links(members, spark.createDataFrame(texts, "node long, text string"), most=most)
+    got = {r["node"]: r["component"] for r in components(jaccard_join._all(links)).collect()}
+    sets = plain_sets(texts)
+    want = {}
+    for i in range(0, n, 10):
+        assert 100 * len(sets[i] & sets[i + 1]) >= 75 * len(sets[i] | sets[i + 1]) and 100 * len(sets[i] & sets[i + 2]) < 75 * len(sets[i] | sets[i + 2])
+        want |= {i: i, i + 1: i}
+    assert {i: c for i, c in got.items() if i != c or i in want} == want
+    assert sum(sizes) <= 3 * n * 2.5 * n / most + 8 * n
+
+
+def test_long_sets_count_as_several(spark):
+    texts = [(i, " ".join(f"w{k}" for k in range(2000)) + f" own{i}") for i in range(6)]
+    members = spark.createDataFrame([("p", i) for i in range(6)], "region string, node long")
+    links = jaccard_join.region_links(members, spark.createDataFrame(texts, "node long, text string"), most=4)
+    assert {r["component"] for r in components(jaccard_join._all(links)).collect()} == {0}
+
+
+def plain_edited(words, kind, edits, rng):
+    words, n = list(words), len(words)
+    spots = sorted(rng.sample(range(n), edits), reverse=True)
+    if kind == "spread":
+        for i in spots:
+            words[i] = f"z{i}"
+    elif kind == "every fourth":
+        for i in range(edits):
+            words[i * 4 + 3] = f"z{i}"
+    elif kind == "insertions":
+        for i in spots:
+            words.insert(i, f"z{i}")
+    elif kind == "deletions":
+        for i in spots:
+            del words[i]
+    elif kind == "front":
+        words[:edits] = [f"z{i}" for i in range(edits)]
+    else:
+        middle = (n - edits) // 2
+        words[middle : middle + edits] = [f"z{i}" for i in range(edits)]
+    return words
+
+
+@pytest.mark.parametrize("n,rate", [(8, 0.24), (12, 0.24), (18, 0.24), (20, 0.24), (30, 0.24), (60, 0.2), (60, 0.24), (100, 0.15), (200, 0.1), (200, 0.24), (400, 0.15)])
+def test_recall_holds_at_any_length(n, rate):
+    import pyarrow as pa
+
+    rng = random.Random(n)
+    pool = [f"w{i}" for i in range(3000)]
+    given = [[rng.choice(pool) for _ in range(n)] for _ in range(60)]
+    items = decontaminate.Items(list(range(60)), [" ".join(w) for w in given])
+    for kind in ("spread", "every fourth", "insertions", "deletions", "front", "middle"):
+        around = lambda k: [rng.choice(pool) for _ in range(k)]
+        texts = [" ".join([*around(rng.randrange(40)), *plain_edited(w, kind, int(n * rate), rng), *around(30)]) for w in given]
+        found = {row + t for row, hits in decontaminate._hits(items, pa.array(texts)) for t, k, *_ in hits if row + t == k}
+        assert len(found) >= 54, (kind, len(found))
+
+
+def test_tables_of_an_item_grow_with_its_words():
+    rng = random.Random(1)
+    for n in (50, 300, 1000):
+        items = decontaminate.Items(list(range(40)), [" ".join(f"w{rng.randrange(9999)}" for _ in range(n)) for _ in range(40)])
+        size = sum(keys.nbytes + of.nbytes for c in items.classes for keys, of, _ in c.keys)
+        assert size <= 40 * n * 90
+
+
+def test_blocks_by_bytes_give_the_same_passages(spark):
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(500)]
+    given = [(i, " ".join(rng.choice(pool) for _ in range(rng.choice([6, 15, 40, 90])))) for i in range(30)]
+    docs = [(i, f"some words {t} and more") for i, t in given[::2]] + [(100 + i, " ".join(rng.choice(pool) for _ in range(50))) for i in range(20)] + [(7, None), (8, "")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(given, "item_id long, text string")
+    assert len(list(decontaminate.blocks(items, 1000))) > 3
+    whole = sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
+    assert whole and sorted(map(tuple, decontaminate.contaminated(docs, items, 1000).collect())) == whole
+    kept = sorted((r["doc_id"], r["text"] or "") for r in decontaminate.keep_clean(docs, items, 1000).collect())
+    assert kept == sorted((r["doc_id"], r["text"] or "") for r in decontaminate.keep_clean(docs, items).collect()) and len(kept) == 22
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
