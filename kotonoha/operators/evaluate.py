@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kotonoha.functions.tables import written
+from kotonoha.operators import ordered
+
 REL_TOLERANCE = 1e-4
 
 
@@ -58,15 +61,15 @@ def placement_metrics(boxes: DataFrame, gold: DataFrame, keys: list[str], case:
     true_mid = (F.col("true_lo") + F.col("true_hi")) / 2.0
     mid = (F.col("lo") + F.col("hi")) / 2.0
     inside = lambda c, lo, hi: ((c >= F.col(lo) - 0.5) & (c <= F.col(hi) + 0.5)).cast("double")
-    d = d.withColumn("err", F.abs(true_mid - mid))
+    d = written(d.withColumn("err", F.abs(true_mid - mid)), "placed")
+    p90 = ordered.group_quantiles(d, [case], "err", {"centre_err_p90": 0.9})
     return d.groupBy(case).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("err").alias("centre_err_mean"),
-        F.percentile("err", 0.9).alias("centre_err_p90"),
         F.avg(inside(true_mid, "lo", "hi")).alias("cover_rate"),
         F.avg(inside(mid, "true_lo", "true_hi")).alias("tap_rate"),
         F.avg((F.col("hi") - F.col("lo")) - (F.col("true_hi") - F.col("true_lo"))).alias("width_delta_mean"),
-    )
+    ).join(p90, case, "left")
 
 
 def drift_guard(fold: DataFrame, variants: DataFrame, expected: int) -> DataFrame:

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kotonoha.functions.tables import written
+
 BLOCK = 4096
 _BLK = "_blk"
 
@@ -156,6 +158,44 @@ def group_medians(df: DataFrame, keys: Sequence[str], value: str, slots: int = 1
     return hit.select(*keys, "n", ((F.col("_low") + F.col("upper_median")) / 2).alias("median"), "upper_median")
 
 
+def group_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], slots: int = 1024, most: int = 65_536
+) -> DataFrame:
+    """Exact interpolated quantiles per group, one column each; nulls do not count, and a group without values has no row.
+
+    Equal values are counted before anything is brought together.  A wanted rank is then looked for in slots of the value's range,
+    and again in the slot that holds it, until that has at most ``most`` distinct values; only those are ordered.
+    """
+    keys = list(keys)
+    counts = written(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), "value-counts")
+    ends = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_size"))
+    at = lambda q: (F.col("_n") - 1) * F.lit(float(q))
+    ranks = [F.struct(F.lit(name).alias("name"), side(at(q)).cast("long").alias("rank")) for name, q in quantiles.items() for side in (F.floor, F.ceil)]
+    target = [*keys, "_rank"]
+    found = ends.withColumn("_r", F.explode(F.array_distinct(F.transform(F.array(*ranks), lambda r: r["rank"]))))
+    found = written(found.select(*keys, F.col("_r").alias("_rank"), F.lit(0).cast("long").alias("_base"), "_lo", "_hi", "_size"), "ranks")
+    inside = lambda t: counts.join(t, keys).filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
+    before = Window.partitionBy(*target).rowsBetween(Window.unboundedPreceding, -1)
+    while (found.agg(F.max("_size")).first()[0] or 0) > most:
+        width = F.col("_hi") - F.col("_lo")
+        slot = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * F.lit(slots))).otherwise(0)
+        per = inside(found).groupBy(*target, "_base", slot.alias("_slot")).agg(
+            F.sum("_c").alias("_s"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_size"))
+        per = per.withColumn("_base", F.col("_base") + F.coalesce(F.sum("_s").over(before.orderBy("_slot")), F.lit(0)))
+        hit = (F.col("_base") <= F.col("_rank")) & (F.col("_rank") < F.col("_base") + F.col("_s"))
+        found = written(per.filter(hit).select(*target, "_base", "_lo", "_hi", "_size"), "ranks")
+    upto = inside(found).withColumn("_before", F.col("_base") + F.coalesce(F.sum("_c").over(before.orderBy(value)), F.lit(0)))
+    hit = upto.filter((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
+    values = hit.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", value))).alias("_v")).join(ends.select(*keys, "_n"), keys)
+
+    def quantile(q: float) -> Column:
+        low, high = F.floor(at(q)).cast("long"), F.ceil(at(q)).cast("long")
+        a, b = F.element_at("_v", low), F.element_at("_v", high)
+        return F.when(a == b, a).otherwise((high - at(q)) * a + (at(q) - low) * b)
+
+    return values.select(*keys, *[quantile(q).alias(name) for name, q in quantiles.items()])
+
+
 def prefix_max(
     df: DataFrame, keys: Sequence[str], idx: str, value: Column, out: str, order: Sequence[Column] = (), size: int = BLOCK
 ) -> DataFrame:

@@ -145,32 +145,35 @@ def neighbours(
     A target reaching the fraction must share one of the source's rarest
     components: the components are taken rarest first until what is left over
     weighs less than the fraction asks for.  Only those are joined on, so
-    frequent components produce no pairs; the result is exact.  With
-    ``min_fraction=0`` every shared component counts.  A component carried by
-    very many items is spread over salts on both sides.
+    frequent components produce no pairs; the result is exact.  Components have one
+    order for all items, so at the first one that both have, what they share weighs no more than what follows in either; a pair
+    is measured there only, in the join, and nothing of it is shuffled again.  With ``min_fraction=0`` every shared component
+    counts.  A component carried by very many items is spread over salts on both sides.
     """
     profiles = written(item_profiles(components, idf), "profiles")
     source = profiles if sources is None else profiles.join(sources.select("item").distinct(), "item", "left_semi")
     source = source.filter("mass > 0")
     # mass left over after the first i components, rarest first
     left_over = lambda i: F.aggregate(F.slice("parts", i + 1, F.size("parts")), F.lit(0.0), lambda a, p: a + p["idf"])
-    slack = F.lit(1e-9)
-    prefix = F.filter("parts", lambda p, i: left_over(i) >= F.col("mass") * F.lit(min_fraction) - slack)
+    slack = F.lit(1e-9) * (F.col("mass") + 1)
+    need = F.col("mass") * F.lit(min_fraction) - slack
+    prefix = F.filter("parts", lambda p, i: left_over(i) >= need)
     salts = lambda df: F.greatest(F.lit(1), F.ceil(df / F.lit(HOT_COMPONENT)))
-    left = source.select("item", F.explode(prefix).alias("p")).select(
-        F.col("item").alias("src"),
-        "p.component",
-        F.pmod(F.xxhash64("item"), salts(F.col("p.df"))).cast("int").alias("_salt"),
+    left = source.withColumn("_first", prefix).select(
+        F.col("item").alias("src"), "parts", "mass", need.alias("_need"), F.transform("_first", lambda p: p["component"]).alias("_first"), F.explode("_first").alias("p")
+    ).select(
+        "src", "parts", "mass", "_need", "_first", "p.component", F.pmod(F.xxhash64("src"), salts(F.col("p.df"))).cast("int").alias("_salt"),
     )
-    carriers = profiles.filter(F.col("item").rlike(population)).select("item", F.explode("parts").alias("p")).select(
-        F.col("item").alias("dst"),
-        "p.component",
+    at = F.transform("parts", lambda p, i: F.struct(p["component"].alias("component"), p["df"].alias("df"), left_over(i).alias("rest")))
+    names = F.transform("parts", lambda p: p["component"])
+    carriers = profiles.filter(F.col("item").rlike(population)).select("item", names.alias("_have"), F.explode(at).alias("p")).select(
+        F.col("item").alias("dst"), "_have", "p.component", F.col("p.rest").alias("_rest"),
         F.explode(F.sequence(F.lit(0), salts(F.col("p.df")).cast("int") - 1)).alias("_salt"),
     )
-    pairs = left.join(carriers, ["component", "_salt"]).filter("src <> dst").select("src", "dst").distinct()
-    a = source.select(F.col("item").alias("src"), "parts", "mass")
-    b = profiles.select(F.col("item").alias("dst"), F.transform("parts", lambda p: p["component"]).alias("_have"))
-    both = pairs.join(a, "src").join(b, "dst")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("component", "_salt")]
+    met = left.alias("l").join(carriers.alias("r"), [*same, F.col("r._rest") >= F.col("l._need"), F.col("l.src") != F.col("r.dst")])
+    first = F.get(F.filter("_first", lambda c: F.array_contains("_have", c)), F.lit(0))
+    both = met.filter(first == F.col("l.component"))
     shared = F.filter("parts", lambda p: F.array_contains("_have", p["component"]))
     weight = F.aggregate(shared, F.lit(0.0), lambda acc, p: acc + p["idf"])
     return both.select(

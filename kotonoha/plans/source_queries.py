@@ -231,6 +231,27 @@ def line_dataset(spark, d):
     return spark.read.parquet(path).drop("bucket")
 
 
+@query("s13_corrected_dataset", sql("""select 'ocr_line_' || page_id || '_' || line_idx "name", page_id, line_idx,
+ case when fixed is null then text else array_to_string(list_transform(string_split(text, ''), lambda x, i: coalesce(fixed[i - 1], x)), '') end as text
+from lines left join (select page_id, line_idx, map_from_entries(list({'k': idx, 'v': ch})) fixed from (
+ select page_id, line_idx, idx, max_by(ch, version) ch from (select conv_id page_id, turn line_idx, k * (turn + 3) idx, k * 7 % 5 version, ['甲','乙','丙'][k % 3 + 1] ch
+  from (select conv_id, turn, unnest([1, 2, 3, 4, 6, 9, 400]) k from conversations where conv_id % 3 = 0) union all
+  select conv_id, turn, turn + 3, 9, '丁' from conversations where conv_id % 3 = 0) group by all) group by page_id, line_idx) c using (page_id, line_idx)""", "lines"))
+def corrected_dataset(spark, d):
+    path = scratch_dir(spark, "line-dataset")
+    store.export_line_dataset(inputs.lines(spark, d), path)
+    # the pages of every third conversation are corrected, in two rounds, the second with the later versions
+    c = inputs.table(spark, d, "conversations").filter("conv_id % 3 = 0").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("line_idx"))
+    k = F.col("k")
+    some = c.withColumn("k", F.explode(F.array(*map(F.lit, [1, 2, 3, 4, 6, 9, 400])))).select(
+        "page_id", "line_idx", (k * (F.col("line_idx") + 3)).alias("idx"), (k * 7 % 5).alias("version"), F.get(F.array(*map(F.lit, "甲乙丙")), k % 3).alias("ch")
+    )
+    last = c.select("page_id", "line_idx", (F.col("line_idx") + 3).alias("idx"), F.lit(9).alias("version"), F.lit("丁").alias("ch"))
+    store.correct_line_dataset(spark, path, some)
+    store.correct_line_dataset(spark, path, last)
+    return spark.read.parquet(path).drop("bucket")
+
+
 # -- evaluation -----------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotonoha.functions import fixed as fx
-from kotonoha.functions.tables import small_table
+from kotonoha.functions.tables import small_table, written
 
 META = "id bigint, name string, priority int, enabled boolean, built_in boolean, catalog_id string"
 
@@ -152,15 +152,42 @@ def evolve_schema(meta: DataFrame) -> DataFrame:
 
 
 SAMPLE_PREFIX = "ocr_line_"
+#: Parts of a line dataset: what a correction rewrites.
+DATASET_BUCKETS = 64
+_DATASET = "name string, page_id long, line_idx long, text string, bucket int"
+
+
+def _page_bucket(page: str = "page_id") -> Column:
+    return F.pmod(F.xxhash64(F.col(page).cast("long")), F.lit(DATASET_BUCKETS)).cast("int")
 
 
 def export_line_dataset(lines: DataFrame, path: str) -> None:
     """One labelled record per recognised line, by page bucket."""
     name = F.concat(F.lit(SAMPLE_PREFIX), F.col("page_id").cast("string"), F.lit("_"), F.col("line_idx").cast("string"))
-    bucket = F.pmod(F.xxhash64("page_id"), F.lit(64)).cast("int")
-    lines.select(name.alias("name"), "page_id", "line_idx", "text", bucket.alias("bucket")).write.mode("overwrite").partitionBy(
-        "bucket"
-    ).parquet(path)
+    rows = lines.select(name.alias("name"), F.col("page_id").cast("long").alias("page_id"), F.col("line_idx").cast("long").alias("line_idx"), "text")
+    rows.withColumn("bucket", _page_bucket()).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
+
+
+def correct_line_dataset(spark: SparkSession, path: str, corrections: DataFrame) -> list[int]:
+    """Labels follow later corrections ``(page_id, line_idx, idx, ch, version)`` (D15); returns the buckets rewritten.
+
+    Only the buckets of corrected pages are read and replaced.  The new rows are written elsewhere first, so a failure leaves
+    either a bucket's old files or its new ones; running it again gives the same labels.  Lines the dataset does not
+    have and positions a line does not have are ignored.
+    """
+    last = corrections.groupBy("page_id", "line_idx", "idx").agg(F.max_by("ch", "version").alias("ch")).filter("ch is not null")
+    fixed = last.groupBy("page_id", "line_idx").agg(F.map_from_entries(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "ch"))).alias("_new"))
+    fixed = written(fixed.withColumn("bucket", _page_bucket()), "line-corrections")
+    touched = sorted(r["bucket"] for r in fixed.select("bucket").distinct().collect())
+    if not touched:
+        return []
+    old = spark.read.schema(_DATASET).parquet(path).filter(F.col("bucket").isin(touched))
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+    new = F.array_join(F.transform(chars, lambda c, i: F.coalesce(F.element_at("_new", i), c)), "")
+    rows = old.join(fixed, ["page_id", "line_idx", "bucket"], "left").withColumn("text", F.when(F.col("_new").isNull(), F.col("text")).otherwise(new))
+    staged = written(rows.select("name", "page_id", "line_idx", "text", "bucket"), "line-dataset")
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
 
 
 def list_inputs(files: DataFrame) -> DataFrame:
