@@ -493,9 +493,83 @@ def _components_fold(rows: list[dict]) -> list[tuple]:
     return [(page, node, comp) for node, comp in sorted(label.items())]
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """Strong component of each node of each page's directed graph."""
-    return ordered.fold_groups(edges.select("page_id", "src", "dst"), PAGE, [F.col("src"), F.col("dst")], _components_fold, COMPONENTS)
+#: Edges of a page that a task may hold; larger pages are worked out in tables.
+FOLD_EDGES = 100_000
+_NODE = ["page_id", "node"]
+
+
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The smallest node that reaches each node, as ``(page_id, node, color)``, to a fixed point."""
+    at = lambda end: labels.select("page_id", F.col("node").alias(end), F.col("color").alias("_c"))
+    while True:
+        came = edges.join(at("src"), ["page_id", "src"]).groupBy("page_id", F.col("dst").alias("node")).agg(F.min("_c").alias("_c"))
+        step = labels.join(came, _NODE, "left").select("page_id", "node", F.col("color").alias("_was"), F.least("color", F.coalesce("_c", "color")).alias("color"))
+        # what reaches the node that reaches a node reaches that one too
+        jump = labels.select("page_id", F.col("node").alias("color"), F.col("color").alias("_far"))
+        step = step.join(jump, ["page_id", "color"], "left").select("page_id", "node", "_was", F.least("color", F.coalesce("_far", "color")).alias("color"))
+        step = written(step, "colors")
+        labels = step.select("page_id", "node", "color")
+        if step.filter("color <> _was").isEmpty():
+            return labels
+
+
+def _reaching(colors: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that reach the node they are coloured by, along nodes of their colour."""
+    inside = edges.join(colors.withColumnRenamed("node", "src"), ["page_id", "src"]).join(
+        colors.select("page_id", F.col("node").alias("dst"), F.col("color").alias("_d")), ["page_id", "dst"]
+    ).filter("color = _d").select("page_id", "src", "dst")
+    inside = written(inside, "inside")
+    front = written(colors.filter("node = color").select("page_id", "node", "color"), "reaching")
+    found = front
+    while True:
+        back = inside.join(front.withColumnRenamed("node", "dst"), ["page_id", "dst"]).select("page_id", F.col("src").alias("node"), "color").distinct()
+        front = written(back.join(found, _NODE, "left_anti"), "reaching")
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
+
+
+def _components_in_tables(edges: DataFrame) -> DataFrame:
+    """Strong components by colours, for pages of any size.
+
+    A node is coloured by the smallest node that reaches it; those of a colour that also reach that node are its component.
+    Nodes without an edge to or from what is left are components of their own and go first; edges between colours
+    go, as they lie in no component.  Every step is a written table, and no page meets in one task.
+    """
+    edges = written(edges.select("page_id", "src", "dst").distinct(), "edges")
+    nodes = edges.select("page_id", F.col("src").alias("node")).union(edges.select("page_id", F.col("dst").alias("node"))).distinct()
+    nodes = written(nodes, "nodes")
+    done = None
+    while not nodes.isEmpty():
+        ends = lambda end: edges.filter("src <> dst").select("page_id", F.col(end).alias("node")).distinct()
+        both = written(nodes.join(ends("src"), _NODE, "left_semi").join(ends("dst"), _NODE, "left_semi"), "between")
+        alone = nodes.join(both, _NODE, "left_anti").select("page_id", "node", F.col("node").alias("color"))
+        kept = lambda rows, of, end: rows.join(of.select("page_id", F.col("node").alias(end)), ["page_id", end], "left_semi")
+        edges = written(kept(kept(edges, both, "src"), both, "dst"), "edges")
+        colors = _spread(both.select("page_id", "node", F.col("node").alias("color")), edges)
+        found = written(alone.unionByName(_reaching(colors, edges)), "components")
+        done = found if done is None else done.unionByName(found)
+        left = written(colors.join(found.select(*_NODE), _NODE, "left_anti"), "left")
+        nodes = left.select(*_NODE)
+        edges = kept(edges, nodes, "src").join(left.withColumnRenamed("node", "src"), ["page_id", "src"])
+        edges = edges.join(left.select("page_id", F.col("node").alias("dst"), F.col("color").alias("_d")), ["page_id", "dst"])
+        edges = written(edges.filter("color = _d").select("page_id", "src", "dst"), "edges")
+    if done is None:
+        return edges.select("page_id", F.col("src").alias("node"), F.col("dst").alias("component"))
+    return done.select("page_id", "node", F.col("color").alias("component"))
+
+
+def strong_components(edges: DataFrame, most: int = FOLD_EDGES) -> DataFrame:
+    """Strong component of each node of each page's directed graph, named by its smallest node.
+
+    Pages of up to ``most`` edges are searched in one task each, larger ones in tables.
+    """
+    edges = edges.select("page_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    large = written(edges.groupBy("page_id").count().filter(F.col("count") > most).select("page_id"), "large-pages")
+    whole = ordered.fold_groups(edges.join(large, PAGE, "left_anti"), PAGE, [F.col("src"), F.col("dst")], _components_fold, COMPONENTS)
+    if large.isEmpty():
+        return whole
+    return whole.unionByName(_components_in_tables(edges.join(large, PAGE, "left_semi")))
 
 
 def strong_connectivity(edges: DataFrame) -> DataFrame:

@@ -37,3 +37,15 @@ def landing(path: str):
             yield pdf[["name"]]
 
     return write
+
+
+def one_archive(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All ``(title, name, text)`` rows of a group as one archive, deflated, its members in order of name."""
+    buffer = io.BytesIO()
+    title = pdf["title"].iloc[0]
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, text in sorted(zip(pdf["name"], pdf["text"])):
+            archive.writestr(name, text)
+        archive.writestr("index.json", '{"title": "' + title + '"}')
+        archive.writestr("notes.txt", "not a bank")
+    return pd.DataFrame({"name": [title], "content": [buffer.getvalue()]})

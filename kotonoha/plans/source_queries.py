@@ -93,6 +93,18 @@ def bank_documents(spark, d):
     return docs.select("title", "kind", "bank_ord", "name", F.length("text").alias("n_chars"))
 
 
+@query("s01_large_archives", sql("""select 'dict-' || lang title, 'term' kind, row_number() over (partition by lang order by doc_id) - 1 bank_ord,
+ 'term_bank_' || doc_id || '.json' "name", n + n - 1 + 2 + length_rows n_chars from (
+ select lang, doc_id, count(*) n, sum(length(r)) - count(*) length_rows from (select doc_id, ROWEXPR r from doc_words) join documents using (doc_id) group by all)""".replace("ROWEXPR", _ROW["term"]), "doc_words"))
+def large_archives(spark, d):
+    # one archive a language, with all its documents as banks
+    path = scratch_dir(spark, "archives")
+    whole = _documents(spark, d, "term").select("title", "name", "text").groupBy("title").applyInPandas(archives.one_archive, "name string, content binary")
+    whole.mapInPandas(archives.landing(path), "name string").write.format("noop").mode("overwrite").save()
+    docs = banks.read_bank_documents(spark, path, range_bytes=1 << 16)
+    return docs.select("title", "kind", "bank_ord", "name", F.length("text").alias("n_chars"))
+
+
 @query("s06_publish_dictionary", sql("""select 'second' title, 0 priority, true built_in, 2 id, count(*) n_entries from bank_rows where length(w) % 4 < 3
  union all select 'first', 1, false, 3, count(*) from bank_rows where length(w) % 6 in (2, 3, 4)""", "bank_rows"))
 def publish_dictionary(spark, d):

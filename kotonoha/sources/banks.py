@@ -8,13 +8,16 @@ from __future__ import annotations
 import io
 import json
 import os
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kotonoha.functions.tables import written
 from kotonoha.operators import ordered
 
 DOCUMENTS = "archive string, title string, kind string, bank_ord long, name string, text string"
@@ -34,20 +37,79 @@ def bank_number(name: Column) -> Column:
     return F.coalesce(F.regexp_extract(name, "(?:^|_)([0-9]+)\\.json$", 1).try_cast("bigint"), F.lit(0))
 
 
+#: Compressed bytes of an archive that a task reads, about.
+RANGE_BYTES = 8 << 20
+_MEMBERS = "archive string, title string, position long, name string, offset long, packed long, size long, method int, crc long"
+
+
+def _random_access(path: str):
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
+def _directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The members of archives by their central directories, which stand at the ends of the files."""
+    for pdf in batches:
+        for path in pdf["path"]:
+            with _random_access(path) as source, zipfile.ZipFile(source) as archive:
+                title = os.path.splitext(os.path.basename(path))[0]
+                index = next((m for m in archive.infolist() if m.filename == "index.json"), None)
+                title = (_declared_title(archive.read(index)) if index else None) or title
+                rows = [
+                    (path, title, position, m.filename, m.header_offset, m.compress_size, m.file_size, m.compress_type, m.CRC)
+                    for position, m in enumerate(archive.infolist())
+                ]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _MEMBERS.split(", ")])
+
+
+def member_text(source, offset: int, packed: int, method: int, crc: int) -> str:
+    """A member of an open archive, read from where its own header begins."""
+    source.seek(offset)
+    head = source.read(30)
+    if head[:4] != b"PK\x03\x04":
+        raise zipfile.BadZipFile(f"no member at {offset}")
+    names, extra = struct.unpack_from("<HH", head, 26)
+    source.seek(offset + 30 + names + extra)
+    content = source.read(packed)
+    if method == zipfile.ZIP_DEFLATED:
+        content = zlib.decompress(content, -15)
+    elif method != zipfile.ZIP_STORED:
+        raise NotImplementedError(f"compression {method}")
+    if zlib.crc32(content) != crc:
+        raise zipfile.BadZipFile(f"checksum of the member at {offset}")
+    return content.decode("utf-8")
+
+
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    source, current = None, None
+    try:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if row.archive != current:
+                    if source is not None:
+                        source.close()
+                    source, current = _random_access(row.archive), row.archive
+                text = member_text(source, row.offset, row.packed, row.method, row.crc)
+                yield pd.DataFrame({"archive": [row.archive], "position": [row.position], "name": [row.name], "text": [text], "title": [row.title]})
+    finally:
+        if source is not None:
+            source.close()
+
+
 def _open_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole archives, for stores that only Spark can open."""
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            rows = []
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 title = os.path.splitext(os.path.basename(path))[0]
-                for position, name in enumerate(archive.namelist()):
-                    if name == "index.json":
-                        title = _declared_title(archive.read(name)) or title
-                    elif name.endswith(".json"):
-                        rows.append((path, position, name, archive.read(name).decode("utf-8")))
-            out = pd.DataFrame(rows, columns=["archive", "position", "name", "text"])
-            out["title"] = title
-            yield out
+                if "index.json" in archive.namelist():
+                    title = _declared_title(archive.read("index.json")) or title
+                for position, member in enumerate(archive.infolist()):
+                    if member.filename.endswith(".json") and member.filename != "index.json":
+                        text = archive.read(member).decode("utf-8")
+                        yield pd.DataFrame({"archive": [path], "position": [position], "name": [member.filename], "text": [text], "title": [title]})
 
 
 def _declared_title(content: bytes) -> str | None:
@@ -59,18 +121,49 @@ def _declared_title(content: bytes) -> str | None:
     return title if isinstance(title, str) else None
 
 
-def read_bank_documents(spark: SparkSession, path: str) -> DataFrame:
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """The members of every archive under ``path``, by their central directories; nothing else is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    return files.mapInPandas(_directories, _MEMBERS)
+
+
+def _split_by_range(members: DataFrame, range_bytes: int) -> DataFrame:
+    """Members dealt to tasks by ranges of their archives' bytes, in order of place."""
+    dealt = members.withColumn("range", F.floor(F.col("offset") / F.lit(range_bytes)))
+    # small archives share a task, a large one has as many as it has ranges
+    total = dealt.agg(F.sum("packed")).first()[0] or 0
+    return dealt.repartition(max(1, -(-total // range_bytes)), "archive", "range").sortWithinPartitions("archive", "offset")
+
+
+def read_bank_documents(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The bank documents of every archive under ``path``.
 
-    One archive is opened by one task, member by member; entry banks are
-    numbered across kinds, archive order breaking ties, tag banks after them.
+    Directories are read first; then the members of an archive are read by as many tasks as it has ranges of bytes, one
+    member at a time.  Entry banks are numbered across kinds, archive order breaking ties, tag banks after them.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    members = files.mapInPandas(_open_archives, "archive string, position long, name string, text string, title string")
+    schema = "archive string, position long, name string, text string, title string"
+    if _opened_by_workers(path):
+        listed = written(archive_members(spark, path), "archive-members")
+        wanted = listed.filter(bank_kind(F.col("name")).isNotNull())
+        members = _split_by_range(wanted, range_bytes).mapInPandas(_members, schema)
+    else:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+        members = files.mapInPandas(_open_archives, schema)
     d = members.withColumn("kind", bank_kind(F.col("name"))).filter("kind is not null")
     return number_banks(d.withColumn("number", bank_number(F.col("name"))))
 
 
+def _opened_by_workers(path: str) -> bool:
+    """Whether a store can be opened at any byte by Python workers; others are read whole through Spark."""
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
+    except Exception:  # an unknown scheme, or one without its client library
+        return False
+    return True
+
+
 def number_banks(documents: DataFrame) -> DataFrame:
     """Order the banks of each archive: entry banks before tag banks, by
     number, then by place in the archive."""
