@@ -370,8 +370,9 @@ def region_links(members: DataFrame, texts: DataFrame, most: int = REGION_SETS)
     links, round_ = [], 0
     members = members.withColumn("last", F.lit(False))
     while True:
-        heavy = members.join(weights, "node")
-        sizes = heavy.groupBy("region").agg(F.count("*").alias("rows"), F.sum("weight").alias("n"))
+        heavy = written(members.join(weights, "node"), "weighed")
+        # written, so that the rows of a large region can be split between tasks
+        sizes = written(heavy.groupBy("region").agg(F.count("*").alias("rows"), F.sum("weight").alias("n")), "sizes")
         sized = written(heavy.drop("weight").join(sizes, "region"), "members")
         fits = (F.col("rows") > 1) & (F.col("last") | (F.col("n") <= most) | (F.col("rows") == 2))
         fit = sized.filter(fits)
