@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kotonoha.operators import evidence, geometry, ordered
@@ -73,6 +74,87 @@ def test_stitching(spark):
     assert [r.col for r in out.filter("line_id = 1").orderBy("char_idx").collect()][:6] == [0, 1, 2, 3, 4, 5]
 
 
+def plain_agreement(a, b):
+    """How far two ranked lists agree: on the first, across the first three, or not."""
+    if not a or not b:
+        return 0.0
+    if a[0][0] == b[0][0]:
+        five = [c for c, _ in a[:5]]
+        return 0.6 + sum(c in [x for x, _ in b[:5]] for c in five) / 5 * 0.4
+    return 0.5 if a[0][0] in [c for c, _ in b[:3]] or b[0][0] in [c for c, _ in a[:3]] else 0.0
+
+
+def plain_merge(a, b):
+    scores = dict(a)
+    for ch, score in b:
+        old = scores.get(ch)
+        scores[ch] = (old + score) * 0.8 if old is not None and old > 0 else score * 0.6
+    order = list(scores)
+    return sorted(scores.items(), key=lambda x: (-x[1], order.index(x[0])))[:15]
+
+
+def plain_stitch(chunks):
+    """One list that grows chunk by chunk; items are ``(ch, col, centre, alternatives)``."""
+    out = [tuple(i) for i in chunks[0][2]]
+    for offset, step, items in chunks[1:]:
+        best = None
+        for p in range(max(0, len(out) - 10), len(out)):
+            for c, item in enumerate(items[:10]):
+                dist, agree = abs(out[p][2] - item[2]), plain_agreement(out[p][3], item[3])
+                if dist <= 30 and agree >= 0.4:
+                    found = ((1 - dist / 30) * 0.3 + agree * 0.7, p, -c)
+                    best = found if best is None or found > best else best
+
+        def put(item, col, centre, out=out):
+            if not (out and out[-1][0] == item[0] == " "):
+                out.append((item[0], item[1] + col, item[2] + centre, item[3]))
+
+        if best:
+            _, p, c = best
+            met, kept = items[-c], out[p]
+            del out[p + 1 :]
+            out[p] = (*kept[:3], plain_merge(kept[3], met[3]))
+            for item in items[1 - c :]:
+                put(item, kept[1] - met[1], kept[2] - met[2])
+            continue
+        end, before, last = (out[-1][2] if out else -100.0), len(out), out[-1] if out else None
+        for item in items:
+            if item[2] > end + 10 or (last and len(items) == 1):
+                put(item, offset / step, 0.0)
+        if len(out) == before and last and not any(i[2] > end + 10 for i in items) and items:
+            for item in items:
+                put(item, last[1] + 1 - items[0][1], last[2] + step - items[0][2])
+    return [x for i, x in enumerate(out) if not (i and x[0] == out[i - 1][0] == " ")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stitching_is_that_of_a_plain_loop(spark, seed):
+    rng = random.Random(seed)
+    lines = {}
+    for line in range(60):
+        text = [rng.choice("あいうえおかき ") for _ in range(rng.randrange(1, 80))]
+        chunks, at = [], 0
+        while at < len(text):
+            n = rng.choice([0, 1, 2, 5, 12, 20])
+            items = []
+            for k, ch in enumerate(text[at : at + n]):
+                ch = rng.choice("xyz") if rng.random() < 0.1 else ch
+                others = rng.sample("abcdefg", rng.randrange(0, 6))
+                alts = [] if rng.random() < 0.03 else [(ch, 9.0 + rng.random())] + [(o, 5.0 - i + rng.random() * 0.5) for i, o in enumerate(others)]
+                items.append((ch, float(k), 10.0 * (at + k) + rng.uniform(-4, 4) + rng.choice([0, 0, 0, 25]), alts))
+            chunks.append((10.0 * at, 10.0, items))
+            at += max(1, n - rng.choice([0, 0, 1, 3, 8]))
+        lines[line] = chunks
+    schema = "line_id long, chunk long, offset_px double, step_px double, items array<struct<ch:string,col:double,centre:double,alts:array<struct<ch:string,score:double>>>>"
+    df = spark.createDataFrame([(i, k, *c) for i, chunks in lines.items() for k, c in enumerate(chunks)], schema)
+    got = {}
+    for r in evidence.stitch_lines(df).orderBy("line_id", "char_idx").collect():
+        got.setdefault(r.line_id, []).append((r.ch, round(r.col, 6), round(r.centre, 6), [(a.ch, round(a.score, 6)) for a in r.alts]))
+    for i, chunks in lines.items():
+        want = [(c, round(col, 6), round(at, 6), [(a, round(s, 6)) for a, s in alts]) for c, col, at, alts in plain_stitch(chunks)]
+        assert got.get(i, []) == want, i
+
+
 def box(page, i, x, y, w, h):
     return (page, i, x, y, w, h, 1.0, False)
 
