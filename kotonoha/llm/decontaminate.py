@@ -127,6 +127,7 @@ class Items:
         self.symbols = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64)
         starts = np.cumsum(sizes) - sizes
         self.names, self.sizes, self.starts = names, sizes, starts
+        self._known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.present = np.zeros(1 << 24, bool)
         self.present[self.symbols >> np.uint64(40)] = True
         # near equal pieces; one of them has at most its share of an item's edits
@@ -172,9 +173,15 @@ class Items:
                     regions.setdefault((t, k), []).append((max(int(at[t]), w - o - pad), min(int(at[t + 1]), w - o + n + pad)))
         return [hit for (t, k), found in regions.items() if (hit := self._verify(t, k, found, h, at))]
 
+    def _kinds(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The different words of an item in order, and how often it has each."""
+        if k not in self._known:
+            self._known[k] = np.unique(self.symbols[self.starts[k] : self.starts[k] + self.sizes[k]], return_counts=True)
+        return self._known[k]
+
     def _verify(self, t: int, k: int, found: list, h: np.ndarray, at: np.ndarray):
         item = self.symbols[self.starts[k] : self.starts[k] + self.sizes[k]]
-        most, best = allowed(len(item), self.share), None
+        most, best, (kinds, times) = allowed(len(item), self.share), None, self._kinds(k)
         merged: list[list[int]] = []
         for a, b in sorted(found):
             if merged and a <= merged[-1][1]:
@@ -182,7 +189,13 @@ class Items:
             else:
                 merged.append([a, b])
         for a, b in merged:
-            if int(np.isin(item, h[a:b]).sum()) < len(item) - most:
+            # words of the item that the region has at all, repeats included
+            near = h[a:b]
+            spot = np.searchsorted(kinds, near)
+            spot[spot == len(kinds)] = 0
+            seen = np.zeros(len(kinds), bool)
+            seen[spot[kinds[spot] == near]] = True
+            if int(times[seen].sum()) < len(item) - most:
                 continue
             edits, first, end = align(item, h[a:b])
             if edits <= most and end > first and (best is None or edits < best[2]):
