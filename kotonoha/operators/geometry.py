@@ -434,14 +434,76 @@ def directional_neighbours(boxes: DataFrame, phase: int, k: int = fx.NAV_K) -> D
     raise AssertionError("unreachable")
 
 
-def candidate_counts(boxes: DataFrame, phase: int) -> DataFrame:
+#: Boxes of a strip: what a box is compared with one by one.
+STRIP_BOXES = 512
+# in these frames the cone of a direction is what lies further on both axes
+_FRAMES = {"S": (1, 1), "N": (-1, -1), "E": (1, -1), "W": (-1, 1)}
+_PER_DIR = ["page_id", "dir"]
+
+
+def _strips(points: DataFrame, axis: str, size: int) -> DataFrame:
+    """Each point's strip along ``axis``: about ``size`` points, equal values in one strip."""
+    counts = points.groupBy(*_PER_DIR, axis).agg(F.count(F.lit(1)).alias("_m"))
+    before = ordered.prefix_sums(counts, _PER_DIR, axis, {"_before": F.col("_m")})
+    strip = before.select(*_PER_DIR, axis, F.floor(F.col("_before") / F.lit(size)).cast("int").alias("_raw"))
+    # without holes, so that a strip's neighbours are those next to it
+    kept = strip.groupBy(*_PER_DIR, "_raw").agg(F.lit(1).alias("_one"))
+    dense = ordered.prefix_sums(kept, _PER_DIR, "_raw", {f"s{axis}": F.col("_one")}).select(*_PER_DIR, "_raw", F.col(f"s{axis}").cast("int").alias(f"s{axis}"))
+    return points.join(strip.join(dense, [*_PER_DIR, "_raw"]).drop("_raw"), [*_PER_DIR, axis])
+
+
+def _further(points: DataFrame) -> DataFrame:
+    """Per cell ``(su, sw)`` the points at least two strips further on both axes: they are surely in the cone."""
+    cells = points.groupBy(*_PER_DIR, "su", "sw").agg(F.count(F.lit(1)).cast("long").alias("_m"))
+    top = cells.groupBy(*_PER_DIR).agg(F.max("su").alias("_u"), F.max("sw").alias("_w")).filter("_u >= 2 and _w >= 2")
+    grid = top.withColumn("su", F.explode(F.sequence(F.lit(0), F.col("_u")))).withColumn("sw", F.explode(F.sequence(F.lit(0), F.col("_w"))))
+    grid = grid.drop("_u", "_w").join(cells, [*_PER_DIR, "su", "sw"], "left").na.fill({"_m": 0})
+    onward = lambda keys, by: Window.partitionBy(*_PER_DIR, keys).orderBy(by).rowsBetween(2, Window.unboundedFollowing)
+    row = grid.withColumn("_r", F.coalesce(F.sum("_m").over(onward("su", "sw")), F.lit(0)))
+    return row.withColumn("sure", F.coalesce(F.sum("_r").over(onward("sw", "su")), F.lit(0))).select(*_PER_DIR, "su", "sw", "sure")
+
+
+def _far_counts(points: DataFrame, size: int) -> DataFrame:
+    """Dominance counting: with ``u = x + y`` and ``w = y - x`` a cone is a quadrant.
+
+    Whole cells of strips that lie two strips further on both axes are added up; boxes of the strips around a box are compared with it.
+    """
+    frames = F.explode(F.array(*[F.struct(F.lit(d).alias("dir"), F.lit(a).alias("a"), F.lit(b).alias("b")) for d, (a, b) in _FRAMES.items()]))
+    units = lambda v: F.floor(v * F.lit(1e6)).cast("long")
+    d = points.select("page_id", "box_idx", "px", "py", frames.alias("f")).select(
+        "page_id", "box_idx", "px", "py", "f.dir",
+        units((F.col("px") + F.col("py")) * F.col("f.a")).alias("u"), units((F.col("py") - F.col("px")) * F.col("f.b")).alias("w"),
+    )
+    d = written(_strips(_strips(written(d, "frames"), "u", size), "w", size).drop("u", "w"), "strips")
+    source = d.select(*_PER_DIR, F.col("box_idx").alias("src"), "px", "py", "su", "sw")
+    target = d.select(*_PER_DIR, F.col("box_idx").alias("dst"), F.col("px").alias("jx"), F.col("py").alias("jy"), F.col("su").alias("tu"), F.col("sw").alias("tw"))
+    target = target.withColumns({"tx": F.col("jx"), "ty": F.col("jy")})
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    beside = source.withColumn("tu", around("su")).join(target, [*_PER_DIR, "tu"]).filter("tw >= sw - 1")
+    ahead = source.withColumn("tw", around("sw")).join(target, [*_PER_DIR, "tw"]).filter("tu >= su + 2")
+    near = [_facing(p, FAR).groupBy(*_SOURCE).agg(F.count(F.lit(1)).alias("n")) for p in (beside, ahead)]
+    sure = source.join(_further(d), [*_PER_DIR, "su", "sw"]).select(*_SOURCE, F.col("sure").alias("n"))
+    return near[0].unionByName(near[1]).unionByName(sure).groupBy(*_SOURCE).agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def candidate_counts(boxes: DataFrame, phase: int, size: int = STRIP_BOXES) -> DataFrame:
     """How many targets each box has per direction.
 
-    Pairs are counted where they are met and never shuffled or kept.
+    Pairs are counted where they are met and never shuffled or kept: in the far phase those of strips of about ``size`` boxes, in the
+    local phase those of cells of its radius, in the wrapped phase those of a page.
     """
     points = box_positions(boxes)
+    if phase == FAR:
+        return _far_counts(points, size)
     src = points.select("page_id", F.col("box_idx").alias("src"), "px", "py")
-    pairs = src.join(_targets(points.select("page_id", "box_idx", "px", "py"), phase), "page_id")
+    targets = _targets(points.select("page_id", "box_idx", "px", "py"), phase)
+    if phase == LOCAL:
+        cell = lambda c: F.floor(F.col(c) / F.lit(fx.NAV_RADIUS)).cast("int")
+        near = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+        src = src.withColumn("_cx", near("px")).withColumn("_cy", near("py"))
+        pairs = src.join(targets.withColumns({"_cx": cell("tx"), "_cy": cell("ty")}), ["page_id", "_cx", "_cy"])
+    else:
+        pairs = src.join(targets, "page_id")
     return _facing(pairs, phase).groupBy(*_SOURCE).agg(F.count(F.lit(1)).alias("n"))
 
 

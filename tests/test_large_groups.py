@@ -116,3 +116,26 @@ def test_neighbours_are_those_of_all_pairs(spark):
                     want.add((a, b, round(both / mass, 6), pa <= pb))
         got = {(r["src"], r["dst"], round(r["fraction"], 6), r["shares_all"]) for r in similarity.neighbours(components, idf, least).collect()}
         assert got == want
+
+
+@pytest.mark.parametrize("size", [3, 10, 512])
+def test_candidate_counts_of_large_pages(spark, size):
+    rng = random.Random(8)
+    rows = [(1, i, rng.randrange(300), rng.randrange(300), 4, 4) for i in range(120)] + [(2, i, 10 * (i % 9), 10 * (i // 9), 6, 6) for i in range(81)]
+    rows += [(3, i, 50, 50, 4, 4) for i in range(12)] + [(4, i, 5 * i, 5 * i, 4, 4) for i in range(40)] + [(5, 0, 1, 1, 2, 2)]
+    boxes = spark.createDataFrame(rows, "page_id long, box_idx long, x int, y int, w int, h int")
+    points = {}
+    for r in geometry.box_positions(boxes).collect():
+        points.setdefault(r["page_id"], []).append((r["box_idx"], r["px"], r["py"]))
+    want = {}
+    for page, ps in points.items():
+        for a, ax, ay in ps:
+            for b, bx, by in ps:
+                for d, ahead, aside in (("N", ay - by, abs(ax - bx)), ("S", by - ay, abs(ax - bx)), ("E", bx - ax, abs(ay - by)), ("W", ax - bx, abs(ay - by))):
+                    if a != b and ahead > 0 and aside <= ahead:
+                        for phase in (geometry.FAR, geometry.LOCAL):
+                            if phase == geometry.FAR or ((ax - bx) ** 2 + (ay - by) ** 2) ** 0.5 <= 0.05:
+                                want[phase, page, a, d] = want.get((phase, page, a, d), 0) + 1
+    for phase in (geometry.FAR, geometry.LOCAL):
+        got = {(phase, r["page_id"], r["src"], r["dir"]): r["n"] for r in geometry.candidate_counts(boxes, phase, size).collect()}
+        assert got == {k: n for k, n in want.items() if k[0] == phase}
