@@ -91,14 +91,16 @@ def matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, v)`` of the rows that take part: an id, no null or non-finite component, not all zero, and the most frequent
-    length (of equally frequent ones the largest)."""
+def usable(vectors: DataFrame, length: int | None = None) -> DataFrame:
+    """``(vec_id, v)`` of the rows that take part: an id, no null or non-finite component, not all zero, and of ``length``,
+    by default the most frequent one (of equally frequent ones the largest)."""
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull()
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     )
+    if length is not None:
+        return whole.filter(F.size("v") == length)
     lengths = whole.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     return whole.filter(F.size("v") == (lengths[0]["n"] if lengths else 0))
 
@@ -248,6 +250,7 @@ def search(queries: DataFrame, index: Index, k: int = 20, certainty: float = 0.9
 
     - Ties go to the smaller ``vec_id``.  Fewer candidates than ``k`` give fewer rows, an empty index none.
     - Vectors that are null, all zero, or hold null or non-finite components take no part, nor do rows without an id.
+    - Queries of another length than the index's vectors take no part, however many they are.
     - Repeated rows are searched once; an id with several vectors has a list for each of them.
     - Columns other than ``vec_id`` and ``embedding`` are not read.
     """
@@ -267,7 +270,7 @@ def search(queries: DataFrame, index: Index, k: int = 20, certainty: float = 0.9
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "rank", "vec_id", "score"])
 
-    asked = usable(queries).filter(F.size("v") == d).distinct()
+    asked = usable(queries, d).distinct()
     asked = written(asked, "queries")
     parts = max(1, math.ceil(asked.count() / chunk))
     return asked.repartition(parts, "vec_id").mapInArrow(run, kinds)

@@ -100,14 +100,16 @@ class QualityModel:
 def labelled_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """``(text, label)`` of at most ``most`` labelled documents: those whose id's hash is smallest.
 
-    A document labelled twice has its lower label.  Ids are chosen from ``labels`` alone; only their texts leave the scan.
+    A document labelled twice has its lower label; of rows that repeat an id the text of smallest hash is taken, so the bound
+    is one of rows.  Ids are chosen from ``labels`` alone; only their texts leave the scan.
     """
     place = F.xxhash64("doc_id")
     valid = labels.filter("doc_id is not null and quality in (0, 1)")
     near = valid.filter(below(place, most, max(1, valid.count())))
     chosen = near.groupBy("doc_id").agg(F.min("quality").alias("label")).withColumn("place", place).orderBy("place", "doc_id").limit(most)
     # at most ``most`` rows of three numbers
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("place", "doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("place", "doc_id", "text", "label")
 
 
 def train(

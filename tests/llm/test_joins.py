@@ -279,3 +279,11 @@ def test_recall_of_the_query(spark):
     by = dict(rows)
     hits = sum(len(found & {i for i, _ in nearest(rows, (q, by[q]), 20)}) for q, found in got.items())
     assert len(got) == 25 and hits >= 0.9 * 20 * 25
+
+
+def test_queries_of_another_length_do_not_decide(spark):
+    rows = [(i, [float(i % 7), 1.0 + i, 2.0]) for i in range(1, 40)] + [(100 + i, [1.0, 2.0]) for i in range(30)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.filter("vec_id in (3, 5) or vec_id >= 100")
+    got = neighbours.search(asked, neighbours.build(vectors, 5), 5).collect()
+    assert {r["query_id"] for r in got} == {3, 5} and all(r["vec_id"] < 100 for r in got)

@@ -142,3 +142,12 @@ def test_words_never_seen(spark):
     nothing = language_model.train(docs.limit(0))
     assert {r["score"] for r in language_model.score(docs, nothing).collect()} == {0.0}
     assert {r["train_tokens"] for r in language_model.score(docs, nothing).collect()} == {0}
+
+
+def test_rows_of_one_labelled_id_are_one(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: (r["text"], r["label"]) for r in quality.labelled_rows(docs, labels, 100).collect()}
+    assert set(got) == {1, 2} and got[2] == ("", 1) and got[1][1] == 0 and got[1][0].startswith("text ")
+    again = quality.labelled_rows(docs.repartition(7), labels, 100).collect()
+    assert {r["doc_id"]: r["text"] for r in again} == {i: t for i, (t, _) in got.items()}
