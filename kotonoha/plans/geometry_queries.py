@@ -146,6 +146,11 @@ def candidate_counts(spark, d):
     return geometry.candidate_counts(_boxes(spark, d), geometry.FAR)
 
 
+@query("g07_local_counts", sql("select page_id, src, dir, count(*) n from nav_pairs where ahead > 0 and aside <= ahead and euclid <= 0.05 group by all", "nav_pairs"))
+def local_counts(spark, d):
+    return geometry.candidate_counts(_boxes(spark, d), geometry.LOCAL)
+
+
 # a sparse graph: each box points to its item number's successor and double
 cte("edges", """select distinct page_id, src, dst from (select b.page_id, b.box_idx src, (b.box_idx * k + 1) % n dst from (select *, unnest([1, 2]) k from boxes) b
  join (select page_id, count(*) n from boxes group by page_id) c using (page_id) where (b.x + b.box_idx) % 5 > 0)""", "boxes")
