@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Nothing here names a machine: sizes are per partition, so they hold at any
-# cluster width.  Shuffle parallelism is left to AQE, which starts high and
-# coalesces by bytes.
+# cluster width.  AQE coalesces shuffles by bytes, from as many partitions as
+# ``spark.sql.shuffle.partitions`` (or ``spark.sql.adaptive.coalescePartitions.initialPartitionNum``)
+# gives: set that to some partitions per 128 MB of the largest shuffle.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
