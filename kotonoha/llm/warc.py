@@ -218,8 +218,8 @@ def chosen(pages: DataFrame, key: str, payload: str, least: int = REVISIT_BYTES)
     if same.isEmpty():
         return rows.withColumns({"refers_to": F.lit(None).cast(pages.schema[key].dataType), "revisit": F.lit(False)}).drop("long")
     found = rows.join(same.withColumn("shared", F.lit(True)), "digest", "left")
-    candidate = F.col("shared") & F.col(key).eqNullSafe(F.col("first_key"))
-    found = found.withColumns({"candidate": F.coalesce(candidate & F.col("long"), F.lit(False)), "revisit": F.coalesce(~candidate & F.col("long"), F.lit(False))})
+    shared, smallest = F.coalesce("shared", F.lit(False)) & F.col("long"), F.col(key).eqNullSafe(F.col("first_key"))
+    found = found.withColumns({"candidate": shared & smallest, "revisit": shared & ~smallest})
     tied = written(found.filter("candidate").groupBy("digest").count().filter("count > 1").select("digest"), "warc-tied")
     if not tied.isEmpty():
         # one row of each tie: the rows are written, so that they have numbers that stay

@@ -69,21 +69,24 @@ def test_keys_may_be_any_text(spark, tmp_path):
 
 
 def test_each_record_is_a_member_that_any_reader_finds(spark, tmp_path):
-    listed = warc.write(pages(spark, odd_pages()[:6]).coalesce(1), f"file://{tmp_path}/w").collect()
-    with open(listed[0]["path"].removeprefix("file://"), "rb") as f:
-        data = f.read()
-    whole = gzip.decompress(data)
-    assert whole.count(b"WARC/1.1\r\n") == 7 and whole.endswith(b"\r\n\r\n")
-    members, rest = 0, data
+    listed = warc.write(pages(spark, odd_pages()[:6]), f"file://{tmp_path}/w").collect()
     import zlib
 
-    while rest:
-        one = zlib.decompressobj(31)
-        text = one.decompress(rest)
-        rest, members = one.unused_data, members + 1
-        head, _, block = text.partition(b"\r\n\r\n")
-        assert int(re.search(rb"Content-Length: (\d+)", head)[1]) == len(block) - 4
-    assert members == 7
+    members = 0
+    for r in listed:
+        with open(r["path"].removeprefix("file://"), "rb") as f:
+            data = f.read()
+        whole, rest, own = gzip.decompress(data), data, 0
+        assert whole.endswith(b"\r\n\r\n") and r["bytes"] == len(data)
+        while rest:
+            one = zlib.decompressobj(31)
+            text = one.decompress(rest)
+            rest, own = one.unused_data, own + 1
+            head, _, block = text.partition(b"\r\n\r\n")
+            assert text.startswith(b"WARC/1.1\r\n") and int(re.search(rb"Content-Length: (\d+)", head)[1]) == len(block) - 4
+        assert own == r["records"] + 1 == whole.count(b"WARC/1.1\r\n")
+        members += r["records"]
+    assert members == 6
 
 
 def read_all(data, piece=7):
