@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions import fixed as fx
 from kotonoha.functions import text as tx
-from kotonoha.functions.tables import written
+from kotonoha.functions.tables import dealt, written
 from kotonoha.operators import ordered
 
 LINE = ["line_id"]
@@ -466,12 +466,12 @@ def size_pair_policy(
     altogether.  ``action`` is ``flip`` or ``declined``.
     """
     asked = candidates.select(*keys, "idx", "ch", "is_small")
-    d = asked.join(scores.select(*keys, "idx", "logit"), [*keys, "idx"], "left")
+    d = asked.join(dealt(scores.select(*keys, "idx", "logit")), [*keys, "idx"], "left")
     n_asked = d.groupBy(*batch).agg(F.count(F.lit(1)).alias("_n"), F.count("logit").alias("_have"))
     n_given = scores.groupBy(*batch).agg(F.count(F.lit(1)).alias("_given"))
-    whole = n_asked.join(n_given, batch).filter("_n = _have and _n = _given").select(*batch)
+    whole = n_asked.join(dealt(n_given), batch).filter("_n = _have and _n = _given").select(*batch)
     p = 1.0 / (1.0 + F.exp(-F.col("logit")))
-    d = d.join(whole, batch, "left_semi").withColumn("p", p)
+    d = d.join(dealt(whole), batch, "left_semi").withColumn("p", p)
     small = F.col("is_small")
     flips = F.when(small, F.col("p") > 1.0 - epsilon).otherwise(F.col("p") < epsilon)
     other = F.when(small, F.translate("ch", fx.SIZE_SMALL, fx.SIZE_BIG)).otherwise(F.translate("ch", fx.SIZE_BIG, fx.SIZE_SMALL))
