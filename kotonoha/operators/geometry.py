@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kotonoha.functions import fixed as fx
-from kotonoha.functions.tables import written
+from kotonoha.functions.tables import dealt, written
 from kotonoha.operators import ordered
 
 PAGE = ["page_id"]
@@ -324,21 +324,44 @@ _ALONG = {"N": ("y", -1), "S": ("y", 1), "E": ("x", 1), "W": ("x", -1)}
 LOCAL, FAR, WRAP = 1, 2, 3
 
 
-def box_positions(boxes: DataFrame) -> DataFrame:
-    """Centres in units of the page extent."""
-    extent = boxes.groupBy("page_id").agg(
-        F.greatest(F.max(F.col("x") + F.col("w")), F.lit(1)).alias("_mx"),
-        F.greatest(F.max(F.col("y") + F.col("h")), F.lit(1)).alias("_my"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    return boxes.join(extent, "page_id").select(
+def box_positions(boxes: DataFrame, whole: bool = False) -> DataFrame:
+    """Centres in units of the page extent.  With ``whole`` a page's boxes come into one task, and what follows by page
+    needs no shuffle of its own."""
+    extent = {
+        "_mx": F.max(F.col("x") + F.col("w")),
+        "_my": F.max(F.col("y") + F.col("h")),
+        "_n": F.count(F.lit(1)),
+    }
+    if whole:
+        page = Window.partitionBy("page_id")
+        sized = boxes.select("page_id", "box_idx", "x", "y", "w", "h", *[c.over(page).alias(n) for n, c in extent.items()])
+    else:
+        sized = boxes.join(boxes.groupBy("page_id").agg(*[c.alias(n) for n, c in extent.items()]), "page_id")
+    return sized.select(
         "page_id", "box_idx",
-        ((F.col("x") + F.col("w") / 2.0) / F.col("_mx")).alias("px"),
-        ((F.col("y") + F.col("h") / 2.0) / F.col("_my")).alias("py"),
+        ((F.col("x") + F.col("w") / 2.0) / F.greatest("_mx", F.lit(1))).alias("px"),
+        ((F.col("y") + F.col("h") / 2.0) / F.greatest("_my", F.lit(1))).alias("py"),
         "_n",
     )
 
 
+def _split_pages(boxes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Positions of pages whose boxes can be compared one by one, and those of larger pages, if there are any."""
+    largest = ordered.largest_group(boxes, PAGE)
+    points = box_positions(boxes, whole=largest <= ordered.BLOCK)
+    if largest <= PER_CELL:
+        return points, None
+    return points.filter(F.col("_n") <= PER_CELL), points.filter(F.col("_n") > PER_CELL)
+
+
+def _pairs_of_pages(points: DataFrame, phase: int) -> DataFrame:
+    """Pairs of boxes of a page that face each other; boxes are shuffled once, by page, pairs never."""
+    src = points.select("page_id", F.col("box_idx").alias("src"), "px", "py")
+    dst = points.select("page_id", F.col("box_idx").alias("dst"), F.col("px").alias("jx"), F.col("py").alias("jy"))
+    pairs = src.join(dealt(dst), "page_id").filter("src <> dst")
+    return _facing(pairs.withColumn("dir", F.explode(F.array(*map(F.lit, DIRECTIONS)))), phase)
+
+
 def _targets(points: DataFrame, phase: int) -> DataFrame:
     """Targets per direction; in the wrapped phase they are moved by one page,
     so that every phase looks straight ahead."""
@@ -357,22 +380,22 @@ def _facing(pairs: DataFrame, phase: int) -> DataFrame:
     """Keep pairs inside the 45 degree cone and add their cost."""
     d = F.col("dir")
     ahead = (
-        F.when(d == "N", F.col("py") - F.col("ty")).when(d == "S", F.col("ty") - F.col("py"))
-        .when(d == "E", F.col("tx") - F.col("px")).otherwise(F.col("px") - F.col("tx"))
+        F.when(d == "N", F.col("py") - F.col("jy")).when(d == "S", F.col("jy") - F.col("py"))
+        .when(d == "E", F.col("jx") - F.col("px")).otherwise(F.col("px") - F.col("jx"))
     )
     upright = d.isin("N", "S")
     aside = F.when(upright, F.abs(F.col("px") - F.col("jx"))).otherwise(F.abs(F.col("py") - F.col("jy")))
     euclid = F.sqrt(F.pow(F.col("px") - F.col("jx"), 2) + F.pow(F.col("py") - F.col("jy"), 2))
+    if phase == WRAP:
+        # a target one page away lies on the other side of its source; a page is added to the difference, not to the place,
+        # which would round it
+        pairs, ahead = pairs.filter(ahead < 0), ahead + 1.0
     p = pairs.filter("src <> dst").withColumns({"ahead": ahead, "aside": aside, "euclid": euclid})
     p = p.filter((F.col("ahead") > 0) & (F.col("aside") <= F.col("ahead")))
     if phase == LOCAL:
         return p.filter(F.col("euclid") <= fx.NAV_RADIUS).withColumn("cost", F.col("ahead") + fx.NAV_WEIGHT_LOCAL * F.col("aside"))
     if phase == WRAP:
-        # a target one page away lies on the other side of its source
-        real = F.when(upright, F.col("jy") - F.col("py")).otherwise(F.col("jx") - F.col("px"))
-        p = p.filter((real != 0) & (F.col("ahead") < 1.0)).withColumn("aside", F.least("aside", 1.0 - F.col("aside")))
-    else:
-        p = p.withColumn("euclid", F.lit(0.0))
+        p = p.withColumn("aside", F.least("aside", 1.0 - F.col("aside")))
     return p.withColumn("euclid", F.lit(0.0)).withColumn("cost", F.col("ahead") + fx.NAV_WEIGHT_FAR * F.col("aside"))
 
 
@@ -382,13 +405,19 @@ _SOURCE = ["page_id", "src", "dir"]
 def directional_neighbours(boxes: DataFrame, phase: int, k: int = fx.NAV_K) -> DataFrame:
     """The k cheapest targets per box and direction.
 
-    The local phase looks through cells of its own radius.  The others search
+    Boxes of an ordinary page are compared with each other.  On larger pages the local phase looks through cells of its own radius.  The others search
     the page grid in squares around the source that double in size: a target
     outside a square costs at least its half width, so a source is finished as
-    soon as its k-th cost is below that.  An ordinary page is one cell and
-    takes one round.
+    soon as its k-th cost is below that.
     """
-    points = box_positions(boxes)
+    points, large = _split_pages(boxes)
+    w = Window.partitionBy(*_SOURCE).orderBy("cost", "euclid", "dst")
+    near = _pairs_of_pages(points, phase).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    near = near.select(*_SOURCE, "rank", "dst", "cost")
+    return near if large is None else near.unionByName(_searched_neighbours(large, phase, k))
+
+
+def _searched_neighbours(points: DataFrame, phase: int, k: int) -> DataFrame:
     if phase == LOCAL:
         points = points.withColumn("_g", F.lit(int(1 / fx.NAV_RADIUS)))
         sizes, radii = 1, [1]
@@ -489,10 +518,15 @@ def _far_counts(points: DataFrame, size: int) -> DataFrame:
 def candidate_counts(boxes: DataFrame, phase: int, size: int = STRIP_BOXES) -> DataFrame:
     """How many targets each box has per direction.
 
-    Pairs are counted where they are met and never shuffled or kept: in the far phase those of strips of about ``size`` boxes, in the
+    Pairs are counted where they are met and never shuffled or kept: those of an ordinary page, on larger ones in the far phase those of strips of about ``size`` boxes, in the
     local phase those of cells of its radius, in the wrapped phase those of a page.
     """
-    points = box_positions(boxes)
+    points, large = _split_pages(boxes)
+    small = _pairs_of_pages(points, phase).groupBy(*_SOURCE).agg(F.count(F.lit(1)).alias("n"))
+    return small if large is None else small.unionByName(_searched_counts(large, phase, size))
+
+
+def _searched_counts(points: DataFrame, phase: int, size: int) -> DataFrame:
     if phase == FAR:
         return _far_counts(points, size)
     src = points.select("page_id", F.col("box_idx").alias("src"), "px", "py")
