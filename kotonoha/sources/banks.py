@@ -186,8 +186,11 @@ def _document_rows(documents: DataFrame, kind: str) -> DataFrame:
     d = documents.filter(F.col("kind") == kind).select(
         "archive", "bank_ord", F.posexplode(F.from_json("text", "array<string>")).alias("row", "source")
     )
-    d = d.withColumn("v", F.try_parse_json("source")).filter(_kind_of(F.col("v"), "$") == "ARRAY")
-    return d.withColumn("items", F.from_json("source", "array<string>"))
+    # each step is generated, so that filters on what it makes do not work it out again
+    once = lambda df, **made: df.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+    d = once(d, v=F.try_parse_json("source"), items=F.from_json("source", "array<string>"))
+    kinds = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda p: F.schema_of_variant(p))
+    return once(d, kinds=kinds).filter("kinds is not null")
 
 
 def _kind_of(variant: Column, path: str) -> Column:
@@ -197,7 +200,7 @@ def _kind_of(variant: Column, path: str) -> Column:
 
 
 def _is(i: int, kind: str) -> Column:
-    return F.coalesce(_kind_of(F.col("v"), f"$[{i}]") == kind, F.lit(False))
+    return F.coalesce(F.get("kinds", F.lit(i)).startswith(kind), F.lit(False))
 
 
 def _item(i: int) -> Column:
