@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kotonoha.functions import fixed as fx
-from kotonoha.functions.tables import written
+from kotonoha.functions.tables import dealt, written
 
 IDEOGRAPHS = f"^[{fx.IDEOGRAPH_CLASS}]+$"
 HOT_COMPONENT = 100_000
@@ -105,22 +105,32 @@ def component_idf(components: DataFrame, population: str = IDEOGRAPHS) -> DataFr
 def items_with_all(requirements: DataFrame, components: DataFrame, population: str = IDEOGRAPHS) -> DataFrame:
     """Items carrying every requested component, by request.
 
-    A request without components has no rows and so no result.  Candidates come
-    from the request's rarest component alone; the others are then checked on
-    the candidate's own, short component list.
+    A request without components has no rows and so no result.  Items are reached by pairs of components, which a
+    decomposition has few of: a request of up to two components is answered by one equi-join that brings nothing but
+    results; a longer one takes the items of its two rarest and counts the others among their components.
     """
     members = components.filter(F.col("item").rlike(population)).select("item", "component").distinct()
+    have = members.groupBy("item").agg(F.array_sort(F.collect_list("component")).alias("_have"))
+    pairs = F.flatten(F.transform("_have", lambda a, i: F.transform(
+        F.slice("_have", i + 1, F.size("_have")), lambda b: F.struct(a.alias("_a"), b.alias("_b"))
+    )))
+    # a component alone is the pair of itself
+    carriers = dealt(have.select("item", F.inline(pairs)))
+    asked = requirements.select("request_id", "component").distinct()
+    wanted = asked.groupBy("request_id").agg(F.array_sort(F.collect_list("component")).alias("_need"))
+    few = wanted.filter("size(_need) <= 2").select("request_id", F.col("_need")[0].alias("_a"), F.element_at("_need", -1).alias("_b"))
+    found = few.join(carriers, ["_a", "_b"]).select("request_id", "item")
+    many = wanted.filter("size(_need) > 2").select("request_id", F.explode("_need").alias("component"))
     df = members.groupBy("component").agg(F.count(F.lit(1)).alias("df"))
-    asked = requirements.select("request_id", "component").distinct().join(df, "component", "left")
-    wanted = asked.groupBy("request_id").agg(
-        F.collect_set("component").alias("_need"),
-        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "component")).alias("_rarest"),
+    ranked = many.join(df, "component", "left").groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "component"))).alias("_r")
     )
-    wanted = wanted.select("request_id", "_need", F.col("_rarest.component").alias("component"))
-    have = members.groupBy("item").agg(F.collect_set("component").alias("_have"))
-    carriers = members.join(have, "item")
-    every = F.size(F.array_except("_need", "_have")) == 0
-    return wanted.join(carriers, "component").filter(every).select("request_id", "item")
+    names = F.transform("_r", lambda r: r["component"])
+    ranked = ranked.select("request_id", F.array_sort(F.slice(names, 1, 2)).alias("_p"), F.slice(names, 3, F.size(names)).alias("_more"))
+    near = ranked.select("request_id", F.col("_p")[0].alias("_a"), F.col("_p")[1].alias("_b"), "_more").join(carriers, ["_a", "_b"])
+    rest = near.select("request_id", "item", F.size("_more").alias("_n"), F.explode("_more").alias("component")).join(members, ["item", "component"])
+    whole = rest.groupBy("request_id", "item").agg(F.count(F.lit(1)).alias("_got"), F.first("_n").alias("_n")).filter("_got = _n")
+    return found.unionByName(whole.select("request_id", "item"))
 
 
 def item_profiles(components: DataFrame, idf: DataFrame) -> DataFrame:
