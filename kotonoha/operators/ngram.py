@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,10 @@ from kotonoha.functions import text as tx
 from kotonoha.functions.tables import written
 
 SUPPLEMENTARY = "[\\x{10000}-\\x{10FFFF}]"
+#: Characters of text whose windows are counted together before Spark adds them up.
+COUNTED_CHARS = 1 << 21
+#: Codes up to which places of an array are used in place of sorting.
+DENSE = 1 << 24
 
 
 def _with_windows(texts: DataFrame, text: str, before: int, after: int, out: str) -> DataFrame:
@@ -45,9 +53,62 @@ def counts_of_windows(windows: DataFrame) -> DataFrame:
     return distinct.select(F.explode(ends).alias("ngram"), "n").groupBy("ngram").agg(F.sum("n").alias("cnt"))
 
 
+def _numbered(key: np.ndarray) -> np.ndarray:
+    """Codes as dense numbers, in the same order."""
+    if int(key.max()) >= DENSE:
+        return np.unique(key, return_inverse=True)[1].astype(np.int64)
+    return (np.cumsum(np.bincount(key) > 0) - 1)[key]
+
+
+def _counted(texts: list[str], max_order: int) -> pa.RecordBatch:
+    """``(window, n)`` of some texts, each window once."""
+    # one place before each text, which no window takes in
+    whole = "".join(f" {t}" for t in texts)
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    at = np.ones(len(whole), dtype=bool)
+    at[starts] = False
+    # 0 stands for no character, so that windows of all lengths have codes of their own
+    ids = _numbered(np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)) + 1
+    key, wide, inside = ids, int(ids.max()) + 1, at.copy()
+    for k in range(1, max_order):
+        # the character k places before, as long as its text has one
+        inside[k:] &= at[:-k]
+        inside[:k] = False
+        older = np.zeros_like(ids)
+        older[k:] = np.where(inside[k:], ids[:-k], 0)
+        key = _numbered(key * wide + older)
+    places = np.flatnonzero(at)
+    own = key[places]
+    n = np.bincount(own)
+    example = np.zeros(len(n), dtype=np.int64)
+    example[own] = places
+    example, n = example[n > 0], n[n > 0]
+    begin = np.maximum(example - max_order + 1, starts[np.searchsorted(starts, example) - 1] + 1)
+    windows = [whole[b:e] for b, e in zip(begin.tolist(), (example + 1).tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(n, pa.int64())], ["window", "n"])
+
+
+def text_windows(texts: DataFrame, text: str = "text", max_order: int = fx.MAX_ORDER) -> DataFrame:
+    """``(window, n)``: windows of all texts, counted by some millions of characters; a window has several rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for value in batch.column(0):
+                held.append(value.as_py())
+                size += len(held[-1])
+                if size >= COUNTED_CHARS:
+                    yield _counted(held, max_order)
+                    held, size = [], 0
+        if held:
+            yield _counted(held, max_order)
+
+    return texts.filter(F.length(text) > 0).select(text).mapInArrow(count, "window string, n long")
+
+
 def raw_ngram_counts(texts: DataFrame, text: str = "text", max_order: int = fx.MAX_ORDER) -> DataFrame:
-    """Counts of all 1..max_order-grams; combined map-side before the shuffle."""
-    return counts_of_windows(_with_windows(texts.select(text), text, max_order - 1, 0, "window").select("window", F.lit(1).alias("n")))
+    """Counts of all 1..max_order-grams; windows are counted in tasks before the shuffle."""
+    return counts_of_windows(text_windows(texts, text, max_order))
 
 
 def publish_ngrams(counts: DataFrame, max_order: int = fx.MAX_ORDER, min_count_top: int = fx.MIN_COUNT_TOP) -> DataFrame:
