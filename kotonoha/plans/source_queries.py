@@ -100,8 +100,10 @@ def bank_documents(spark, d):
 def large_archives(spark, d):
     # one archive a language, with all its documents as banks
     path = scratch_dir(spark, "archives")
-    whole = _documents(spark, d, "term").select("title", "name", "text").groupBy("title").applyInPandas(archives.one_archive, "name string, content binary")
-    whole.mapInPandas(archives.landing(path), "name string").write.format("noop").mode("overwrite").save()
+    members = _documents(spark, d, "term").select("title", "name", "text").mapInPandas(archives.deflated, archives.MEMBERS)
+    # a file is written from its start to its end: members pass through, in order
+    ordered = members.repartition("title").sortWithinPartitions("title", "name")
+    ordered.mapInPandas(archives.landing_members(path), "name string").write.format("noop").mode("overwrite").save()
     docs = banks.read_bank_documents(spark, path, range_bytes=1 << 16)
     return docs.select("title", "kind", "bank_ord", "name", F.length("text").alias("n_chars"))
 

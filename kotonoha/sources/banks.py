@@ -82,17 +82,29 @@ def member_text(source, offset: int, packed: int, method: int, crc: int) -> str:
     return content.decode("utf-8")
 
 
+#: Characters of members that a task holds at a time, about.
+HELD_CHARS = 1 << 20
+
+
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The texts of listed members, whose other columns stay."""
     source, current = None, None
+    names = [c.split()[0] for c in DOCUMENTS.split(", ")]
     try:
         for pdf in batches:
+            held, size = [], 0
             for row in pdf.itertuples(index=False):
                 if row.archive != current:
                     if source is not None:
                         source.close()
                     source, current = _random_access(row.archive), row.archive
-                text = member_text(source, row.offset, row.packed, row.method, row.crc)
-                yield pd.DataFrame({"archive": [row.archive], "position": [row.position], "name": [row.name], "text": [text], "title": [row.title]})
+                held.append((row.archive, row.title, row.kind, row.bank_ord, row.name, member_text(source, row.offset, row.packed, row.method, row.crc)))
+                size += len(held[-1][-1])
+                if size >= HELD_CHARS:
+                    yield pd.DataFrame(held, columns=names)
+                    held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=names)
     finally:
         if source is not None:
             source.close()
@@ -141,16 +153,14 @@ def read_bank_documents(spark: SparkSession, path: str, range_bytes: int = RANGE
     Directories are read first; then the members of an archive are read by as many tasks as it has ranges of bytes, one
     member at a time.  Entry banks are numbered across kinds, archive order breaking ties, tag banks after them.
     """
-    schema = "archive string, position long, name string, text string, title string"
+    numbered = lambda d: d.withColumn("kind", bank_kind(F.col("name"))).filter("kind is not null").withColumn("number", bank_number(F.col("name")))
     if _opened_by_workers(path):
+        # numbered by their directory entries: texts are read once, and where they are wanted
         listed = written(archive_members(spark, path), "archive-members")
-        wanted = listed.filter(bank_kind(F.col("name")).isNotNull())
-        members = _split_by_range(wanted, range_bytes).mapInPandas(_members, schema)
-    else:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-        members = files.mapInPandas(_open_archives, schema)
-    d = members.withColumn("kind", bank_kind(F.col("name"))).filter("kind is not null")
-    return number_banks(d.withColumn("number", bank_number(F.col("name"))))
+        return _split_by_range(_with_ord(numbered(listed)), range_bytes).mapInPandas(_members, DOCUMENTS)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    members = files.mapInPandas(_open_archives, "archive string, position long, name string, text string, title string")
+    return number_banks(numbered(members))
 
 
 def _opened_by_workers(path: str) -> bool:
@@ -164,14 +174,17 @@ def _opened_by_workers(path: str) -> bool:
     return True
 
 
-def number_banks(documents: DataFrame) -> DataFrame:
-    """Order the banks of each archive: entry banks before tag banks, by
-    number, then by place in the archive."""
+def _with_ord(documents: DataFrame) -> DataFrame:
     late = (F.col("kind") == "tag").cast("int")
     bucket = F.struct(late.alias("late"), F.floor(F.col("number") / 1024).alias("n"))
     order = [late, F.col("number"), F.col("position")]
-    d = ordered.ranked(documents, ["archive"], bucket, order, "bank_ord")
-    return d.select("archive", "title", "kind", "bank_ord", "name", "text")
+    return ordered.ranked(documents, ["archive"], bucket, order, "bank_ord")
+
+
+def number_banks(documents: DataFrame) -> DataFrame:
+    """Order the banks of each archive: entry banks before tag banks, by
+    number, then by place in the archive."""
+    return _with_ord(documents).select("archive", "title", "kind", "bank_ord", "name", "text")
 
 
 # -- rows --------------------------------------------------------------------------
