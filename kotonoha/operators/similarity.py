@@ -205,21 +205,24 @@ def majority_components(groups: DataFrame, components: DataFrame, need: float =
     ``groups`` is ``(group_id, member)``, one row per vote.  Unknown members count towards
     the quorum.  If nothing reaches it the strongest component stands alone.
     """
-    size = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
     ballots = groups.groupBy("group_id", "member").agg(F.count(F.lit(1)).alias("_w"))
     parts = components.select(F.col("item").alias("member"), "component").distinct()
-    votes = ballots.join(parts, "member").groupBy("group_id", "component").agg(F.sum("_w").alias("votes"))
+    # numbers in the order of the components, written since they would not come out the same again
+    known = written(parts.select("component").distinct().orderBy("component").withColumn("_c", F.monotonically_increasing_id()), "numbered-components")
+    coded = parts.join(known, "component").groupBy("member").agg(F.collect_list("_c").alias("_cs"))
+    # a ballot is one row until it has reached its group; the component -1 counts them all
+    met = ballots.join(dealt(coded), "member", "left").select("group_id", "_w", "_cs").repartition("group_id")
+    every = F.concat(F.array(F.lit(-1).cast("long")), F.coalesce("_cs", F.array().cast("array<bigint>")))
+    votes = met.select("group_id", "_w", F.explode(every).alias("_c")).groupBy("group_id", "_c").agg(F.sum("_w").alias("votes"))
+    whole = Window.partitionBy("group_id")
+    scored = votes.withColumns({
+        "n": F.max(F.when(F.col("_c") < 0, F.col("votes"))).over(whole),
+        "_best": F.min(F.when(F.col("_c") >= 0, F.struct((-F.col("votes")).alias("neg"), "_c"))).over(whole),
+    }).filter("_c >= 0")
     quorum = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(need) + F.lit(0.9999)))
-    scored = votes.join(size, "group_id").withColumn("reached", F.col("votes") >= quorum)
-    best = votes.groupBy("group_id").agg(F.min(F.struct((-F.col("votes")).alias("neg"), "component")).alias("b")).select(
-        "group_id", F.col("b.component").alias("strongest"), 
-    )
-    any_reached = scored.groupBy("group_id").agg(F.max("reached").alias("any"))
-    return (
-        scored.join(any_reached, "group_id").join(best, "group_id")
-        .filter(F.col("reached") | (~F.col("any") & (F.col("component") == F.col("strongest"))))
-        .select("group_id", "component", "votes")
-    )
+    # where the strongest does not reach it, none does
+    kept = scored.filter((F.col("votes") >= quorum) | (F.col("_c") == F.col("_best._c")))
+    return kept.join(known, "_c").select("group_id", "component", "votes")
 
 
 # -- K07 ------------------------------------------------------------------------
