@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kotonoha.functions import fixed as fx
@@ -10,6 +15,11 @@ from kotonoha.functions.tables import dealt, written
 
 IDEOGRAPHS = f"^[{fx.IDEOGRAPH_CLASS}]+$"
 HOT_COMPONENT = 100_000
+#: Pairs that a task measures at a time, and rows that it gives back at a time.
+CELLS = 1 << 18
+OUT_ROWS = 1 << 16
+#: Stands for the weight of a component before the one where two items meet.
+EARLIER = -1e30
 
 
 # -- K01, K06: table files ------------------------------------------------------
@@ -134,13 +144,98 @@ def items_with_all(requirements: DataFrame, components: DataFrame, population: s
 
 
 def item_profiles(components: DataFrame, idf: DataFrame) -> DataFrame:
-    """Per item its components with weights (a decomposition is short) and its
-    total mass; an unknown component weighs nothing."""
-    weighted = components.select("item", "component").distinct().join(
-        idf.select("component", "idf", "df"), "component", "left"
-    ).na.fill({"idf": 0.0, "df": 0})
-    parts = F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("neg"), "component", "idf", "df")))
-    return weighted.groupBy("item").agg(parts.alias("parts"), F.sum("idf").alias("mass"))
+    """Per item its components as numbers, heaviest first (``c``), their weights (``v``), their document frequencies (``d``),
+    what each and all after it weigh (``r``), and the total mass.
+
+    A decomposition is short.  All items have one order of components; an unknown one is -1 and weighs nothing.
+    """
+    # numbers in the order of the weights, written since they would not come out the same again
+    known = written(
+        idf.select("component", "idf", "df").orderBy(F.desc("idf"), "component").withColumn("_c", F.monotonically_increasing_id()), "weighted-components"
+    )
+    weighted = components.select("item", "component").distinct().join(known, "component", "left").na.fill({"idf": 0.0, "df": 0, "_c": -1})
+    parts = F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("neg"), "_c", "idf", "df")))
+    each = weighted.groupBy("item").agg(parts.alias("_p"), F.sum("idf").alias("mass"))
+    of = lambda name: F.transform("_p", lambda p: p[name])
+    rest = F.transform("_p", lambda p, i: F.aggregate(F.slice("_p", i + 1, F.size("_p")), F.lit(0.0), lambda acc, q: acc + q["idf"]))
+    return each.select("item", "mass", of("_c").alias("c"), of("idf").alias("v"), of("df").alias("d"), rest.alias("r"))
+
+
+class _Carriers:
+    """Items of one component, by their other components."""
+
+    def __init__(self, held: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        self.names = rows["name"].combine_chunks()
+        lists = rows["c"].combine_chunks()
+        codes = lists.flatten().to_numpy()
+        owners = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        order = np.argsort(codes, kind="stable")
+        self.owners = owners[order]
+        self.codes, self.starts, self.sizes = np.unique(codes[order], return_index=True, return_counts=True)
+
+    def met(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """What each source shares with each carrier, if it is enough and this component is the first they share."""
+        lists = rows.column("c")
+        k = pc.list_value_length(lists).to_numpy()
+        source = np.repeat(np.arange(len(k)), k)
+        codes, weights = lists.flatten().to_numpy(), rows.column("v").flatten().to_numpy()
+        at = np.arange(len(codes)) - np.repeat(np.cumsum(k) - k, k)
+        weights = np.where(at < rows.column("place").to_numpy()[source], EARLIER, weights)
+        found = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        n = np.where(self.codes[found] == codes, self.sizes[found], 0)
+        # as many sources at a time as there is room for cells and for shared components
+        room = np.maximum(np.bincount(source, n, minlength=len(k)), len(self.names))
+        part = (np.cumsum(room) // CELLS).astype(np.int64)
+        for number in np.unique(part):
+            low, high = np.searchsorted(part, [number, number + 1])
+            own = slice(*np.searchsorted(source, [low, high]))
+            yield from self._cells(rows, low, high, source[own] - low, found[own], n[own], weights[own], k[low:high])
+
+    def _cells(self, rows, low, high, source, found, n, weights, k) -> Iterator[pa.RecordBatch]:
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        width = len(self.names)
+        cell = np.repeat(source * width, n) + self.owners[np.repeat(self.starts[found], n) + within]
+        weight = np.bincount(cell, np.repeat(weights, n), minlength=(high - low) * width)
+        need = rows.column("need").to_numpy()[low:high]
+        hit = np.flatnonzero(weight.reshape(-1, width) >= need[:, None])
+        if len(hit) == 0:
+            return
+        shared = np.bincount(cell, minlength=(high - low) * width)[hit]
+        for begin in range(0, len(hit), OUT_ROWS):
+            some = hit[begin : begin + OUT_ROWS]
+            of, to = some // width, some % width
+            yield pa.RecordBatch.from_arrays([
+                rows.column("name").take(pa.array(of + low)), self.names.take(pa.array(to)), pa.array(weight[some]),
+                rows.column("mass").take(pa.array(of + low)), pa.array(shared[begin : begin + OUT_ROWS] == k[of]),
+            ], ["src", "dst", "weight", "mass", "shares_all"])
+
+
+def _met_by_component(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sources against carriers, of rows in order of component and salt, carriers first.  Only carriers are held."""
+    key, held, carriers = None, [], None
+    for batch in batches:
+        runs = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("a", "salt", "kind")], axis=1)
+        starts = np.flatnonzero(np.any(runs[1:] != runs[:-1], axis=1)) + 1
+        for low, high in zip([0, *starts], [*starts, len(runs)]):
+            if low == high:
+                continue
+            if key != (runs[low][0], runs[low][1]):
+                key, held, carriers = (runs[low][0], runs[low][1]), [], None
+            if runs[low][2] == 0:
+                held.append(batch.slice(low, high - low))
+            elif held:
+                carriers = carriers or _Carriers(held)
+                yield from carriers.met(batch.slice(low, high - low))
+
+
+def _measured(pairs: DataFrame, min_fraction: float) -> DataFrame:
+    """Pairs ``(src, dst, c, v, mass, _have)`` that reach the fraction."""
+    shared = F.zip_with("c", "v", lambda x, w: F.when(F.array_contains("_have", x), w))
+    weight = F.aggregate(shared, F.lit(0.0), lambda acc, w: acc + F.coalesce(w, F.lit(0.0)))
+    return pairs.select(
+        "src", "dst", F.round(weight / F.col("mass"), 9).alias("fraction"), F.forall(shared, lambda w: w.isNotNull()).alias("shares_all")
+    ).filter(F.col("fraction") >= min_fraction)
 
 
 def neighbours(
@@ -154,44 +249,58 @@ def neighbours(
 
     A target reaching the fraction must share one of the source's rarest
     components: the components are taken rarest first until what is left over
-    weighs less than the fraction asks for.  Only those are joined on, so
-    frequent components produce no pairs; the result is exact.  Components have one
-    order for all items, so at the first one that both have, what they share weighs no more than what follows in either; a pair
-    is measured there only, in the join, and nothing of it is shuffled again.  With ``min_fraction=0`` every shared component
-    counts.  A component carried by very many items is spread over salts on both sides.
+    weighs less than the fraction asks for.  Only those are met at, so
+    frequent components produce few pairs; the result is exact.  Sources and carriers of a component are brought
+    together and measured there in arrays, through the lists of carriers of every other component; a pair counts at the first component that
+    both have, so nothing of it is shuffled again.  With ``min_fraction=0`` every shared component
+    counts.  Carriers of a very frequent component are spread over salts, to which its sources are repeated.
     """
-    profiles = written(item_profiles(components, idf), "profiles")
+    return _neighbours(written(item_profiles(components, idf), "profiles"), min_fraction, sources, population)
+
+
+def _neighbours(profiles: DataFrame, min_fraction: float, sources: DataFrame | None, population: str) -> DataFrame:
     source = profiles if sources is None else profiles.join(sources.select("item").distinct(), "item", "left_semi")
-    source = source.filter("mass > 0")
-    # mass left over after the first i components, rarest first
-    left_over = lambda i: F.aggregate(F.slice("parts", i + 1, F.size("parts")), F.lit(0.0), lambda a, p: a + p["idf"])
-    slack = F.lit(1e-9) * (F.col("mass") + 1)
-    need = F.col("mass") * F.lit(min_fraction) - slack
-    prefix = F.filter("parts", lambda p, i: left_over(i) >= need)
-    salts = lambda df: F.greatest(F.lit(1), F.ceil(df / F.lit(HOT_COMPONENT)))
-    left = source.withColumn("_first", prefix).select(
-        F.col("item").alias("src"), "parts", "mass", need.alias("_need"), F.transform("_first", lambda p: p["component"]).alias("_first"), F.explode("_first").alias("p")
-    ).select(
-        "src", "parts", "mass", "_need", "_first", "p.component", F.pmod(F.xxhash64("src"), salts(F.col("p.df"))).cast("int").alias("_salt"),
+    need = F.col("mass") * F.lit(min_fraction) - F.lit(1e-9) * (F.col("mass") + 1)
+    each = F.posexplode(F.arrays_zip("c", "d", "r")).alias("place", "p")
+    salts = F.greatest(F.lit(1), F.ceil(F.col("p.d") / F.lit(HOT_COMPONENT))).cast("int")
+    left = source.filter("mass > 0").select(F.col("item").alias("name"), "c", "v", "mass", need.alias("need"), each).filter(F.col("p.r") >= F.col("need"))
+    left = left.select(F.col("p.c").alias("a"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(1).alias("kind"), "name", "c", "v", "place", "need", "mass")
+    right = profiles.filter(F.col("item").rlike(population)).select(F.col("item").alias("name"), "c", each)
+    right = right.select(
+        F.col("p.c").alias("a"), F.pmod(F.xxhash64("name"), salts).cast("int").alias("salt"), F.lit(0).alias("kind"), "name", "c",
     )
-    at = F.transform("parts", lambda p, i: F.struct(p["component"].alias("component"), p["df"].alias("df"), left_over(i).alias("rest")))
-    names = F.transform("parts", lambda p: p["component"])
-    carriers = profiles.filter(F.col("item").rlike(population)).select("item", names.alias("_have"), F.explode(at).alias("p")).select(
-        F.col("item").alias("dst"), "_have", "p.component", F.col("p.rest").alias("_rest"),
-        F.explode(F.sequence(F.lit(0), salts(F.col("p.df")).cast("int") - 1)).alias("_salt"),
+    rows = right.unionByName(left, allowMissingColumns=True).select(*left.columns)
+    met = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(
+        _met_by_component, "src string, dst string, weight double, mass double, shares_all boolean"
     )
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("component", "_salt")]
-    met = left.alias("l").join(carriers.alias("r"), [*same, F.col("r._rest") >= F.col("l._need"), F.col("l.src") != F.col("r.dst")])
-    first = F.get(F.filter("_first", lambda c: F.array_contains("_have", c)), F.lit(0))
-    both = met.filter(first == F.col("l.component"))
-    shared = F.filter("parts", lambda p: F.array_contains("_have", p["component"]))
-    weight = F.aggregate(shared, F.lit(0.0), lambda acc, p: acc + p["idf"])
-    return both.select(
-        "src",
-        "dst",
-        F.round(weight / F.col("mass"), 9).alias("fraction"),
-        (F.size(shared) == F.size("parts")).alias("shares_all"),
-    ).filter(F.col("fraction") >= min_fraction)
+    return met.filter("src <> dst").select("src", "dst", F.round(F.col("weight") / F.col("mass"), 9).alias("fraction"), "shares_all").filter(
+        F.col("fraction") >= min_fraction
+    )
+
+
+def nearest(
+    components: DataFrame,
+    idf: DataFrame,
+    best: int,
+    also: DataFrame,
+    min_fraction: float = fx.MIN_IDF_FRACTION,
+    sources: DataFrame | None = None,
+    population: str = IDEOGRAPHS,
+) -> DataFrame:
+    """The ``best`` neighbours of each source, and those of ``also(src, dst)`` that are neighbours at all.
+
+    Neighbours are cut to the best where they are found, before they are brought together by source.
+    """
+    profiles = written(item_profiles(components, idf), "profiles")
+    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("fraction"), "dst"))
+    top = _neighbours(profiles, min_fraction, sources, population).withColumn("_n", place).filter(F.col("_n") <= best).drop("_n")
+    given = also.select("src", "dst").distinct().filter("src <> dst")
+    given = given if sources is None else given.join(sources.select(F.col("item").alias("src")).distinct(), "src", "left_semi")
+    given = given.join(profiles.filter("mass > 0").select(F.col("item").alias("src"), "c", "v", "mass"), "src")
+    target = profiles.filter(F.col("item").rlike(population)).select(F.col("item").alias("dst"), F.col("c").alias("_have"))
+    # what shares nothing is no neighbour, whatever the fraction
+    asked = _measured(given.join(target, "dst").filter(F.arrays_overlap("c", "_have")), min_fraction)
+    return top.unionByName(asked).distinct()
 
 
 def has_discriminating(components: DataFrame) -> DataFrame:
@@ -232,7 +341,8 @@ def suggest(chars: DataFrame, head: DataFrame, near: DataFrame, forms: DataFrame
     """The suggestion list of each recognised character.
 
     ``chars`` is ``(char_id, ch)``, ``head`` ``(char_id, rank, ch)``; ``near`` is the
-    K04 table at the suggestion tier, ``forms`` ``(canonical, variants)``.
+    K04 table at the suggestion tier, ``forms`` ``(canonical, variants)``.  Of ``near`` the first 15 of a source, one more for
+    each head row and one for the character are enough, if all that are among its forms are there too (``nearest``).
     Duplicates go to the first group; each generated group keeps its first 15
     *new* entries.
     """
@@ -254,7 +364,8 @@ def suggest(chars: DataFrame, head: DataFrame, near: DataFrame, forms: DataFrame
     generated = current.withColumnRenamed("current", "src").join(around.unionByName(old), "src").select(
         "char_id", "cls", "pos", "ch"
     )
-    rows = ranked_head.unionByName(itself).unionByName(generated)
+    # one shuffle by character serves all that follows
+    rows = ranked_head.unionByName(itself).unionByName(generated).repartition("char_id")
     first = rows.groupBy("char_id", "ch").agg(F.min(F.struct("cls", "pos")).alias("m")).select(
         "char_id", "ch", "m.cls", "m.pos"
     )
