@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from kotonoha.functions import fixed as fx
 from kotonoha.functions import text as tx
@@ -18,6 +20,8 @@ SUPPLEMENTARY = "[\\x{10000}-\\x{10FFFF}]"
 COUNTED_CHARS = 1 << 21
 #: Codes up to which places of an array are used in place of sorting.
 DENSE = 1 << 24
+#: Rows that a task gives back at a time.
+OUT_ROWS = 1 << 16
 
 
 def _with_windows(texts: DataFrame, text: str, before: int, after: int, out: str) -> DataFrame:
@@ -36,11 +40,25 @@ def _with_windows(texts: DataFrame, text: str, before: int, after: int, out: str
 
 
 def document_windows(texts: DataFrame, key: str, text: str = "text", max_order: int = fx.MAX_ORDER) -> DataFrame:
-    """``(key, window, n)``: each document's characters with up to ``max_order - 1`` before them, counted.
+    """``(key, window, n)``: each document's characters with up to ``max_order - 1`` before them, counted in arrays where the document is.
 
-    Model counts, distinct windows and the mass all follow from this table; write it if more than one is needed.
+    Model counts, distinct windows and the mass all follow from this table; write it if more than one is needed.  Rows of
+    one key are counted apart and have to be added up.
     """
-    return _with_windows(texts.select(key, text), text, max_order - 1, 0, "window").groupBy(key, "window").agg(F.count(F.lit(1)).alias("n"))
+    rows = texts.filter(F.length(text) > 0).select(F.col(text).alias("text"), key)
+    schema = StructType([StructField("key", rows.schema[key].dataType), StructField("window", StringType()), StructField("n", LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, size = 0, 0
+            for i, chars in enumerate(pc.utf8_length(batch.column(0)).to_pylist()):
+                size += chars
+                if size >= COUNTED_CHARS or i == batch.num_rows - 1:
+                    held = batch.slice(low, i + 1 - low)
+                    yield from _counted_apart(held.column(0).to_pylist(), held.column(1), max_order)
+                    low, size = i + 1, 0
+
+    return rows.mapInArrow(count, schema).withColumnRenamed("key", key)
 
 
 def counts_of_windows(windows: DataFrame) -> DataFrame:
@@ -60,8 +78,8 @@ def _numbered(key: np.ndarray) -> np.ndarray:
     return (np.cumsum(np.bincount(key) > 0) - 1)[key]
 
 
-def _counted(texts: list[str], max_order: int) -> pa.RecordBatch:
-    """``(window, n)`` of some texts, each window once."""
+def _window_codes(texts: list[str], max_order: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The text and the window of each character as numbers, and the windows."""
     # one place before each text, which no window takes in
     whole = "".join(f" {t}" for t in texts)
     starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
@@ -78,14 +96,30 @@ def _counted(texts: list[str], max_order: int) -> pa.RecordBatch:
         older[k:] = np.where(inside[k:], ids[:-k], 0)
         key = _numbered(key * wide + older)
     places = np.flatnonzero(at)
-    own = key[places]
-    n = np.bincount(own)
-    example = np.zeros(len(n), dtype=np.int64)
+    own = _numbered(key[places])
+    example = np.zeros(int(own.max()) + 1, dtype=np.int64)
     example[own] = places
-    example, n = example[n > 0], n[n > 0]
+    owner = np.searchsorted(starts, places) - 1
     begin = np.maximum(example - max_order + 1, starts[np.searchsorted(starts, example) - 1] + 1)
-    windows = [whole[b:e] for b, e in zip(begin.tolist(), (example + 1).tolist())]
-    return pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(n, pa.int64())], ["window", "n"])
+    return owner, own, [whole[b:e] for b, e in zip(begin.tolist(), (example + 1).tolist())]
+
+
+def _counted(texts: list[str], max_order: int) -> pa.RecordBatch:
+    """``(window, n)`` of some texts, each window once."""
+    _, own, windows = _window_codes(texts, max_order)
+    return pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(np.bincount(own), pa.int64())], ["window", "n"])
+
+
+def _counted_apart(texts: list[str], names: pa.Array, max_order: int) -> Iterator[pa.RecordBatch]:
+    """``(key, window, n)`` of some texts, each window once a text."""
+    owner, own, windows = _window_codes(texts, max_order)
+    words, (pairs, n) = pa.array(windows, pa.string()), np.unique(owner * len(windows) + own, return_counts=True)
+    for low in range(0, len(pairs), OUT_ROWS):
+        some = pairs[low : low + OUT_ROWS]
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(some // len(windows))), words.take(pa.array(some % len(windows))), pa.array(n[low : low + OUT_ROWS], pa.int64())],
+            ["key", "window", "n"],
+        )
 
 
 def text_windows(texts: DataFrame, text: str = "text", max_order: int = fx.MAX_ORDER) -> DataFrame:
@@ -181,9 +215,11 @@ def score_text(texts: DataFrame, key: str, ngrams: DataFrame, mass: DataFrame, t
     return score_windows(written(document_windows(texts, key, text), "windows"), key, ngrams, mass)
 
 
-def score_windows(per_doc: DataFrame, key: str, ngrams: DataFrame, mass: DataFrame) -> DataFrame:
-    """M03 from the counted windows of documents."""
-    scored = per_doc.join(log_probs(per_doc, ngrams, mass), "window")
+def score_windows(per_doc: DataFrame, key: str, ngrams: DataFrame, mass: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
+    """M03 from the counted windows of documents; ``distinct`` holds the windows once each, where they are known."""
+    # the side of the vocabulary is hashed, so the windows of all documents are dealt but never sorted
+    probs = log_probs(per_doc if distinct is None else distinct, ngrams, mass).hint("shuffle_hash")
+    scored = per_doc.join(probs, "window")
     return scored.groupBy(key).agg(
         F.sum("n").alias("n_chars"), (F.sum(F.col("log_prob") * F.col("n")) / F.sum("n")).alias("mean_log_prob")
     )
