@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kotonoha.operators import evaluate, results
-from kotonoha.functions.tables import small_table
+from kotonoha.functions.tables import small_table, written
 from kotonoha.plans import archives, inputs, lookup_queries, model_queries  # noqa: F401
 from kotonoha.plans.oracle import cte, sql
 from kotonoha.plans.registry import query
@@ -28,11 +28,18 @@ _ROW = {
 }
 
 
-def _documents(spark, d, kind):
-    doc = inputs.table(spark, d, "documents").select("doc_id", "lang")
+def _doc_words(spark, d):
+    """The distinct words of each document, in order."""
     # a text's words are made distinct in its own row; texts that share an id meet afterwards
     texts = inputs.table(spark, d, "documents").select("doc_id", F.array_remove(F.array_distinct(F.split(F.lower("text"), "[^a-z]+")), "").alias("ws"))
-    rows = texts.filter(F.size("ws") > 0).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ws")))).alias("ws"))
+    # little to shuffle and much to do with it: as many tasks as the session has, not as few as the bytes fill
+    dealt = texts.filter(F.size("ws") > 0).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return dealt.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ws")))).alias("ws"))
+
+
+def _documents(spark, d, kind, words=None):
+    doc = inputs.table(spark, d, "documents").select("doc_id", "lang")
+    rows = _doc_words(spark, d) if words is None else words
     per = rows.join(doc, "doc_id").select(
         F.concat(F.lit("dict-"), "lang").alias("archive"), F.concat(F.lit("dict-"), "lang").alias("title"), F.lit(kind).alias("kind"),
         F.col("doc_id").alias("bank_ord"), F.concat(F.lit(f"{kind}_bank_"), F.col("doc_id").cast("string"), F.lit(".json")).alias("name"), "ws",
@@ -41,6 +48,14 @@ def _documents(spark, d, kind):
     return per.withColumn("text", F.concat(F.lit("["), F.array_join(body, ","), F.lit("]"))).drop("ws")
 
 
+def _ingested(spark, d):
+    """Terms, which are published once, and kanji and tags, which are published several times and so are read and written once before."""
+    words = written(_doc_words(spark, d), "doc-words")
+    terms = banks.ingest_term_banks(_documents(spark, d, "term", words))
+    kanji = written(banks.ingest_kanji_banks(_documents(spark, d, "kanji", words)), "kanji-rows")
+    return terms, kanji, written(banks.ingest_tag_banks(_documents(spark, d, "tag", words)), "tag-rows")
+
+
 cte("bank_rows", "select 'dict-' || lang archive, doc_id bank_ord, w, row_number() over (partition by doc_id order by w) - 1 row from doc_words join documents using (doc_id)", "doc_words")
 
 
@@ -112,8 +127,7 @@ def large_archives(spark, d):
  union all select 'first', 1, false, 3, count(*) from bank_rows where length(w) % 6 in (2, 3, 4)""", "bank_rows"))
 def publish_dictionary(spark, d):
     path = scratch_dir(spark, "store")
-    terms, kanji = banks.ingest_term_banks(_documents(spark, d, "term")), banks.ingest_kanji_banks(_documents(spark, d, "kanji"))
-    tags = banks.ingest_tag_banks(_documents(spark, d, "tag"))
+    terms, kanji, tags = _ingested(spark, d)
     store.publish_dictionary(spark, path, "first", kanji, tags)
     store.publish_dictionary(spark, path, "second", kanji, tags, "cat-2", True)
     # publishing the first title again replaces it and moves it to the end
@@ -217,8 +231,7 @@ def move_dictionary(spark, d):
  union all select 'kept', 1, true, count(*) from bank_rows where length(w) % 4 < 3""", "bank_rows"))
 def store_changes(spark, d):
     path = scratch_dir(spark, "store")
-    terms, kanji = banks.ingest_term_banks(_documents(spark, d, "term")), banks.ingest_kanji_banks(_documents(spark, d, "kanji"))
-    tags = banks.ingest_tag_banks(_documents(spark, d, "tag"))
+    terms, kanji, tags = _ingested(spark, d)
     gone = store.publish_dictionary(spark, path, "gone", kanji, tags)
     kept = store.publish_dictionary(spark, path, "kept", kanji, tags, "cat-2", True)
     named = store.publish_dictionary(spark, path, "named", terms, tags)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions.tables import written
 from kotonoha.operators import ordered
+from kotonoha.sources import plain_rows
 
 DOCUMENTS = "archive string, title string, kind string, bank_ord long, name string, text string"
 KINDS = {"term_bank_": "term", "kanji_bank_": "kanji", "term_meta_bank_": "term_meta", "tag_bank_": "tag"}
@@ -191,19 +192,31 @@ def number_banks(documents: DataFrame) -> DataFrame:
 
 
 def _document_rows(documents: DataFrame, kind: str) -> DataFrame:
-    """Rows of one kind of bank as their source text and as a variant.
+    """Rows of one kind of bank: ``cells``, the columns of a row that was read at once, or its ``source`` text and a variant.
 
-    The text keeps key order and number spelling; the variant is only used to
-    tell types.
+    Documents are read once in Python (``plain_rows.py``).  Those that it would not spell as Spark does keep their text; of these,
+    ``source`` keeps key order and number spelling, and the variant is only used to tell types.
     """
-    d = documents.filter(F.col("kind") == kind).select(
-        "archive", "bank_ord", F.posexplode(F.from_json("text", "array<string>")).alias("row", "source")
-    )
+    fields = plain_rows.FIELDS[kind]
+    d = documents.filter(F.col("kind") == kind).select("archive", "bank_ord", "text")
+    archive, number = (d.schema[c].dataType.simpleString() for c in ("archive", "bank_ord"))
+    d = d.mapInArrow(plain_rows.reader(kind), f"archive {archive}, bank_ord {number}, row int, cells struct<{fields}>, text string")
+    d = d.select("archive", "bank_ord", "row", "cells", F.posexplode_outer(F.from_json("text", "array<string>")).alias("_at", "source"))
+    d = d.withColumn("row", F.coalesce("row", "_at")).drop("_at")
     # each step is generated, so that filters on what it makes do not work it out again
     once = lambda df, **made: df.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
     d = once(d, v=F.try_parse_json("source"), items=F.from_json("source", "array<string>"))
     kinds = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda p: F.schema_of_variant(p))
-    return once(d, kinds=kinds).filter("kinds is not null")
+    return once(d, kinds=kinds).filter("cells is not null or kinds is not null")
+
+
+def _cell(name: str, worked_out: Column) -> Column:
+    """A column of a row that was read at once; for others it is worked out."""
+    return F.when(F.col("cells").isNotNull(), F.col(f"cells.{name}")).otherwise(worked_out)
+
+
+def _kept(rows: DataFrame, wanted: Column) -> DataFrame:
+    return rows.filter(F.col("cells").isNotNull() | wanted)
 
 
 def _kind_of(variant: Column, path: str) -> Column:
@@ -249,7 +262,7 @@ def _json(i: int) -> Column:
 
 def _entries(rows: DataFrame, **columns: Column) -> DataFrame:
     blank = {c: F.lit(None).cast("string") for c in ("onyomi", "kunyomi", "jlpt")}
-    cols = {"popularity": F.lit(0), **blank, **columns}
+    cols = {"popularity": F.lit(0), **blank, **{n: _cell(n, c) for n, c in columns.items()}}
     row_id = F.col("bank_ord") * F.lit(ROWS_PER_BANK) + F.col("row")
     names = ("kanji", "reading", "definitions", "rules", "popularity", "onyomi", "kunyomi", "jlpt")
     return rows.select("archive", "bank_ord", row_id.alias("id"), *[cols[n].alias(n) for n in names])
@@ -258,7 +271,7 @@ def _entries(rows: DataFrame, **columns: Column) -> DataFrame:
 def ingest_term_banks(documents: DataFrame) -> DataFrame:
     """Term bank rows; rows with fewer than five items or without string
     headword and reading are skipped."""
-    rows = _document_rows(documents, "term").filter((F.size("items") >= 5) & _is(0, "STRING") & _is(1, "STRING"))
+    rows = _kept(_document_rows(documents, "term"), (F.size("items") >= 5) & _is(0, "STRING") & _is(1, "STRING"))
     second = _flat(7)
     rules = F.concat(_flat(2), F.lit(" | "), _flat(3), F.when(second != "", F.concat(F.lit(" | "), second)).otherwise(""))
     return _entries(rows, kanji=_item(0), reading=_item(1), definitions=_json(5), rules=rules, popularity=_integer(4))
@@ -266,7 +279,7 @@ def ingest_term_banks(documents: DataFrame) -> DataFrame:
 
 def ingest_kanji_banks(documents: DataFrame) -> DataFrame:
     """Kanji bank rows of at least four items."""
-    rows = _document_rows(documents, "kanji").filter(F.size("items") >= 4)
+    rows = _kept(_document_rows(documents, "kanji"), F.size("items") >= 4)
     level = F.when(_kind_of(F.col("v"), "$[5].jlpt") == "STRING", F.try_variant_get(F.col("v"), "$[5].jlpt", "string"))
     empty = F.lit("")
     return _entries(
@@ -277,22 +290,18 @@ def ingest_kanji_banks(documents: DataFrame) -> DataFrame:
 
 def ingest_term_meta_banks(documents: DataFrame) -> DataFrame:
     """Pitch rows with a term and a reading; the payload is kept as text."""
-    rows = _document_rows(documents, "term_meta").filter(
-        (F.size("items") >= 3) & (_text(1) == "pitch") & (_text(0) != "") & (_kind_of(F.col("v"), "$[2].reading") == "STRING")
-    )
     reading = F.try_variant_get(F.col("v"), "$[2].reading", "string")
+    wanted = (F.size("items") >= 3) & (_text(1) == "pitch") & (_text(0) != "") & (_kind_of(F.col("v"), "$[2].reading") == "STRING")
     return _entries(
-        rows.filter(reading != ""), kanji=_item(0), reading=reading, definitions=_item(2), rules=F.lit("")
+        _kept(_document_rows(documents, "term_meta"), wanted & (reading != "")), kanji=_item(0), reading=reading, definitions=_item(2), rules=F.lit("")
     )
 
 
 def ingest_tag_banks(documents: DataFrame) -> DataFrame:
     """Tag rows of at least five items."""
-    rows = _document_rows(documents, "tag").filter(F.size("items") >= 5)
-    return rows.select(
-        "archive", "bank_ord", "row", _text(0).alias("name"), _text(1).alias("category"), _integer(2).alias("order_val"),
-        _text(3).alias("notes"), _integer(4).alias("popularity"),
-    )
+    rows = _kept(_document_rows(documents, "tag"), F.size("items") >= 5)
+    cols = {"name": _text(0), "category": _text(1), "order_val": _integer(2), "notes": _text(3), "popularity": _integer(4)}
+    return rows.select("archive", "bank_ord", "row", *[_cell(n, c).alias(n) for n, c in cols.items()])
 
 
 def ingest_banks(documents: DataFrame) -> DataFrame:
@@ -302,8 +311,9 @@ def ingest_banks(documents: DataFrame) -> DataFrame:
 
 def malformed_documents(documents: DataFrame) -> DataFrame:
     """Documents that are not a JSON array; the rest can be ingested."""
-    v = F.try_parse_json("text")
-    return documents.filter(v.isNull() | (_kind_of(v, "$") != "ARRAY")).select("archive", "kind", "bank_ord", "name")
+    # of a text that is JSON the first character tells whether it is an array
+    is_array = F.col("text").rlike("^[ \\t\\r\\n]*\\[")
+    return documents.filter(F.try_parse_json("text").isNull() | ~is_array).select("archive", "kind", "bank_ord", "name")
 
 
 def import_report(documents: DataFrame, entries: DataFrame) -> DataFrame:
