@@ -23,17 +23,25 @@ def zipped(batches):
         yield pd.DataFrame(out, columns=["name", "content"])
 
 
+#: Folders that many small archives are dealt to, so that none holds all of them.
+FOLDERS = 1024
+
+
 def landing(path: str):
-    """Write ``(name, content)`` rows as files of the shared folder ``path``."""
+    """Write ``(name, content)`` rows as files in folders of the shared folder ``path``."""
 
     def write(batches):
         from pyarrow import fs
 
         target, base = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-        target.create_dir(base, recursive=True)
+        made = set()
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["content"]):
-                with target.open_output_stream(f"{base}/{name}.zip") as out:
+                folder = f"{base}/{zlib.crc32(name.encode()) % FOLDERS:03x}"
+                if folder not in made:
+                    target.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with target.open_output_stream(f"{folder}/{name}.zip") as out:
                     out.write(content)
             yield pdf[["name"]]
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotonoha.functions.tables import written
+from kotonoha.functions.tables import small_table, written
 from kotonoha.operators import ordered
 from kotonoha.sources import plain_rows
 
@@ -134,10 +134,44 @@ def _declared_title(content: bytes) -> str | None:
     return title if isinstance(title, str) else None
 
 
+def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The archives and folders in each folder, by the names that Spark gives them; hidden ones are left out."""
+    from pyarrow import fs
+
+    for pdf in batches:
+        for path in pdf["path"]:
+            system, base = fs.FileSystem.from_uri(path)
+            found = [
+                (path.rstrip("/") + f.path[len(base.rstrip("/")) :], f.type == fs.FileType.Directory)
+                for f in system.get_file_info(fs.FileSelector(base)) if f.base_name[:1] not in ("_", ".")
+            ]
+            yield pd.DataFrame([f for f in found if f[1] or f[0].endswith(".zip")], columns=["path", "folder"])
+
+
+#: Folders below a folder of archives, at most.
+MAX_DEPTH = 64
+
+
+def _archive_paths(spark: SparkSession, path: str) -> DataFrame:
+    """The archives in a folder and its sub-folders.  Tasks list them, so the driver's memory does not grow with their number."""
+    qualified = spark._jvm.org.apache.hadoop.fs.Path(path)
+    qualified = qualified.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(qualified).toString()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, files = small_table(spark, [(qualified,)], "path string"), None
+    for depth in range(MAX_DEPTH):
+        found = written(folders.mapInPandas(_children, "path string, folder boolean"), "listed-archives")
+        here = found.filter("not folder").select("path")
+        files = here if files is None else files.unionByName(here)
+        folders = found.filter("folder").select("path")
+        if folders.isEmpty():
+            return files.repartition(parts)
+        folders = folders.repartition(parts)
+    raise RuntimeError(f"folders of archives are nested more than {MAX_DEPTH} deep")
+
+
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
     """The members of every archive under ``path``, by their central directories; nothing else is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
-    return files.mapInPandas(_directories, _MEMBERS)
+    return _archive_paths(spark, path).mapInPandas(_directories, _MEMBERS)
 
 
 def _split_by_range(members: DataFrame, range_bytes: int) -> DataFrame:
@@ -159,7 +193,7 @@ def read_bank_documents(spark: SparkSession, path: str, range_bytes: int = RANGE
         # numbered by their directory entries: texts are read once, and where they are wanted
         listed = written(archive_members(spark, path), "archive-members")
         return _split_by_range(_with_ord(numbered(listed)), range_bytes).mapInPandas(_members, DOCUMENTS)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
     members = files.mapInPandas(_open_archives, "archive string, position long, name string, text string, title string")
     return number_banks(numbered(members))
 
