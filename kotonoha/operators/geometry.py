@@ -107,6 +107,31 @@ CELL = ["page_id", "_cx", "_cy"]
 # -- G02, G03, G04 ---------------------------------------------------------------------
 
 
+def _ruby_rules() -> tuple[Column, Column]:
+    """Whether box ``s_`` is ruby of box ``b_``, beside a tall one or above a wide one."""
+    e = F.expr
+    overlap = lambda a, n: f"greatest(least(s_{a} + s_{n}, b_{a} + b_{n}) - greatest(s_{a}, b_{a}), 0)"
+    middle = e("(s_x + s_x + s_w) div 2")
+    vertical = (
+        (F.col("s_h") < F.col("b_h") * fx.RUBY_SIZE)
+        & (F.col("s_h") < F.col("img_h") * fx.RUBY_MAX_SIDE)
+        & (F.col("s_uw") < F.col("b_uw") * fx.RUBY_WIDTH)
+        & ((middle < F.col("b_x")) | (middle > e("b_x + b_w")))
+        & (e("greatest(greatest(s_ux, b_ux) - least(s_ux + s_uw, b_ux + b_uw), 0)") <= F.col("b_uw") * fx.RUBY_GAP)
+        & (e(overlap("y", "h")) >= F.col("s_h") * fx.RUBY_OVERLAP)
+    )
+    horizontal = (
+        (F.col("s_h") < F.col("b_h") * fx.RUBY_THIN)
+        & (F.col("s_h") < F.col("img_h") * fx.RUBY_MAX_SIDE)
+        & (F.col("s_uh") < F.col("b_uh") * fx.RUBY_SHORT_H)
+        & (F.col("s_uw") < F.col("b_uw") * fx.RUBY_WIDTH_H)
+        & (e("s_y + s_h") <= F.col("b_y") + 2)
+        & (e("b_uy - (s_uy + s_uh)") <= F.col("b_uh") * fx.RUBY_GAP)
+        & (e(overlap("x", "w")) >= F.col("s_w") * fx.RUBY_OVERLAP)
+    )
+    return vertical, horizontal
+
+
 def ruby_pairs(boxes: DataFrame, pages: DataFrame) -> DataFrame:
     """``(page_id, box_idx)`` of boxes that are ruby of a larger one.
 
@@ -139,26 +164,7 @@ def ruby_pairs(boxes: DataFrame, pages: DataFrame) -> DataFrame:
     pairs = small("v", beside).unionByName(small("h", above)).join(
         big("v", columns).unionByName(big("h", rows)), [*CELL, "kind"]
     ).filter("box_idx <> b_box_idx")
-    e = F.expr
-    overlap = lambda a, n: f"greatest(least(s_{a} + s_{n}, b_{a} + b_{n}) - greatest(s_{a}, b_{a}), 0)"
-    middle = e("(s_x + s_x + s_w) div 2")
-    vertical = (
-        (F.col("s_h") < F.col("b_h") * fx.RUBY_SIZE)
-        & (F.col("s_h") < F.col("img_h") * fx.RUBY_MAX_SIDE)
-        & (F.col("s_uw") < F.col("b_uw") * fx.RUBY_WIDTH)
-        & ((middle < F.col("b_x")) | (middle > e("b_x + b_w")))
-        & (e("greatest(greatest(s_ux, b_ux) - least(s_ux + s_uw, b_ux + b_uw), 0)") <= F.col("b_uw") * fx.RUBY_GAP)
-        & (e(overlap("y", "h")) >= F.col("s_h") * fx.RUBY_OVERLAP)
-    )
-    horizontal = (
-        (F.col("s_h") < F.col("b_h") * fx.RUBY_THIN)
-        & (F.col("s_h") < F.col("img_h") * fx.RUBY_MAX_SIDE)
-        & (F.col("s_uh") < F.col("b_uh") * fx.RUBY_SHORT_H)
-        & (F.col("s_uw") < F.col("b_uw") * fx.RUBY_WIDTH_H)
-        & (e("s_y + s_h") <= F.col("b_y") + 2)
-        & (e("b_uy - (s_uy + s_uh)") <= F.col("b_uh") * fx.RUBY_GAP)
-        & (e(overlap("x", "w")) >= F.col("s_w") * fx.RUBY_OVERLAP)
-    )
+    vertical, horizontal = _ruby_rules()
     rule = F.when(F.col("kind") == "v", vertical).otherwise(horizontal)
     return pairs.filter(rule).select("page_id", "box_idx").distinct()
 
@@ -168,6 +174,14 @@ def drop_ruby(boxes: DataFrame, pages: DataFrame) -> DataFrame:
     return boxes.join(ruby_pairs(boxes, pages), ["page_id", "box_idx"], "left_anti")
 
 
+def _holds() -> Column:
+    """Whether a frame holds the centre ``(px, py)`` of a smaller one."""
+    dx, dy = F.col("px") - F.col("cx"), F.col("py") - F.col("cy")
+    c, s = F.cos(F.radians("angle_deg")), F.sin(F.radians("angle_deg"))
+    inside = (F.abs(dx * c + dy * s) <= F.col("w") / 2.0) & (F.abs(-dx * s + dy * c) <= F.col("h") / 2.0)
+    return (F.col("idx") != F.col("i_idx")) & (F.col("i_area") < F.col("w") * F.col("h") * fx.ENCLOSED_AREA) & inside
+
+
 def drop_enclosing(frames: DataFrame, pages: DataFrame) -> DataFrame:
     """Drop frames that hold the centres of two or more smaller,
     line-shaped frames.  ``frames(page_id, idx, cx, cy, w, h, angle_deg)``."""
@@ -179,34 +193,76 @@ def drop_enclosing(frames: DataFrame, pages: DataFrame) -> DataFrame:
     outer = _over_area(
         d, F.col("aabb_x"), F.col("aabb_x") + F.col("aabb_w"), F.col("aabb_y"), F.col("aabb_y") + F.col("aabb_h")
     ).select(*CELL, "idx", "cx", "cy", "w", "h", "angle_deg")
-    dx, dy = F.col("px") - F.col("cx"), F.col("py") - F.col("cy")
-    c, s = F.cos(F.radians("angle_deg")), F.sin(F.radians("angle_deg"))
-    inside = (F.abs(dx * c + dy * s) <= F.col("w") / 2.0) & (F.abs(-dx * s + dy * c) <= F.col("h") / 2.0)
-    held = outer.join(inner, CELL).filter(
-        (F.col("idx") != F.col("i_idx")) & (F.col("i_area") < F.col("w") * F.col("h") * fx.ENCLOSED_AREA) & inside
-    )
+    held = outer.join(inner, CELL).filter(_holds())
     blobs = held.groupBy("page_id", "idx").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= fx.ENCLOSED_COUNT)
     return frames.join(blobs.select("page_id", "idx"), ["page_id", "idx"], "left_anti")
 
 
+def _frame_rect(frames: DataFrame, names: tuple[str, ...] | str) -> DataFrame:
+    return frame_columns(frames).select(
+        "page_id", F.col("idx").alias("box_idx"), *[F.round(F.col(c)).cast("int").alias(n) for c, n in zip(("aabb_x", "aabb_y", "aabb_w", "aabb_h"), names)]
+    )
+
+
 def prefilter_frames(frames: DataFrame, raw: DataFrame, pages: DataFrame, ruby: bool = True) -> DataFrame:
     """Ruby, minimum size, enclosing frames, then the vertical inset.
 
-    ``raw`` holds the same frames before unclipping.
+    ``raw`` holds the same frames before unclipping.  Pages of up to ``PER_CELL`` frames, one cell each, are compared where
+    they are; larger ones go through the grid.
     """
+    large = frames.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > PER_CELL).select("page_id")
+    large = written(large, "large-pages")
+    if large.isEmpty():
+        kept = _prefiltered_near(frames, raw, pages, ruby)
+    else:
+        near, far = (frames.join(large, "page_id", how) for how in ("left_anti", "left_semi"))
+        near_raw, far_raw = (raw.join(large, "page_id", how) for how in ("left_anti", "left_semi"))
+        kept = _prefiltered_near(near, near_raw, pages, ruby).unionByName(_prefiltered(far, far_raw, pages, ruby))
+    inset = F.when(is_vertical(F.col("w"), F.col("h")), F.col("w") * (1.0 - 2.0 * fx.VERTICAL_INSET)).otherwise(F.col("w"))
+    return kept.withColumn("w", inset)
+
+
+def _large_enough(frames: DataFrame) -> DataFrame:
+    return frames.filter((F.col("w") >= fx.MIN_FRAME_SIDE) & (F.col("h") >= fx.MIN_FRAME_SIDE))
+
+
+def _prefiltered(frames: DataFrame, raw: DataFrame, pages: DataFrame, ruby: bool) -> DataFrame:
     d = frames
     if ruby:
-        rect = lambda f, names: frame_columns(f).select(
-            "page_id", F.col("idx").alias("box_idx"),
-            *[F.round(F.col(c)).cast("int").alias(n) for c, n in zip(("aabb_x", "aabb_y", "aabb_w", "aabb_h"), names)],
-        )
-        boxes = rect(raw, "xywh").join(rect(frames, ("ux", "uy", "uw", "uh")), ["page_id", "box_idx"])
+        boxes = _frame_rect(raw, "xywh").join(_frame_rect(frames, ("ux", "uy", "uw", "uh")), ["page_id", "box_idx"])
         gone = ruby_pairs(boxes, pages).withColumnRenamed("box_idx", "idx")
         d = d.join(gone, ["page_id", "idx"], "left_anti")
-    d = d.filter((F.col("w") >= fx.MIN_FRAME_SIDE) & (F.col("h") >= fx.MIN_FRAME_SIDE))
-    d = drop_enclosing(d, pages)
-    inset = F.when(is_vertical(F.col("w"), F.col("h")), F.col("w") * (1.0 - 2.0 * fx.VERTICAL_INSET)).otherwise(F.col("w"))
-    return d.withColumn("w", inset)
+    return drop_enclosing(_large_enough(d), pages)
+
+
+def _prefiltered_near(frames: DataFrame, raw: DataFrame, pages: DataFrame, ruby: bool) -> DataFrame:
+    """As ``_prefiltered``, by joins on the page alone: rows that are dealt by page stay where they are."""
+    same = lambda a, b: F.col(a) - F.col(b) == 0  # noqa: E731 - not a key, by which rows would be dealt anew
+    sized = pages.select("page_id", "img_w", "img_h")
+
+    def without(d: DataFrame, gone: DataFrame) -> DataFrame:
+        gone = gone.select(F.col("page_id").alias("_page"), F.col("idx").alias("_idx"))
+        return d.join(gone, (F.col("page_id") == F.col("_page")) & same("idx", "_idx"), "left_anti")
+
+    d = frames
+    if ruby:
+        rects = _frame_rect(raw, "xywh").withColumnRenamed("box_idx", "raw_idx").join(_frame_rect(frames, ("ux", "uy", "uw", "uh")), "page_id")
+        rects = rects.filter(same("raw_idx", "box_idx"))
+        tall, square = is_vertical(F.col("w"), F.col("h")), F.least("w", "h") >= F.greatest("w", "h") / fx.VERTICAL_ASPECT
+        rects = rects.withColumns({"tall": tall, "square": square})
+        named = lambda p: rects.select("page_id", *[F.col(c).alias(f"{p}_{c}") for c in ("box_idx", "x", "y", "w", "h", "ux", "uy", "uw", "uh", "tall", "square")])
+        vertical, horizontal = _ruby_rules()
+        beside = (F.col("s_tall") | F.col("s_square")) & F.col("b_tall") & (F.col("b_h") >= F.col("img_h") * fx.RUBY_MIN_BIG) & vertical
+        above = (~F.col("s_tall") | F.col("s_square")) & ~F.col("b_tall") & (F.col("b_w") >= F.col("img_w") * fx.RUBY_MIN_BIG) & horizontal
+        pairs = named("s").join(named("b"), "page_id").join(sized, "page_id").filter((F.col("s_box_idx") != F.col("b_box_idx")) & (beside | above))
+        d = without(d, pairs.select("page_id", F.col("s_box_idx").alias("idx")).distinct())
+    d = _large_enough(d)
+    lean = F.greatest("w", "h") >= fx.ENCLOSED_ASPECT * F.least("w", "h")
+    inner = d.filter(lean).select("page_id", F.col("idx").alias("i_idx"), F.col("cx").alias("px"), F.col("cy").alias("py"), (F.col("w") * F.col("h")).alias("i_area"))
+    outer = d.withColumn("angle_deg", normalise_angle(F.col("angle_deg"))).select("page_id", "idx", "cx", "cy", "w", "h", "angle_deg")
+    held = outer.join(inner, "page_id").filter(_holds()).join(sized.select("page_id"), "page_id")
+    blobs = held.groupBy("page_id", "idx").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= fx.ENCLOSED_COUNT)
+    return without(d, blobs)
 
 
 # -- independent parts of a page ---------------------------------------------------------
